@@ -1,6 +1,163 @@
-"""Registered queries that run the streaming and iterative operators."""
+"""Registered queries that run the streaming and the iterative operators.
+
+Streaming keys emit the ``events`` table as JSON messages (every message
+delivered twice, as at-least-once redelivery would), drop them as files
+under the shared checkpoint folder, run the ingest job with
+``availableNow`` in several micro-batches and return the table it wrote.
+"""
 
 from __future__ import annotations
 
-EXTRA_QUERIES: dict = {}
-EXTRA_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import reservation as rsv
+from ..session import ensure_session_conf, scratch_path
+from ..sources import events as ev
+from ..sources.tables import Warehouse
+from ..streaming.ingest import IngestJob, read_event_stream, write_messages
+
+FILES = 8
+FILES_PER_TRIGGER = 3
+
+
+def _messages(w: Warehouse, poison: bool = False) -> DataFrame:
+    raw = ev.emit_raw_events(w.raw("events"))
+    if poison:
+        # 'error' events arrive as truncated, undecodable payloads.
+        raw = raw.withColumn("data", F.when(F.col("subject") == "orders.error",
+                                            F.expr("substring(data, 1, length(data) DIV 2)"))
+                             .otherwise(F.col("data")))
+    return raw.unionByName(raw)
+
+
+def _run_stream(spark: SparkSession, sf_dir: str, poison: bool = False, billing: bool = False) -> IngestJob:
+    ensure_session_conf(spark)
+    w = Warehouse(spark, sf_dir)
+    root = scratch_path(spark, "ingest")
+    write_messages(_messages(w, poison), f"{root}/inbox", FILES)
+    job = IngestJob(spark, store=f"{root}/store", checkpoint=f"{root}/checkpoint", billing=billing)
+    job.run_available(read_event_stream(spark, f"{root}/inbox", FILES_PER_TRIGGER))
+    return job
+
+
+def stream_sales_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    job = _run_stream(spark, sf_dir)
+    return spark.read.parquet(job.paths["sales_by_hour"]).drop("sales_date")
+
+
+def stream_order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    job = _run_stream(spark, sf_dir)
+    return spark.read.parquet(job.paths["order_events"]).drop("batch_id")
+
+
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    job = _run_stream(spark, sf_dir, poison=True)
+    return spark.read.parquet(job.paths["quarantine"]).select("subject", "reason")
+
+
+def stream_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    job = _run_stream(spark, sf_dir, billing=True)
+    return spark.read.parquet(job.paths["invoices"]).drop("batch_id")
+
+
+def stream_ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    job = _run_stream(spark, sf_dir, billing=True)
+    return spark.read.parquet(job.paths["ledger_entries"]).drop("batch_id")
+
+
+# --- iterative admission (rows-only: no SQL formulation) ----------------------
+
+def _wh(spark, sf_dir):
+    ensure_session_conf(spark)
+    return Warehouse(spark, sf_dir)
+
+
+def reserve_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _wh(spark, sf_dir)
+    return rsv.reserve_orders(w.orders, w.order_items, w.inventory_items)
+
+
+def reservation_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _wh(spark, sf_dir)
+    return rsv.reservation_failures(rsv.reserve_orders(w.orders, w.order_items, w.inventory_items))
+
+
+def _line_requests(w: Warehouse) -> DataFrame:
+    """Every lineitem row as one request; the id is assigned on the file scan
+    (stable for the same files and split settings)."""
+    li = w.raw("lineitem").withColumn("line_id", F.monotonically_increasing_id())
+    o = w.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    return li.join(o, "l_orderkey")
+
+
+def reserve_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _wh(spark, sf_dir)
+    req = _line_requests(w).select(
+        F.col("line_id").cast("string").alias("txn_id"), F.col("l_partkey").cast("string").alias("key"),
+        (-F.col("l_quantity").cast("long")).alias("delta"), F.col("o_orderdate").alias("arrival"))
+    inv = w.inventory_items
+    state = inv.select(F.col("sku").alias("key"),
+                       (F.col("qty_on_hand") - F.col("reserved_qty")).cast("long").alias("x0"),
+                       F.lit(0).cast("long").alias("floor"))
+    return rsv.sequential_admission(req, state, ["arrival"])
+
+
+def adjust_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returned lines restock (+qty), other lines ship out (-qty), in ship-date order."""
+    w = _wh(spark, sf_dir)
+    adj = _line_requests(w).select(
+        F.col("line_id").alias("adj_id"), F.col("l_partkey").cast("string").alias("sku"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(-F.col("l_quantity"))
+         .cast("long").alias("delta"),
+        F.col("l_shipdate").alias("ts"))
+    return rsv.adjust_stock(adj, w.inventory_items)
+
+
+def release_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cancelled orders release their lines' quantities from reserved stock."""
+    w = _wh(spark, sf_dir)
+    cancelled = w.orders.filter(F.col("status") == "cancelled").select(
+        F.col("id").alias("order_id"), F.timestamp_add("DAY", F.lit(2), F.col("created_at")).alias("ts"))
+    rel = (_line_requests(w).select(F.col("l_orderkey").alias("order_id"), "line_id",
+                                     F.col("l_partkey").cast("string").alias("sku"),
+                                     F.col("l_quantity").cast("long").alias("qty"))
+           .join(cancelled, "order_id")
+           .select(F.col("line_id").alias("release_id"), "sku", "qty", "ts"))
+    return rsv.release_reservations(rel, w.inventory_items)
+
+
+EXTRA_QUERIES = {
+    "stream_sales_by_hour": stream_sales_by_hour,
+    "stream_order_log": stream_order_log,
+    "quarantine": quarantine,
+    "stream_invoices": stream_invoices,
+    "stream_ledger_entries": stream_ledger_entries,
+    "reserve_orders": reserve_orders,
+    "reservation_failures": reservation_failures,
+    "reserve_lines": reserve_lines,
+    "adjust_stock": adjust_stock,
+    "release_reservations": release_reservations,
+}
+
+EXTRA_SQL = {
+    "stream_sales_by_hour": "SELECT * FROM d_sbh",
+    "stream_order_log": """
+        SELECT CAST(id AS VARCHAR) AS event_key, order_id, event_type, customer_id, total_amount, status,
+               event_timestamp, CAST(event_timestamp AS DATE) AS event_date
+        FROM m_order_events""",
+    "quarantine": "SELECT 'orders.error' AS subject, 'malformed_json' AS reason FROM events WHERE event_type = 'error'",
+    "stream_invoices": """
+        SELECT event_id AS id, event_id AS order_id, CAST(value AS DECIMAL(14,2)) AS amount,
+               'issued' AS status, ts AS issued_at, CAST(ts AS DATE) + 30 AS due_date
+        FROM events WHERE event_type = 'purchase'""",
+    "stream_ledger_entries": """
+        SELECT 'accounts_receivable' AS account, CAST(value AS DECIMAL(14,2)) AS debit,
+               CAST(0 AS DECIMAL(14,2)) AS credit, 'invoice' AS ref_type, event_id AS ref_id,
+               'Invoice for order ' || CAST(event_id AS VARCHAR) || ' - AR debit' AS description, ts AS created_at
+        FROM events WHERE event_type = 'purchase'
+        UNION ALL
+        SELECT 'revenue', CAST(0 AS DECIMAL(14,2)), CAST(value AS DECIMAL(14,2)), 'invoice', event_id,
+               'Invoice for order ' || CAST(event_id AS VARCHAR) || ' - Revenue credit', ts
+        FROM events WHERE event_type = 'purchase'""",
+}

@@ -65,6 +65,7 @@ EVENT_PAYLOAD = T.StructType([
     T.StructField("due_date", T.StringType()),
     T.StructField("timestamp", T.StringType()),
     T.StructField("created_at", T.StringType()),
+    T.StructField("_corrupt_record", T.StringType()),
 ])
 
 ORDER_EVENTS = T.StructType([

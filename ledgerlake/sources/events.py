@@ -97,8 +97,10 @@ def decode_events(raw: DataFrame, compat_key: bool = False) -> DataFrame:
     failure reason -> insufficient_stock; ``qty_reserved`` falls back to
     ``qty``; the event time is ``timestamp`` else ``created_at``.
     ``is_valid`` is FALSE for unparseable JSON or a missing/invalid time."""
-    p = F.from_json(F.col("data"), EVENT_PAYLOAD, {"mode": "PERMISSIVE"})
+    p = F.from_json(F.col("data"), EVENT_PAYLOAD,
+                    {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     parsed = raw.select("subject", "data", p.alias("p"))
+    bad = F.col("p").isNull() | F.col("p._corrupt_record").isNotNull()
     et = F.regexp_replace(F.col("subject"), "^" + SUBJECT_PREFIX.replace(".", r"\."), "")
     pp = F.col("p")
     zero_money = F.lit(0).cast("decimal(14,2)")
@@ -106,7 +108,8 @@ def decode_events(raw: DataFrame, compat_key: bool = False) -> DataFrame:
     out = parsed.select(
         "subject", "data",
         et.alias("event_type"),
-        event_key(F.col("subject"), pp, compat_key).alias("event_key"),
+        F.when(bad, F.concat(F.lit("raw:"), F.sha2(F.col("data"), 256)))
+         .otherwise(event_key(F.col("subject"), pp, compat_key)).alias("event_key"),
         pp["event_id"].alias("event_id"),
         pp["order_id"].alias("order_id"),
         pp["customer_id"].alias("customer_id"),
@@ -123,7 +126,7 @@ def decode_events(raw: DataFrame, compat_key: bool = False) -> DataFrame:
         F.coalesce(pp["amount"], zero_money).alias("amount"),
         pp["due_date"].try_cast("date").alias("due_date"),
         ts.alias("event_timestamp"),
-        (pp.isNotNull() & ts.isNotNull()).alias("is_valid"),
+        (~bad & ts.isNotNull()).alias("is_valid"),
     )
     return out
 
