@@ -7,7 +7,8 @@ contiguous chunks on many tasks:
 
 1. ``repartitionByRange(n, g, o)``; ``_pid`` = range partition index.
 2. running sum inside each (``_pid``, g) chunk (a window whose partitions
-   are bounded by the range-partition size), plus the chunk total;
+   are bounded by the range-partition size), written once as a table;
+   the chunk totals are an aggregate of it;
 3. per group, the totals of earlier chunks (a window over at most ``n`` chunk
    rows per group) give each chunk's offset;
 4. offset + local running sum = the group-wide running sum.
@@ -21,12 +22,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 
 def grouped_prefix_sums(df: DataFrame, group: list[str], order: list[str], values: list[str],
                         suffix: str = "_before", num_partitions: int | None = None,
-                        skew_safe: bool = True) -> DataFrame:
+                        skew_safe: bool = True, scratch: str | None = None) -> DataFrame:
     """Add ``<v><suffix>`` = sum of ``v`` over earlier rows (exclusive) of the
-    same group, in ``order``, for every ``v`` in ``values``."""
+    same group, in ``order``, for every ``v`` in ``values``.
+
+    The range-partitioned chunk table is written once (under ``scratch``,
+    default a fresh folder under ``spark.checkpoint.dir``) before offsets are
+    joined back: ``repartitionByRange`` samples its input with a seed tied to
+    the plan instance, so two un-shared evaluations could cut the chunks
+    differently."""
     zero = F.lit(0)
     if not skew_safe:
         w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -34,21 +43,18 @@ def grouped_prefix_sums(df: DataFrame, group: list[str], order: list[str], value
 
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[F.col(c) for c in group + order]) \
-               .withColumn("_pid", F.spark_partition_id())
+    path = scratch or scratch_path(spark, "prefix")
     chunk = ["_pid", *group]
     w_loc = Window.partitionBy(*chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    w_tot = Window.partitionBy(*chunk)
-    local = ranged.select(
-        "*",
-        *[F.coalesce(F.sum(v).over(w_loc), zero).alias(f"_loc_{v}") for v in values],
-        *[F.sum(v).over(w_tot).alias(f"_tot_{v}") for v in values])
-    # One row per chunk; the input is already hash-partitioned on the chunk key.
-    chunks = local.select(*chunk, *[f"_tot_{v}" for v in values]).dropDuplicates(chunk)
+    (df.repartitionByRange(n, *[F.col(c) for c in group + order])
+       .withColumn("_pid", F.spark_partition_id())
+       .select("*", *[F.coalesce(F.sum(v).over(w_loc), zero).alias(f"_loc_{v}") for v in values])
+       .write.parquet(path))
+    local = spark.read.parquet(path)
+    # One row per chunk (at most n per group), so the window by group is small.
+    chunks = local.groupBy(*chunk).agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])
     w_off = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = chunks.select(*chunk, *[F.coalesce(F.sum(f"_tot_{v}").over(w_off), zero).alias(f"_off_{v}")
                                       for v in values])
-    joined = local.join(offsets, chunk)
-    keep = [c for c in df.columns]
-    return joined.select(*keep, *[(F.col(f"_off_{v}") + F.col(f"_loc_{v}")).alias(v + suffix)
-                                  for v in values])
+    return local.join(offsets, chunk).select(
+        *df.columns, *[(F.col(f"_off_{v}") + F.col(f"_loc_{v}")).alias(v + suffix) for v in values])

@@ -99,7 +99,10 @@ def decode_events(raw: DataFrame, compat_key: bool = False) -> DataFrame:
     ``is_valid`` is FALSE for unparseable JSON or a missing/invalid time."""
     p = F.from_json(F.col("data"), EVENT_PAYLOAD,
                     {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    parsed = raw.select("subject", "data", p.alias("p"))
+    # The parse is fenced by a one-row generator: a later filter on a decoded
+    # field (validity, type) cannot be pushed below it, which would otherwise
+    # inline ``from_json`` into the filter and parse every message twice.
+    parsed = raw.select("subject", "data", F.explode(F.array(p)).alias("p"))
     bad = F.col("p").isNull() | F.col("p._corrupt_record").isNotNull()
     et = F.regexp_replace(F.col("subject"), "^" + SUBJECT_PREFIX.replace(".", r"\."), "")
     pp = F.col("p")
