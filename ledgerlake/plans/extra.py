@@ -15,6 +15,8 @@ from ..operators import reservation as rsv
 from ..session import ensure_session_conf, scratch_path
 from ..sources import events as ev
 from ..sources.tables import Warehouse
+from ..operators import sales
+from ..sources.sinks import export_csv, read_csv
 from ..streaming.ingest import IngestJob, read_event_stream, write_messages
 
 FILES = 8
@@ -66,6 +68,15 @@ def stream_ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(job.paths["ledger_entries"]).drop("batch_id")
 
 
+def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export the daily order volume as CSV with a header and read it back."""
+    w = _wh(spark, sf_dir)
+    df = sales.daily_order_volume(w.order_events)
+    path = scratch_path(spark, "export") + "/daily_order_volume.csv"
+    export_csv(df, path)
+    return read_csv(spark, path, df.schema)
+
+
 # --- iterative admission (rows-only: no SQL formulation) ----------------------
 
 def _wh(spark, sf_dir):
@@ -133,6 +144,7 @@ EXTRA_QUERIES = {
     "quarantine": quarantine,
     "stream_invoices": stream_invoices,
     "stream_ledger_entries": stream_ledger_entries,
+    "csv_export": csv_export,
     "reserve_orders": reserve_orders,
     "reservation_failures": reservation_failures,
     "reserve_lines": reserve_lines,
@@ -141,6 +153,7 @@ EXTRA_QUERIES = {
 }
 
 EXTRA_SQL = {
+    "csv_export": "SELECT * FROM d_dov",
     "stream_sales_by_hour": "SELECT * FROM d_sbh",
     "stream_order_log": """
         SELECT CAST(id AS VARCHAR) AS event_key, order_id, event_type, customer_id, total_amount, status,

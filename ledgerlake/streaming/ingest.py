@@ -32,6 +32,7 @@ from ..operators.ledger import post_invoices
 from ..operators.sales import sales_by_hour
 from ..schemas import PAYMENT_TERMS_DAYS, RAW_EVENT
 from ..sources import events as ev
+from ..sources.sinks import overwrite_partitions
 
 
 def read_event_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -96,8 +97,7 @@ class IngestJob:
                  "invoices", "ledger_entries")}
 
     def _append(self, df: DataFrame, name: str, batch_id: int, parts=("event_date", "batch_id")) -> None:
-        (df.withColumn("batch_id", F.lit(batch_id))
-           .write.mode("overwrite").partitionBy(*parts).parquet(self.paths[name]))
+        overwrite_partitions(df.withColumn("batch_id", F.lit(batch_id)), self.paths[name], *parts)
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
