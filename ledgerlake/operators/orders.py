@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import left_join_hot_right
 from ..functions.timefns import days_before
 from ..schemas import ALLOWED_TRANSITIONS, MONEY, MONEY_SUM
 
@@ -40,7 +41,7 @@ def order_details(orders: DataFrame, customers: DataFrame, order_items: DataFram
                          F.col("email").alias("customer_email"))
     header = orders.select(F.col("id").alias("order_id"), "customer_id", "status",
                            "total_amount", "created_at").join(c, "customer_id")
-    return header.join(order_lines(order_items, products), "order_id", "left").select(
+    return left_join_hot_right(header, order_lines(order_items, products), ["order_id"]).select(
         "order_id", "customer_id", "customer_name", "customer_email", "status", "total_amount",
         "created_at", "item_created_at", "line_number", "sku", "product_name", "qty", "line_total")
 
@@ -69,7 +70,7 @@ def orders_with_items(orders: DataFrame, order_items: DataFrame, as_of, days: in
         F.col("id").alias("order_id"), "customer_id", "status", "total_amount", "created_at")
     children = order_items.join(parents.select("order_id"), "order_id", "left_semi").select(
         "order_id", "line_number", "sku", "qty", "line_total")
-    return parents.join(children, "order_id", "left")
+    return left_join_hot_right(parents, children, ["order_id"])
 
 
 def price_order_items(order_items: DataFrame, products: DataFrame) -> DataFrame:
