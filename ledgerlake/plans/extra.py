@@ -17,7 +17,7 @@ from ..sources import events as ev
 from ..sources.tables import Warehouse
 from ..operators import sales
 from ..sources.sinks import export_csv, read_csv
-from ..streaming.ingest import IngestJob, read_event_stream, write_messages
+from ..streaming.ingest import IngestJob, dedup_stream, read_event_stream, write_messages
 
 FILES = 8
 FILES_PER_TRIGGER = 3
@@ -68,6 +68,29 @@ def stream_ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(job.paths["ledger_entries"]).drop("batch_id")
 
 
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event source -> decode -> dedup -> the exactly-once streaming file
+    sink (no foreachBatch), read back through the sink's metadata log."""
+    ensure_session_conf(spark)
+    w = Warehouse(spark, sf_dir)
+    root = scratch_path(spark, "events")
+    write_messages(_messages(w), f"{root}/inbox", FILES)
+    decoded = dedup_stream(ev.decode_events(read_event_stream(spark, f"{root}/inbox", FILES_PER_TRIGGER)))
+    q = (decoded.select("subject", "event_key", "order_id", "customer_id", "total_amount", "event_timestamp")
+         .writeStream.format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+def explode_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_created messages with items (parts of at most 100 items) ->
+    decode -> one row per item."""
+    w = _wh(spark, sf_dir)
+    msgs = ev.emit_orders_with_items(w.orders, w.order_items)
+    return ev.explode_items(ev.decode_events(msgs)).select("order_id", "position", "sku", "qty", "line_total")
+
+
 def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export the daily order volume as CSV with a header and read it back."""
     w = _wh(spark, sf_dir)
@@ -144,6 +167,8 @@ EXTRA_QUERIES = {
     "quarantine": quarantine,
     "stream_invoices": stream_invoices,
     "stream_ledger_entries": stream_ledger_entries,
+    "stream_events": stream_events,
+    "explode_order_items": explode_order_items,
     "csv_export": csv_export,
     "reserve_orders": reserve_orders,
     "reservation_failures": reservation_failures,
@@ -154,6 +179,19 @@ EXTRA_QUERIES = {
 
 EXTRA_SQL = {
     "csv_export": "SELECT * FROM d_dov",
+    "stream_events": """
+        SELECT 'orders.' || CASE event_type WHEN 'purchase' THEN 'order_created'
+                                            WHEN 'click' THEN 'order_updated' ELSE event_type END AS subject,
+               CAST(event_id AS VARCHAR) AS event_key, event_id AS order_id, user_id AS customer_id,
+               CAST(value AS DECIMAL(14,2)) AS total_amount, ts AS event_timestamp
+        FROM events""",
+    "explode_order_items": """
+        SELECT order_id,
+               CAST(row_number() OVER (PARTITION BY order_id
+                                       ORDER BY created_at, line_number, sku, qty, line_total) AS INTEGER)
+                 AS position,
+               sku, qty, line_total
+        FROM m_order_items""",
     "stream_sales_by_hour": "SELECT * FROM d_sbh",
     "stream_order_log": """
         SELECT CAST(id AS VARCHAR) AS event_key, order_id, event_type, customer_id, total_amount, status,

@@ -165,6 +165,7 @@ QUERIES: dict[str, Query] = {
     "audit_events": _q(lambda w: audit.audit_events(w.events_log, AUDIT_EVENT_TYPE)),
     "format_display": _q(lambda w: audit.format_display(w.orders, w.customers)),
     # --- events: emit / decode / route / log / dedup ---------------------------
+    "emit_events": _q(lambda w: ev.emit_order_events(w.order_events)),
     "decode_events": _q(lambda w: ev.order_log_rows(_decoded_raw(w)).drop("event_key", "event_date")),
     "route_events": _q(lambda w: ev.route_counts(_decoded_raw(w))),
     "order_event_log": _q(lambda w: ev.order_log_rows(ev.decode_events(ev.emit_order_events(w.order_events)))),

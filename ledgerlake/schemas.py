@@ -39,11 +39,16 @@ RAW_EVENT = T.StructType([
 
 ORDER_ITEM_PAYLOAD = T.StructType([
     T.StructField("id", T.StringType()),
+    T.StructField("position", T.IntegerType()),
     T.StructField("sku", T.StringType()),
     T.StructField("qty", T.IntegerType()),
     T.StructField("price", PRICE),
+    T.StructField("line_total", MONEY),
     T.StructField("created_at", T.StringType()),
 ])
+# An order_created message carries at most this many items; larger orders
+# are sent as several parts (event ids "<order>-<part>").
+ITEMS_PER_MESSAGE = 100
 
 # Union of all payload fields; absent fields decode to NULL and are then
 # defaulted per event type (see sources.events.decode_events).

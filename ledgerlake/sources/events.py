@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import EVENT_PAYLOAD, EVENT_TYPES, SUBJECT_PREFIX
+from ..schemas import EVENT_PAYLOAD, EVENT_TYPES, ITEMS_PER_MESSAGE, SUBJECT_PREFIX
 
 ISO_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -149,12 +149,50 @@ def route_counts(decoded: DataFrame) -> DataFrame:
 
 
 def explode_items(decoded: DataFrame) -> DataFrame:
-    """One row per item of ``order_created`` payloads (keeps item position)."""
-    return (decoded.filter(F.col("event_type") == "order_created")
-            .select("order_id", "event_timestamp", F.posexplode("items").alias("position", "item"))
-            .select("order_id", "event_timestamp", (F.col("position") + 1).alias("position"),
+    """One row per item of ``order_created`` payloads.  The item position is
+    the payload's ``position`` when present, else its index in the message."""
+    return (decoded.filter(F.col("is_valid") & (F.col("event_type") == "order_created"))
+            .select("order_id", "event_timestamp", F.posexplode("items").alias("idx", "item"))
+            .select("order_id", "event_timestamp",
+                    F.coalesce(F.col("item.position"), F.col("idx") + 1).alias("position"),
                     F.col("item.sku").alias("sku"), F.col("item.qty").alias("qty"),
-                    F.col("item.price").alias("price")))
+                    F.col("item.price").alias("price"), F.col("item.line_total").alias("line_total")))
+
+
+_ITEMS_TYPE = ("array<struct<id:string,position:int,sku:string,qty:int,"
+               "line_total:decimal(14,2),created_at:string>>")
+
+
+def emit_orders_with_items(orders: DataFrame, order_items: DataFrame,
+                           per_message: int = ITEMS_PER_MESSAGE) -> DataFrame:
+    """``order_created`` messages with their items.  Lines are numbered per
+    order with the skew-safe running count and cut into parts of at most
+    ``per_message`` items, so neither a message nor a grouping task grows
+    with the size of one order.  Orders without lines send one empty part."""
+    from ..functions.joins import left_join_hot_right
+    from ..functions.prefix import grouped_prefix_sums
+    order_cols = ["created_at", "line_number", "sku", "qty", "line_total"]
+    lines = order_items.select("order_id", *order_cols, F.lit(1).cast("long").alias("one"))
+    numbered = grouped_prefix_sums(lines, ["order_id"], order_cols, ["one"])
+    item = F.struct(
+        F.concat_ws("-", F.col("order_id").cast("string"), (F.col("one_before") + 1).cast("string")).alias("id"),
+        (F.col("one_before") + 1).cast("int").alias("position"), "sku", "qty", "line_total",
+        iso(F.col("created_at")).alias("created_at"))
+    parts = (numbered.withColumn("part", F.floor(F.col("one_before") / per_message).cast("long"))
+             .groupBy("order_id", "part").agg(F.array_sort(F.collect_list(item)).alias("items")))
+    header = orders.select(F.col("id").alias("order_id"), "customer_id", "status", "total_amount",
+                           "created_at")
+    msgs = left_join_hot_right(header, parts, ["order_id"])
+    return emit(msgs, "order_created", {
+        "event_id": F.concat_ws("-", F.col("order_id").cast("string"),
+                                F.coalesce(F.col("part"), F.lit(0)).cast("string")),
+        "order_id": F.col("order_id"),
+        "customer_id": F.col("customer_id"),
+        "status": F.col("status"),
+        "total_amount": F.col("total_amount"),
+        "items": F.coalesce(F.col("items"), F.array().cast(_ITEMS_TYPE)),
+        "timestamp": iso(F.col("created_at")),
+    })
 
 
 # --- log shapes (what is appended to each event log) -----------------------

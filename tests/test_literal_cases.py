@@ -223,3 +223,17 @@ def test_payload_defaults_and_compat_key(spark):
     assert counts["skipped"] == 1
     compat = ev.decode_events(raw, compat_key=True).filter("event_type = 'stock_reserved'").first()
     assert compat.event_key == "orders.stock_reserved:5"
+
+
+def test_large_orders_are_split_into_bounded_messages(spark):
+    orders = spark.createDataFrame([(1, 7, "draft", D("10.00"), T0), (2, 8, "placed", D("5.00"), T0)],
+                                   "id long, customer_id long, status string, total_amount decimal(14,2), "
+                                   "created_at timestamp_ntz")
+    items = spark.createDataFrame(
+        [(1, n, f"S{n}", n, D(f"{n}.00"), T0 + dt.timedelta(hours=5 - n)) for n in range(1, 6)],
+        "order_id long, line_number int, sku string, qty int, line_total decimal(14,2), created_at timestamp_ntz")
+    msgs = ev.emit_orders_with_items(orders, items, per_message=2)
+    assert msgs.count() == 4  # order 1 in parts of 2+2+1, order 2 one empty part
+    got = sorted((r.order_id, r.position, r.sku) for r in ev.explode_items(ev.decode_events(msgs)).collect())
+    # item order is by created_at: S5 is earliest
+    assert got == [(1, 1, "S5"), (1, 2, "S4"), (1, 3, "S3"), (1, 4, "S2"), (1, 5, "S1")]
