@@ -91,6 +91,20 @@ def explode_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.explode_items(ev.decode_events(msgs)).select("order_id", "position", "sku", "qty", "line_total")
 
 
+def stream_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_created messages with items -> stream -> stock reservation in
+    foreachBatch.  All messages are available at once, so they form one
+    micro-batch and the result equals ``reserve_orders``."""
+    ensure_session_conf(spark)
+    w = Warehouse(spark, sf_dir)
+    root = scratch_path(spark, "reserve-stream")
+    write_messages(ev.emit_orders_with_items(w.orders, w.order_items), f"{root}/inbox", FILES)
+    job = IngestJob(spark, store=f"{root}/store", checkpoint=f"{root}/checkpoint", inventory=w.inventory_items)
+    job.run_available(read_event_stream(spark, f"{root}/inbox"))
+    return spark.read.parquet(job.paths["reservations"]).select(
+        "order_id", F.col("arrival").alias("created_at"), "reserved", "reason")
+
+
 def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export the daily order volume as CSV with a header and read it back."""
     w = _wh(spark, sf_dir)
@@ -171,6 +185,7 @@ EXTRA_QUERIES = {
     "explode_order_items": explode_order_items,
     "csv_export": csv_export,
     "reserve_orders": reserve_orders,
+    "stream_reservations": stream_reservations,
     "reservation_failures": reservation_failures,
     "reserve_lines": reserve_lines,
     "adjust_stock": adjust_stock,

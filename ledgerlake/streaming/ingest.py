@@ -15,13 +15,18 @@ same DataFrame comes from ``readStream.format("kafka")``).  Per micro-batch
    those ``sales_date`` partitions; the touched dates never leave the
    cluster (semi-join with dynamic partition pruning, no collect);
 5. optionally generate invoices + ledger postings for newly created orders
-   (anti-join against invoices already written).
+   (anti-join against invoices already written);
+6. optionally reserve stock for newly created orders (all-or-nothing, in
+   arrival order, against base stock plus earlier batches' reservations) and
+   emit ``stock_reserved`` / ``reservation_failed`` events.
 
 Checkpoints and tables live under the shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
+import logging
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +39,8 @@ from ..schemas import PAYMENT_TERMS_DAYS, RAW_EVENT
 from ..sources import events as ev
 from ..sources.sinks import overwrite_partitions
 
+log = logging.getLogger(__name__)
+
 
 def read_event_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming DataFrame of raw messages from JSON-lines files under ``path``."""
@@ -66,7 +73,7 @@ def refresh_sales(spark: SparkSession, order_log_path: str, sales_path: str, tou
     log = spark.read.parquet(order_log_path)
     part = log.join(touched, "event_date", "left_semi")
     out = sales_by_hour(part).withColumn("sales_date", F.to_date("hour"))
-    out.write.mode("overwrite").partitionBy("sales_date").parquet(sales_path)
+    overwrite_partitions(out, sales_path, "sales_date")
 
 
 def invoices_for_new_orders(created: DataFrame, existing: DataFrame | None,
@@ -82,6 +89,13 @@ def invoices_for_new_orders(created: DataFrame, existing: DataFrame | None,
         F.date_add(F.to_date("event_timestamp"), terms_days).alias("due_date"))
 
 
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - nothing written yet
+        return None
+
+
 @dataclass
 class IngestJob:
     spark: SparkSession
@@ -89,12 +103,13 @@ class IngestJob:
     checkpoint: str              # streaming checkpoint folder
     dedup_watermark: str | None = None
     billing: bool = False
+    inventory: DataFrame | None = None   # base stock; set to reserve stock for new orders
 
     @property
     def paths(self) -> dict[str, str]:
         return {n: f"{self.store}/{n}" for n in
                 ("order_events", "stock_events", "invoice_events", "quarantine", "sales_by_hour",
-                 "invoices", "ledger_entries")}
+                 "invoices", "ledger_entries", "reservations", "reserved_qty", "reservation_events")}
 
     def _append(self, df: DataFrame, name: str, batch_id: int, parts=("event_date", "batch_id")) -> None:
         overwrite_partitions(df.withColumn("batch_id", F.lit(batch_id)), self.paths[name], *parts)
@@ -103,19 +118,25 @@ class IngestJob:
         spark = batch.sparkSession
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         batch = batch.persist()
+        t0 = time.perf_counter()
         try:
             orders = ev.order_log_rows(batch)
             self._append(orders, "order_events", batch_id)
             self._append(ev.stock_log_rows(batch), "stock_events", batch_id)
             self._append(ev.invoice_log_rows(batch), "invoice_events", batch_id)
             self._append(ev.quarantine_rows(batch), "quarantine", batch_id, parts=("batch_id",))
+            log.debug("batch %d: logs %.2fs", batch_id, time.perf_counter() - t0)
             created = orders.filter(F.col("event_type") == "order_created")
             touched = created.select("event_date").distinct()
             # A scalar existence check, not a collect of the dates.
             if touched.limit(1).count() > 0:
                 refresh_sales(spark, self.paths["order_events"], self.paths["sales_by_hour"], touched)
+                log.debug("batch %d: sales refresh %.2fs", batch_id, time.perf_counter() - t0)
                 if self.billing:
                     self._bill(spark, created, batch_id)
+                if self.inventory is not None:
+                    self._reserve(spark, batch, batch_id)
+                log.debug("batch %d: done %.2fs", batch_id, time.perf_counter() - t0)
         finally:
             batch.unpersist()
 
@@ -130,6 +151,59 @@ class IngestJob:
         (post_invoices(written).withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").partitionBy("batch_id").parquet(self.paths["ledger_entries"]))
 
+    def _reserve(self, spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
+        """All-or-nothing reservation of the batch's new orders, in arrival
+        order, against base stock plus what earlier batches reserved.  Only
+        the SKUs of this batch are read (semi-joins), and an order decided in
+        an earlier batch is not reserved again."""
+        from ..operators.reservation import ADMITTED, sequential_admission
+        items = ev.explode_items(batch)
+        decided = _read_or_none(spark, self.paths["reservations"])
+        if decided is not None:
+            items = items.join(decided.filter(F.col("batch_id") != batch_id).select("order_id"),
+                               "order_id", "left_anti")
+        orders = ev.order_log_rows(batch).filter(F.col("event_type") == "order_created") \
+            .select("order_id", F.col("event_timestamp").alias("arrival")).dropDuplicates(["order_id"])
+        if decided is not None:
+            orders = orders.join(decided.filter(F.col("batch_id") != batch_id).select("order_id"),
+                                 "order_id", "left_anti")
+        skus = items.select(F.col("sku").alias("key")).distinct()
+        base = self.inventory.select(
+            F.col("sku").alias("key"),
+            (F.col("qty_on_hand") - F.col("reserved_qty")).cast("long").alias("x0")).join(skus, "key", "left_semi")
+        taken = _read_or_none(spark, self.paths["reserved_qty"])
+        if taken is not None:
+            used = (taken.filter(F.col("batch_id") != batch_id).join(skus, F.col("sku") == F.col("key"), "left_semi")
+                    .groupBy(F.col("sku").alias("key")).agg(F.sum("qty").alias("used")))
+            base = base.join(used, "key", "left").select(
+                "key", (F.col("x0") - F.coalesce(F.col("used"), F.lit(0))).alias("x0"))
+        state = base.select("key", "x0", F.lit(0).cast("long").alias("floor"))
+        lines = items.join(orders, "order_id").select(
+            F.col("order_id").alias("txn_id"), F.col("sku").alias("key"),
+            (-F.col("qty").cast("long")).alias("delta"), "arrival")
+        dec = sequential_admission(lines, state, ["arrival"])
+        with_lines = orders.join(lines.select(F.col("txn_id").alias("order_id")).distinct(), "order_id")
+        empty = orders.join(with_lines.select("order_id"), "order_id", "left_anti") \
+            .select("order_id", "arrival", F.lit(True).alias("reserved"), F.lit(None).cast("string").alias("reason"))
+        decisions = (dec.select(F.col("txn_id").alias("order_id"), "arrival",
+                                (F.col("decision") == ADMITTED).alias("reserved"),
+                                F.when(F.col("reason") == "unknown_key", "unknown_sku")
+                                 .when(F.col("reason") == "insufficient", "insufficient_stock").alias("reason"))
+                     .unionByName(empty).withColumn("batch_id", F.lit(batch_id)))
+        overwrite_partitions(decisions, self.paths["reservations"], "batch_id")
+        dec_t = spark.read.parquet(self.paths["reservations"]).filter(F.col("batch_id") == batch_id)
+        per_line = items.join(dec_t.select("order_id", "reserved", "arrival"), "order_id")
+        admitted = per_line.filter("reserved").groupBy("sku").agg(F.sum("qty").cast("long").alias("qty"))
+        overwrite_partitions(admitted.withColumn("batch_id", F.lit(batch_id)), self.paths["reserved_qty"], "batch_id")
+        stock = per_line.select(
+            F.when(F.col("reserved"), "stock_reserved").otherwise("reservation_failed").alias("event_type"),
+            "sku", "order_id", F.when(F.col("reserved"), F.col("qty")).otherwise(0).cast("int").alias("qty_reserved"),
+            F.col("arrival").alias("event_timestamp"))
+        self._append(stock.withColumn("event_key", F.concat_ws(":", F.lit("reservation"), F.col("order_id"),
+                                                               F.col("sku")))
+                     .withColumn("event_date", F.to_date("event_timestamp")),
+                     "reservation_events", batch_id)
+
     def start(self, raw_stream: DataFrame, available_now: bool = True,
               processing_time: str | None = None) -> StreamingQuery:
         decoded = dedup_stream(ev.decode_events(raw_stream), self.dedup_watermark)

@@ -82,3 +82,34 @@ def test_quarantine_and_windowed_update_mode(spark):
     wq.awaitTermination()
     got = {r.hour.hour: r.total_orders for r in spark.sql(f"select * from {name}").collect()}
     assert got == {0: 3, 1: 3, 2: 3}
+
+
+def test_streaming_reservation_carries_state_across_batches(spark):
+    from ledgerlake.operators.reservation import reserve_orders
+    t0 = dt.datetime(2024, 1, 1)
+    inv = spark.createDataFrame([("A", 10, 0, 0, t0), ("B", 5, 1, 0, t0)],
+                                "sku string, qty_on_hand int, reserved_qty int, reorder_point int, "
+                                "updated_at timestamp_ntz")
+    orders = spark.createDataFrame(
+        [(i, 1, "draft", Decimal("1.00"), t0 + dt.timedelta(hours=i)) for i in range(1, 7)],
+        "id long, customer_id long, status string, total_amount decimal(14,2), created_at timestamp_ntz")
+    items = spark.createDataFrame(
+        [(1, 1, "A", 4), (1, 2, "B", 2), (2, 1, "A", 5), (3, 1, "B", 3), (4, 1, "A", 2),
+         (5, 1, "B", 2), (5, 2, "Z", 1), (6, 1, "A", 1)],
+        "order_id long, line_number int, sku string, qty int").withColumn(
+        "line_total", F.lit(Decimal("1.00")).cast("decimal(14,2)")).withColumn("created_at", F.lit(t0))
+    root = scratch_path(spark, "t-res")
+    msgs = ev.emit_orders_with_items(orders, items)
+    job = IngestJob(spark, f"{root}/store", f"{root}/ckpt", inventory=inv)
+    # first drop: orders 1-3, second drop: orders 4-6 plus a redelivery of order 2
+    first = msgs.filter(F.get_json_object("data", "$.order_id").cast("long") <= 3)
+    first.coalesce(1).write.json(f"{root}/in/b1")
+    job.run_available(read_event_stream(spark, f"{root}/in/*"))
+    msgs.filter(F.get_json_object("data", "$.order_id").cast("long") >= 2).coalesce(1).write.json(f"{root}/in/b2")
+    job.run_available(read_event_stream(spark, f"{root}/in/*"))
+    got = {r.order_id: r.reserved for r in spark.read.parquet(job.paths["reservations"]).collect()}
+    want = {r.order_id: r.reserved for r in reserve_orders(orders, items, inv).collect()}
+    # A: 10 -> o1 takes 4, o2 takes 5, o4 (2) fails, o6 takes 1; B: 4 -> o1 takes 2, o3 (3) fails
+    assert got == want == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
+    ev_rows = spark.read.parquet(job.paths["reservation_events"])
+    assert ev_rows.filter("event_type = 'stock_reserved'").count() == 4
