@@ -99,7 +99,8 @@ def stream_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Warehouse(spark, sf_dir)
     root = scratch_path(spark, "reserve-stream")
     write_messages(ev.emit_orders_with_items(w.orders, w.order_items), f"{root}/inbox", FILES)
-    job = IngestJob(spark, store=f"{root}/store", checkpoint=f"{root}/checkpoint", inventory=w.inventory_items)
+    job = IngestJob(spark, store=f"{root}/store", checkpoint=f"{root}/checkpoint", analytics=False,
+                    inventory=w.inventory_items)
     job.run_available(read_event_stream(spark, f"{root}/inbox"))
     return spark.read.parquet(job.paths["reservations"]).select(
         "order_id", F.col("arrival").alias("created_at"), "reserved", "reason")

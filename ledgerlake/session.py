@@ -56,14 +56,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     (local tests) do we create a private temporary folder and register it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="ledgerlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
-    # SparkContext may have turned the folder into a per-app subfolder; keep
-    # the user-visible root for our own tables.
     return root.rstrip("/")
 
 

@@ -18,7 +18,11 @@ same DataFrame comes from ``readStream.format("kafka")``).  Per micro-batch
    (anti-join against invoices already written);
 6. optionally reserve stock for newly created orders (all-or-nothing, in
    arrival order, against base stock plus earlier batches' reservations) and
-   emit ``stock_reserved`` / ``reservation_failed`` events.
+   publish ``stock_reserved`` / ``reservation_failed`` messages to an outbox.
+
+The roles can run as separate consumers of the same stream (as the source
+system's analytics, billing and inventory services do): ``analytics``,
+``billing`` and ``inventory`` switch them on independently.
 
 Checkpoints and tables live under the shared ``spark.checkpoint.dir``.
 """
@@ -102,14 +106,15 @@ class IngestJob:
     store: str                   # root folder of the analytics tables
     checkpoint: str              # streaming checkpoint folder
     dedup_watermark: str | None = None
-    billing: bool = False
+    analytics: bool = True               # event logs, quarantine, sales rollup refresh
+    billing: bool = False                # invoices + ledger postings for new orders
     inventory: DataFrame | None = None   # base stock; set to reserve stock for new orders
 
     @property
     def paths(self) -> dict[str, str]:
         return {n: f"{self.store}/{n}" for n in
                 ("order_events", "stock_events", "invoice_events", "quarantine", "sales_by_hour",
-                 "invoices", "ledger_entries", "reservations", "reserved_qty", "reservation_events")}
+                 "invoices", "ledger_entries", "reservations", "reserved_qty", "outbox")}
 
     def _append(self, df: DataFrame, name: str, batch_id: int, parts=("event_date", "batch_id")) -> None:
         overwrite_partitions(df.withColumn("batch_id", F.lit(batch_id)), self.paths[name], *parts)
@@ -121,22 +126,25 @@ class IngestJob:
         t0 = time.perf_counter()
         try:
             orders = ev.order_log_rows(batch)
-            self._append(orders, "order_events", batch_id)
-            self._append(ev.stock_log_rows(batch), "stock_events", batch_id)
-            self._append(ev.invoice_log_rows(batch), "invoice_events", batch_id)
-            self._append(ev.quarantine_rows(batch), "quarantine", batch_id, parts=("batch_id",))
-            log.debug("batch %d: logs %.2fs", batch_id, time.perf_counter() - t0)
             created = orders.filter(F.col("event_type") == "order_created")
-            touched = created.select("event_date").distinct()
+            if self.analytics:
+                self._append(orders, "order_events", batch_id)
+                self._append(ev.stock_log_rows(batch), "stock_events", batch_id)
+                self._append(ev.invoice_log_rows(batch), "invoice_events", batch_id)
+                self._append(ev.quarantine_rows(batch), "quarantine", batch_id, parts=("batch_id",))
+                log.debug("batch %d: logs %.2fs", batch_id, time.perf_counter() - t0)
             # A scalar existence check, not a collect of the dates.
-            if touched.limit(1).count() > 0:
+            if created.limit(1).count() == 0:
+                return
+            if self.analytics:
+                touched = created.select("event_date").distinct()
                 refresh_sales(spark, self.paths["order_events"], self.paths["sales_by_hour"], touched)
                 log.debug("batch %d: sales refresh %.2fs", batch_id, time.perf_counter() - t0)
-                if self.billing:
-                    self._bill(spark, created, batch_id)
-                if self.inventory is not None:
-                    self._reserve(spark, batch, batch_id)
-                log.debug("batch %d: done %.2fs", batch_id, time.perf_counter() - t0)
+            if self.billing:
+                self._bill(spark, created, batch_id)
+            if self.inventory is not None:
+                self._reserve(spark, batch, batch_id)
+            log.debug("batch %d: done %.2fs", batch_id, time.perf_counter() - t0)
         finally:
             batch.unpersist()
 
@@ -195,14 +203,18 @@ class IngestJob:
         per_line = items.join(dec_t.select("order_id", "reserved", "arrival"), "order_id")
         admitted = per_line.filter("reserved").groupBy("sku").agg(F.sum("qty").cast("long").alias("qty"))
         overwrite_partitions(admitted.withColumn("batch_id", F.lit(batch_id)), self.paths["reserved_qty"], "batch_id")
-        stock = per_line.select(
-            F.when(F.col("reserved"), "stock_reserved").otherwise("reservation_failed").alias("event_type"),
-            "sku", "order_id", F.when(F.col("reserved"), F.col("qty")).otherwise(0).cast("int").alias("qty_reserved"),
-            F.col("arrival").alias("event_timestamp"))
-        self._append(stock.withColumn("event_key", F.concat_ws(":", F.lit("reservation"), F.col("order_id"),
-                                                               F.col("sku")))
-                     .withColumn("event_date", F.to_date("event_timestamp")),
-                     "reservation_events", batch_id)
+        # Publish the outcome as messages (one per line): the outbox is the
+        # broker-facing sink; the analytics consumer ingests it like any event.
+        outcome = F.when(F.col("reserved"), "stock_reserved").otherwise("reservation_failed")
+        msgs = ev.emit(per_line, outcome, {
+            "event_id": F.concat_ws(":", outcome, F.col("order_id").cast("string"), F.col("sku")),
+            "order_id": F.col("order_id"),
+            "sku": F.col("sku"),
+            "qty_reserved": F.when(F.col("reserved"), F.col("qty")).otherwise(0),
+            "reason": F.when(~F.col("reserved"), F.lit("insufficient_stock")),
+            "timestamp": ev.iso(F.col("arrival")),
+        })
+        overwrite_partitions(msgs.withColumn("batch_id", F.lit(batch_id)), self.paths["outbox"], "batch_id")
 
     def start(self, raw_stream: DataFrame, available_now: bool = True,
               processing_time: str | None = None) -> StreamingQuery:

@@ -237,3 +237,9 @@ def test_large_orders_are_split_into_bounded_messages(spark):
     got = sorted((r.order_id, r.position, r.sku) for r in ev.explode_items(ev.decode_events(msgs)).collect())
     # item order is by created_at: S5 is earliest
     assert got == [(1, 1, "S5"), (1, 2, "S4"), (1, 3, "S3"), (1, 4, "S2"), (1, 5, "S1")]
+
+
+def test_uuid_format_rule(spark):
+    df = spark.createDataFrame([("550e8400-e29b-41d4-a716-446655440001",), ("order-1",)], "id string")
+    bad = quality.violations(df, [quality.uuid_rule("id")], "id").collect()
+    assert [(r.row_key, r.violations) for r in bad] == [("order-1", ["id_uuid_format"])]
