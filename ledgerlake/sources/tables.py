@@ -141,19 +141,21 @@ def bind_invoices(orders_model: DataFrame) -> DataFrame:
 
 
 def bind_order_events(events: DataFrame) -> DataFrame:
-    """purchase -> order_created, click -> order_updated."""
-    etype = (F.when(F.col("event_type") == "purchase", "order_created")
-             .when(F.col("event_type") == "click", "order_updated"))
-    return (events.filter(F.col("event_type").isin("purchase", "click"))
-            .select(
-                F.col("event_id").alias("id"),
-                F.col("event_id").alias("order_id"),
-                etype.alias("event_type"),
-                F.col("user_id").alias("customer_id"),
-                F.col("value").cast(MONEY).alias("total_amount"),
-                F.when(F.col("event_type") == "purchase", "placed").alias("status"),
-                F.col("ts").alias("event_timestamp"),
-            ))
+    """purchase -> order_created, click -> order_updated.  Written as a union
+    of one filtered projection per type: a filter on the mapped type then
+    prunes the other branch and reaches the scan as ``event_type = ...``."""
+    def branch(raw: str, mapped: str, status) -> DataFrame:
+        return events.filter(F.col("event_type") == raw).select(
+            F.col("event_id").alias("id"),
+            F.col("event_id").alias("order_id"),
+            F.lit(mapped).alias("event_type"),
+            F.col("user_id").alias("customer_id"),
+            F.col("value").cast(MONEY).alias("total_amount"),
+            F.lit(status).cast("string").alias("status"),
+            F.col("ts").alias("event_timestamp"),
+        )
+    return branch("purchase", "order_created", "placed").unionByName(
+        branch("click", "order_updated", None))
 
 
 def bind_stock_events(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
