@@ -3,6 +3,7 @@ by name, with the limit validated (1..1000) before any plan is built."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -80,3 +81,15 @@ def run_query(spark: SparkSession, sf_dir: str, name: str, limit: int | None = D
     if not MIN_LIMIT <= n <= MAX_LIMIT:
         raise QueryRejected(f"limit must be within {MIN_LIMIT}..{MAX_LIMIT}, got {n}")
     return CATALOGUE[name].build(Warehouse(spark, sf_dir), n, params or {})
+
+
+def query_envelope(spark: SparkSession, sf_dir: str, name: str, limit: int | None = DEFAULT_LIMIT,
+                   params: dict | None = None) -> dict:
+    """The API result shape: name, column names, rows, row count and
+    execution time.  Only the already limited result (at most 1000 rows)
+    reaches the driver."""
+    df = run_query(spark, sf_dir, name, limit, params)
+    t0 = time.perf_counter()
+    rows = [tuple(r) for r in df.collect()]
+    return {"query_name": name, "columns": df.columns, "rows": rows, "row_count": len(rows),
+            "execution_time_ms": round((time.perf_counter() - t0) * 1000, 2)}

@@ -216,6 +216,18 @@ class IngestJob:
         })
         overwrite_partitions(msgs.withColumn("batch_id", F.lit(batch_id)), self.paths["outbox"], "batch_id")
 
+    def rebuild_sales(self) -> None:
+        """Rebuild the hourly rollup from the whole order log (every date is
+        "touched"); the same batch function as the incremental refresh."""
+        log = self.spark.read.parquet(self.paths["order_events"])
+        out = sales_by_hour(log).withColumn("sales_date", F.to_date("hour"))
+        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+        try:
+            out.hint("rebalance", "sales_date").write.mode("overwrite").partitionBy("sales_date") \
+               .parquet(self.paths["sales_by_hour"] + "_rebuilt")
+        finally:
+            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+
     def start(self, raw_stream: DataFrame, available_now: bool = True,
               processing_time: str | None = None) -> StreamingQuery:
         decoded = dedup_stream(ev.decode_events(raw_stream), self.dedup_watermark)

@@ -243,3 +243,10 @@ def test_uuid_format_rule(spark):
     df = spark.createDataFrame([("550e8400-e29b-41d4-a716-446655440001",), ("order-1",)], "id string")
     bad = quality.violations(df, [quality.uuid_rule("id")], "id").collect()
     assert [(r.row_key, r.violations) for r in bad] == [("order-1", ["id_uuid_format"])]
+
+
+def test_query_envelope(spark):
+    from ledgerlake.plans.catalogue import query_envelope
+    env = query_envelope(spark, SF_SMALL, "top_customers", limit=5)
+    assert env["columns"] == ["customer_id", "customer_name", "total_outstanding"]
+    assert env["row_count"] == len(env["rows"]) == 5
