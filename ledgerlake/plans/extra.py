@@ -34,11 +34,17 @@ def _messages(w: Warehouse, poison: bool = False) -> DataFrame:
 
 
 def _run_stream(spark: SparkSession, sf_dir: str, poison: bool = False, billing: bool = False) -> IngestJob:
+    """The analytics consumer, or (``billing``) the billing consumer with
+    per-order idempotency kept in the stream's state."""
     ensure_session_conf(spark)
     w = Warehouse(spark, sf_dir)
     root = scratch_path(spark, "ingest")
     write_messages(_messages(w, poison), f"{root}/inbox", FILES)
-    job = IngestJob(spark, store=f"{root}/store", checkpoint=f"{root}/checkpoint", billing=billing)
+    if billing:
+        job = IngestJob(spark, store=f"{root}/store", checkpoint=f"{root}/checkpoint", analytics=False,
+                        billing=True, idempotency="order")
+    else:
+        job = IngestJob(spark, store=f"{root}/store", checkpoint=f"{root}/checkpoint")
     job.run_available(read_event_stream(spark, f"{root}/inbox", FILES_PER_TRIGGER))
     return job
 

@@ -124,6 +124,10 @@ class IngestJob:
     analytics: bool = True               # event logs, quarantine, sales rollup refresh
     billing: bool = False                # invoices + ledger postings for new orders
     inventory: DataFrame | None = None   # base stock; set to reserve stock for new orders
+    # "event": drop repeated event keys.  "order": one message per (subject,
+    # order id) is kept in the state store, so a consumer acting per order
+    # (billing) needs no lookup of what earlier batches already produced.
+    idempotency: str = "event"
 
     @property
     def paths(self) -> dict[str, str]:
@@ -164,10 +168,11 @@ class IngestJob:
             batch.unpersist()
 
     def _bill(self, spark: SparkSession, created: DataFrame, batch_id: int) -> None:
-        try:
-            existing = spark.read.parquet(self.paths["invoices"]).filter(F.col("batch_id") != batch_id)
-        except Exception:  # noqa: BLE001 - first batch: no invoices yet
-            existing = None
+        existing = None
+        if self.idempotency != "order":
+            existing = _read_or_none(spark, self.paths["invoices"])
+            if existing is not None:
+                existing = existing.filter(F.col("batch_id") != batch_id)
         inv = invoices_for_new_orders(created, existing).withColumn("batch_id", F.lit(batch_id))
         inv.write.mode("overwrite").partitionBy("batch_id").parquet(self.paths["invoices"])
         written = spark.read.parquet(self.paths["invoices"]).filter(F.col("batch_id") == batch_id)
@@ -245,7 +250,11 @@ class IngestJob:
 
     def start(self, raw_stream: DataFrame, available_now: bool = True,
               processing_time: str | None = None) -> StreamingQuery:
-        decoded = dedup_stream(ev.decode_events(raw_stream), self.dedup_watermark)
+        decoded = ev.decode_events(raw_stream)
+        if self.idempotency == "order":
+            decoded = decoded.withColumn("event_key", F.coalesce(
+                F.concat_ws(":", F.col("subject"), F.col("order_id").cast("string")), F.col("event_key")))
+        decoded = dedup_stream(decoded, self.dedup_watermark)
         w = (decoded.writeStream.foreachBatch(self.process_batch)
              .option("checkpointLocation", self.checkpoint))
         if available_now:

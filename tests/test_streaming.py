@@ -137,3 +137,24 @@ def test_dedup_within_watermark_window(spark):
          .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
     q.awaitTermination()
     assert sorted(r.event_key for r in spark.sql(f"select * from {name}").collect()) == ["a", "b"]
+
+
+def test_billing_consumer_with_order_level_idempotency(spark):
+    root = scratch_path(spark, "t-bill")
+
+    def msg(eid, oid, ts):
+        return ("orders.order_created",
+                f'{{"event_id": "{eid}", "order_id": {oid}, "customer_id": 1, "total_amount": 9.5,'
+                f' "timestamp": "{ts}"}}')
+    schema = "subject string, data string"
+    spark.createDataFrame([msg("e1", 1, "2024-01-01T10:00:00"), msg("e2", 2, "2024-01-01T11:00:00")], schema) \
+        .coalesce(1).write.json(f"{root}/in/b1")
+    job = IngestJob(spark, f"{root}/store", f"{root}/ckpt", analytics=False, billing=True, idempotency="order")
+    job.run_available(read_event_stream(spark, f"{root}/in/*"))
+    # the same order re-published under a new event id in a later batch
+    spark.createDataFrame([msg("e9", 1, "2024-01-01T10:00:00"), msg("e3", 3, "2024-01-02T09:00:00")], schema) \
+        .coalesce(1).write.json(f"{root}/in/b2")
+    job.run_available(read_event_stream(spark, f"{root}/in/*"))
+    inv = spark.read.parquet(job.paths["invoices"])
+    assert sorted(r.order_id for r in inv.collect()) == [1, 2, 3]
+    assert spark.read.parquet(job.paths["ledger_entries"]).count() == 6
