@@ -22,6 +22,8 @@ SPACES = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3
 #: A blank after a white-space character.
 _ODD = [c + " " for c in map(chr, range(0x3001)) if re.match(f"[{SPACES}]", c)]
 _UNITS = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+#: ASCII punctuation that forms one pre-token when it follows letters (the apostrophe may not).
+MARKS = ".,;:!?|)$%&#*"
 LONG_UNIT = 64
 MEMO_UNITS = 1_000_000
 JOINED = 512
@@ -48,6 +50,7 @@ class UnitEncoder:
         size = self.tokenizer.get_vocab_size()
         self.blank_first = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.memo: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts straight from the tokenizer."""
@@ -70,26 +73,46 @@ class UnitEncoder:
         if len(self.memo) > MEMO_UNITS:
             self.memo.clear()
         memo = self.memo
+        look = memo.get
         cut = [(t or "").split(" ") for t in texts]
         first = dict(zip(heads := list({words[0] for words in cut}), self.whole(heads), strict=True))
-        out: list[bytes | None] = []
-        for text, words in zip(texts, cut, strict=True):
+        out: list[bytes | list | None] = []
+        left = []  # (text, word, place) of words that the memo lacks
+        for i, (text, words) in enumerate(zip(texts, cut, strict=True)):
             if text and (text[0] == " " or any(pair in text for pair in _ODD)):
                 out.append(b"".join(self.whole(_UNITS.findall(text))))
-                words.clear()
-            elif None in (got := list(map(memo.get, words[1:]))):
-                out.append(None)
-            else:
-                out.append(first[words[0]] + b"".join(got))
-        left = [i for i, ids in enumerate(out) if ids is None]
-        new = {w for i in left for w in cut[i][1:] if w not in memo}
-        own = self.after_blank([w for w in new if w])
-        if "" in new:  # what a trailing blank leaves
-            own[""] = self.whole([" "])[0]
+                continue
+            got = list(map(look, words))
+            got[0] = first[words[0]]
+            k = -1
+            try:
+                while True:
+                    k = got.index(None, k + 1)
+                    left.append((i, words[k], k))
+            except ValueError:
+                pass
+            out.append(got)
+        own = self._parted({w for _, w, _ in left})
         memo.update((w, ids) for w, ids in own.items() if len(w) <= LONG_UNIT)
-        for i in left:
-            out[i] = first[cut[i][0]] + b"".join([memo[w] if w in memo else own[w] for w in cut[i][1:]])
-        return out
+        for i, w, k in left:
+            out[i][k] = own[w]
+        return [ids if isinstance(ids, bytes) else b"".join(ids) for ids in out]
+
+    def _parted(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of ``" " + word`` for new words.  Letters with punctuation behind them are
+        two pre-tokens, so that the memo serves the letters alone and the marks alone."""
+        memo = self.memo
+        bare = {w: c for w in words if (c := w.rstrip(MARKS)) != w and c.isalpha()}
+        marks = {w[len(c):] for w, c in bare.items()} - self.marks.keys()
+        if marks:
+            self.marks.update(zip(marks, self.whole(list(marks)), strict=True))
+        fresh = {c for c in bare.values() if c not in memo} | {w for w in words if w not in bare}
+        own = self.after_blank([w for w in fresh if w])
+        if "" in fresh:  # what a trailing blank leaves
+            own[""] = self.whole([" "])[0]
+        for w, c in bare.items():
+            own[w] = (own[c] if c in own else memo[c]) + self.marks[w[len(c):]]
+        return own
 
 
 _ENCODERS: dict[tuple[str, int], UnitEncoder] = {}

@@ -24,7 +24,7 @@ def crc(ids):
 
 def test_units_equal_whole_texts(spark):
     rng = random.Random(3)
-    marks = list(" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0 ​　﻿") + ["a", "Bc", "'s", "'", "é", "12", ".", "!!", "😀", "<|endoftext|>"]
+    marks = list(" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0 ​　﻿") + ["a", "Bc", "'s", "'", "é", "12", ".", "!!", "😀", "<|endoftext|>", "word.", "Word", "word,", "über!!", "x$$$", "²)", "a1."]
     texts = ["".join(rng.choices(marks, k=rng.randrange(12))) for _ in range(3000)] + [t or "" for t in ODD_TEXTS]
     texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     e = UnitEncoder(tokenizer_path(), 4)
