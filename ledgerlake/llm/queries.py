@@ -8,12 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .conv_toxicity import toxicity
+from .disclosure_pii import found_and_sanitised
+from .gumbel_segments import segmentations
 from .heavy_dedup import exact_duplicates
+from .line_cleaning import quality_report
 from .minimax_shards import minimax_shards
+from .prefix_tree_join import jaccard_components
+from .recurrent_html import main_texts
 from .ss_packing import packed
 from .wavelet_ids import wavelet_ids
 
 
+def op1_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three segmentations of every text without replacement, with inclusion scores."""
+    return segmentations(table(spark, sf_dir, "documents"), 3)
+
+
+def op2_prefix_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    return jaccard_components(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """40 shards of near equal bytes; equal texts share a shard."""
     out = minimax_shards(table(spark, sf_dir, "documents"), 40)
@@ -29,12 +45,31 @@ def op5_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_ids(table(spark, sf_dir, "documents"))
 
 
+def op6_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
+def op7_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and disclosing terms; the sanitised text by its checksum."""
+    return found_and_sanitised(table(spark, sf_dir, "documents")).withColumn("sanitised_crc32", F.crc32(F.col("sanitised").cast("binary"))).drop("sanitised")
+
+
 def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op10_recurrent_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_minimax_shards, op4_heavy_hitter_dedup, op5_wavelet_ids, op9_sum_of_squares_packing)}
+    f.__name__: f for f in (
+        op1_gumbel_segmentations, op2_prefix_tree_jaccard, op3_minimax_shards, op4_heavy_hitter_dedup, op5_wavelet_ids, op6_line_first_cleaning,
+        op7_conv_toxicity, op8_disclosure_sanitisation, op9_sum_of_squares_packing, op10_recurrent_main_text)}
 
 ORACLES: dict[str, str] = {
     "op4_heavy_hitter_dedup": """

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import key_and_text
-from .tokens import encoder, tokenizer_path
+from .tokens import encoder, tokenizer_path, with_end
 
 WINDOW = 1024
 #: Open windows a task keeps at most: bounds its memory (16 MB of ids) and the search.
@@ -109,13 +109,13 @@ def power_windows(pieces: list[Piece], window: int, width: int) -> list[list[Pie
     return out
 
 
-def _packer(path: str, window: int, width: int):
+def _packer(path: str, window: int):
+    width = 4
+
     def run(batches):
         from pyspark import TaskContext
 
         enc, levels, step = encoder(path, width), LevelArray(window), window * width
-        end = np.array([END_ID], enc.dtype).tobytes()
-        wide = (lambda raw: raw) if width == 4 else (lambda raw: np.frombuffer(raw, enc.dtype).astype("<u4").tobytes())
         serial = TaskContext.get().partitionId() << 40
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         out: list[list] = [[] for _ in names]
@@ -125,7 +125,7 @@ def _packer(path: str, window: int, width: int):
             at = 0
             for doc, start, ids, total in pieces:
                 n = len(ids) // width
-                for column, v in zip(out, (doc, start, n, zlib.crc32(wide(ids)), total, serial, at), strict=True):
+                for column, v in zip(out, (doc, start, n, zlib.crc32(ids), total, serial, at), strict=True):
                     column.append(v)
                 at += n
             serial += 1
@@ -137,18 +137,19 @@ def _packer(path: str, window: int, width: int):
             return batch
 
         for b in batches:
-            keys = b.column(0).to_pylist()
-            for k in range(0, len(keys), 256):
-                for doc, ids in zip(keys[k:k + 256], enc.batch(b.column(1).slice(k, 256).to_pylist()), strict=True):
-                    ids += end
-                    total = len(ids) // width
-                    whole = len(ids) // step * step
-                    for at in range(0, whole, step):
-                        close([(doc, at // width, ids[at:at + step], total)])
-                    if whole < len(ids):
-                        done = levels.place((len(ids) - whole) // width, (doc, whole // width, ids[whole:], total))
+            for k in range(0, b.num_rows, 2048):
+                some = b.slice(k, 2048)
+                ids, counts = enc.batch(some.column(1))
+                raw, begin = with_end(ids, counts, END_ID).tobytes(), 0
+                for doc, total in zip(some.column(0).to_pylist(), (counts + 1).tolist(), strict=True):
+                    end, whole = begin + total * width, begin + total * width // step * step
+                    for at in range(begin, whole, step):
+                        close([(doc, (at - begin) // width, raw[at:at + step], total)])
+                    if whole < end:
+                        done = levels.place((end - whole) // width, (doc, (whole - begin) // width, raw[whole:end], total))
                         if done:
                             close(done)
+                    begin = end
                 if levels.open > MOST_OPEN:
                     full, rest = refill(levels.emptied(), window, width)
                     for pieces in full:
@@ -172,4 +173,4 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A sequence shorter than ``window`` has a power of two as its length."""
-    return key_and_text(docs, key, text).mapInArrow(_packer(path or tokenizer_path(), window, 4), SCHEMA)
+    return key_and_text(docs, key, text).mapInArrow(_packer(path or tokenizer_path(), window), SCHEMA)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import key_and_text, scratch_path
-from .tokens import encoder, tokenizer_path
+from .tokens import encoder, tokenizer_path, with_end
 
 MAGIC = b"WMIDS001"
 CHUNK = 1 << 13
@@ -203,21 +203,19 @@ def _writer(folder: str, path: str):
     def run(batches):
         from pyspark import TaskContext
 
-        width = 4
-        enc = encoder(path, width)
-        end = np.array([END_ID], enc.dtype).tobytes()
+        enc = encoder(path, 4)
         keys: list[int | None] = []
-        parts: list[bytes] = []
+        parts, counts = [], []
         for b in batches:
-            texts = b.column(1)
-            for k in range(0, len(texts), 256):
-                parts += [ids + end for ids in enc.batch(texts.slice(k, 256).to_pylist())]
+            ids, n = enc.batch(b.column(1))
+            parts.append(with_end(ids, n, END_ID))
+            counts.append(n + 1)
             keys += b.column(0).to_pylist()
-        lengths = np.array([len(p) // width for p in parts], np.int64)
         if keys:
-            n = TaskContext.get().partitionId()
-            ids = np.frombuffer(b"".join(parts), enc.dtype)
+            lengths = np.concatenate(counts)
+            ids = np.concatenate(parts)
             del parts
+            n = TaskContext.get().partitionId()
             _write_file(folder, f"shard-{n:06d}.wm", build(ids, keys, lengths))
             yield pa.RecordBatch.from_pydict({"shard": pa.array([n], pa.int32()), "tokens": pa.array([int(lengths.sum())], pa.int64())})
 

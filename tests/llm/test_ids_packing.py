@@ -4,8 +4,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from ledgerlake.llm import hashed_words as H
 from ledgerlake.llm import ss_packing as P
 from ledgerlake.llm import wavelet_ids as W
 from ledgerlake.llm.tokens import SPACES, UnitEncoder, encoder, tokenizer_path
@@ -28,8 +30,15 @@ def test_units_equal_whole_texts(spark):
     texts = ["".join(rng.choices(marks, k=rng.randrange(12))) for _ in range(3000)] + [t or "" for t in ODD_TEXTS]
     texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     e = UnitEncoder(tokenizer_path(), 4)
-    assert e.batch(texts) == e.whole(texts)
-    assert e.batch(texts) == e.whole(texts)  # from the memo
+    true = e.whole(texts)
+    for _ in range(2):  # the second time from the table
+        for size in (len(texts), 700):
+            for k in range(0, len(texts), size):
+                ids, counts = e.batch(pa.array(texts[k:k + size]))
+                ends = np.cumsum(counts)
+                assert [ids[a:b].tobytes() for a, b in zip(ends - counts, ends, strict=True)] == true[k:k + size]
+    ids, counts = e.batch(pa.array([None, "a b", None, ""]).slice(1))
+    assert counts.tolist() == [2, 0, 0] and ids.tobytes() == e.whole(["a b"])[0]
     assert " " in SPACES
 
 
@@ -125,3 +134,29 @@ def test_refill_when_many_open():
     assert all(sum(len(p[2]) for p in w) == 64 for w in full) and sum(len(p[2]) for p in rest) < 64
     tail = P.power_windows(rest, 16, 4)
     assert sum(len(p[2]) for w in tail for p in w) == sum(len(p[2]) for p in rest)
+
+
+def test_hash_table():
+    rng = np.random.default_rng(1)
+    t, have = H.Table(4), {}
+    for _ in range(30):
+        h = rng.integers(0, 1 << 64, 200, dtype=np.uint64) & np.uint64(0xFFFF00000000000F)
+        want = [have.get(k, -1) for k in h.tolist()]
+        assert t.find(h).tolist() == want
+        new = np.unique(h[np.array(want) < 0])
+        have.update(zip(new.tolist(), t.add(new).tolist(), strict=True))
+    assert len(have) == t.size and t.find(np.array(list(have), np.uint64)).tolist() == list(have.values())
+
+
+def test_hashed_words_agree_across_chunks():
+    words = ["a", "", "abc", "é", "abc", "x" * 70, "", "ab"]
+    of = {}
+    for texts in (words, [" ".join(words), "abc"], ["pre fix", *words]):
+        column = pa.array(texts)
+        for _, _, data, offsets in H.chunks(column, 64):
+            starts, ends, counts = H.cut(data, offsets, np.flatnonzero(data == 0x20))
+            assert counts.sum() == len(starts)
+            for h, s, e in zip(H.hashes(data, starts, ends).tolist(), starts, ends, strict=True):
+                w = data[s:e].tobytes()
+                assert of.setdefault(h, w) == w
+    assert len(set(of.values())) == len(of)
