@@ -37,10 +37,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_and_text, rewritten
+from .common import key_and_text, one_of_repeats, rewritten
 from .components import components
 
 #: Frequent n-grams that the order knows (broadcast with the tasks: 0.5 MB).
@@ -334,7 +334,7 @@ def _meet(rows: DataFrame, percent: int, label: bool) -> DataFrame:
             .sortWithinPartitions("bucket", "block").mapInArrow(_meetings(percent, label), "class long, root long"))
 
 
-def _blocks(members: F.Column, grams: F.Column, sets: int, most: int):
+def _blocks(members: Column, grams: Column, sets: int, most: int) -> Column:
     return F.greatest(F.ceil(members / sets), F.ceil(grams / most)).cast("long")
 
 
@@ -353,8 +353,6 @@ def jaccard_classes(docs: DataFrame, n: int, percent: int, key: str = "doc_id",
 
     # Prefix n-grams that two classes or more share.
     prefixes = rows.select("text").mapInArrow(_prefixes(n, percent, heavy, rank), "gram long, class long, size int, spread short")
-    from pyspark.sql import Window
-
     alike = Window.partitionBy("gram", "spread")
     shared = rewritten(prefixes.select("*", F.min("class").over(alike).alias("low"), F.max("class").over(alike).alias("high"))
                        .where((F.col("low") != F.col("high")) | (F.col("spread") >= 0)).select("gram", "class", "size"), "shared")
@@ -399,11 +397,37 @@ def jaccard_classes(docs: DataFrame, n: int, percent: int, key: str = "doc_id",
     return documents, rewritten(final, "classes")
 
 
+def _named(docs: DataFrame, n: int, percent: int, key: str, text: str, **limits) -> tuple[DataFrame, DataFrame]:
+    """(documents, those with words and their component's class)."""
+    documents, classes = jaccard_classes(docs, n, percent, key, text, **limits)
+    named = documents.where("size > 0").join(classes, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    return documents, named.select("doc_id", "size", "text_key", "component")
+
+
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id that links reach), text_key."""
-    documents, classes = jaccard_classes(docs, n, percent, key, text, **limits)
-    named = documents.where("size > 0").select("doc_id", "size", "class", "text_key").join(classes, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    documents, named = _named(docs, n, percent, key, text, **limits)
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "component").select("doc_id", F.col("size").alias("n_shingles"), "component_id", "text_key")
     empty = documents.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key")
     return out.unionByName(empty)
+
+
+def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
+    """The documents, of each component only the one with the least key (then the least
+    hash of its text; nulls last); of rows that repeat key and text one stays.  Documents
+    without words stay."""
+    _, named = _named(docs, n, percent, key, text, **limits)
+    named = rewritten(named, "named")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"))
+    groups = named.groupBy("component").agg(F.count("*").alias("members"), F.min(own).alias("first")).where("members > 1")
+    # Rows in groups of several: to drop, or (the first, if it is repeated) to keep once.
+    marked = named.join(groups, "component").withColumn("stays", own == F.col("first"))
+    marked = marked.groupBy("doc_id", "text_key").agg(F.first("stays").alias("stays"), F.count("*").alias("times"))
+    marked = rewritten(marked.where("NOT stays OR times > 1").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "stays"), "marked")
+    rows = docs.select(F.struct("*").alias("row"), docs[key].cast("long").alias("doc_id"),
+                       F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("text_key"))
+    met = rows.join(marked, (rows["text_key"] == marked["t"]) & rows["doc_id"].eqNullSafe(marked["d"]), "left").where("stays IS NULL OR stays")
+    if marked.where("stays").isEmpty():
+        return met.select("row.*")
+    return one_of_repeats(met.select("row", "stays", "doc_id", "text_key"), F.col("stays").isNotNull(), [F.col("doc_id"), F.col("text_key")]).select("row.*")
