@@ -9,10 +9,11 @@ n-gram sets.  The join is exact (up to 64-bit hashes of n-grams):
    ``HEAVY`` largest sums give the global order: n-grams not among them first (by
    hash), then those in ascending frequency.  Any order is right, this one
    keeps passages that many documents share out of the prefixes.
-2. Prefixes.  Linked sets of sizes n share one of the first
-   n - ceil(percent n / 100) + 1 n-grams in global order.  These rows (n-gram,
-   class) are dealt by n-gram, and n-grams of a single class drop out.
-   Frequent n-grams are known already and are spread, not gathered.
+2. Prefixes.  Linked sets share one of their first n - ceil(percent n / 100) + 1
+   n-grams in global order, and several of a prefix that is longer by a third.  Rows
+   (n-gram, class) of such prefixes are dealt by n-gram; n-grams of a single class
+   drop out, and then classes with fewer shared ones than a link needs.  Frequent
+   n-grams are known already and are spread, not gathered.
 3. First meeting.  Each class goes to one bucket, that of its most shared prefix
    n-gram.  A bucket stores its sets in a trie; each set then walks the trie,
    sharing the overlap so far with all sets below a node, and leaves a subtree
@@ -21,8 +22,9 @@ n-gram sets.  The join is exact (up to 64-bit hashes of n-grams):
    components send a representative each to another meeting.
 4. Remaining pairs.  Only prefix n-grams that still join different components need
    a look.  N-grams with the same members are one bucket.  These buckets
-   are joined the same way (large ones block against block), and what is found
-   is merged by connected components.
+   are joined the same way (large ones block against block); a pair is compared
+   in the bucket of its first common n-gram only, and what is found is merged by
+   connected components.
 
 Nothing is capped: links are skipped only within what is already connected.
 
@@ -43,10 +45,12 @@ from pyspark.sql import functions as F
 from .common import key_and_text, one_of_repeats, rewritten
 from .components import components
 
-#: Frequent n-grams that the order knows (broadcast with the tasks: 0.5 MB).
-HEAVY = 1 << 16
+#: Frequent n-grams that the order knows (broadcast with the tasks: 4 MB).
+HEAVY = 1 << 18
 #: Frequent n-grams a task reports, and counts that it holds meanwhile.
-REPORTED, COUNTED = 4096, 1 << 18
+REPORTED, COUNTED = 1 << 16, 1 << 19
+#: A prefix is longer than the least by this part of it: as many of its n-grams must be shared.
+MORE = 3
 #: Sets and n-grams of a block at most (more make more blocks); 2 M n-grams are 16 MB.
 BLOCK_SETS, BLOCK_GRAMS = 2000, 2_000_000
 MEMO_WORDS, MEMO_CLASSES = 1_000_000, 500_000
@@ -94,9 +98,24 @@ def needed(a: int, b: int, percent: int) -> int:
 
 
 def prefix_length(n: int, percent: int) -> int:
+    """Of two linked sets, of which this is one of size n, the first so many n-grams share one."""
     return n - -(-percent * n // 100) + 1
 
 
+def prefix_taken(n: int, percent: int) -> int:
+    """The prefix length used: longer, so that linked sets share several of its n-grams
+    (``shared_least``).  Taking k - 1 n-grams more than ``prefix_length``, sets of one size share k; of
+    sizes n and less, k - 1 at least, as percent n / 100 - k falls nowhere by over 1 while n grows."""
+    if percent < 50:
+        return prefix_length(n, percent)
+    p = prefix_length(n, percent)
+    return p + min(p // MORE, -(-percent * n // 100) - 1)
+
+
+def shared_least(n: int, percent: int) -> int:
+    return max(1, prefix_taken(n, percent) - prefix_length(n, percent))
+
+
 def ordered(grams: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The set as ascending keys of the global order; ``heavy`` is sorted."""
     keys = grams >> np.uint64(1)
@@ -122,7 +141,7 @@ def _summaries(n: int):
             once = {c: s for c, s in zip(classes, sets, strict=True) if len(s)}
             if once:
                 grams, times = np.unique(np.concatenate(list(once.values())), return_counts=True)
-                often = np.flatnonzero(times > 2)
+                often = np.flatnonzero(times > 1)
                 if len(often) > COUNTED // 2:
                     often = often[np.argsort(times[often])[-(COUNTED // 2):]]
                 for g, t in zip(grams[often].tolist(), times[often].tolist(), strict=True):
@@ -149,7 +168,7 @@ def _prefixes(n: int, percent: int, heavy: np.ndarray, rank: np.ndarray):
                 s = shingles(text, n)
                 if len(s) and (c := fingerprint(s)) not in seen:
                     seen.add(c)
-                    p = ordered(s, heavy, rank)[:prefix_length(len(s), percent)]
+                    p = ordered(s, heavy, rank)[:prefix_taken(len(s), percent)]
                     for col, v in zip(cols, (p, np.full(len(p), c, np.int64), np.full(len(p), len(s), np.int32)), strict=True):
                         col.append(v)
             if cols[0]:
@@ -169,128 +188,144 @@ def _sets(n: int, heavy: np.ndarray, rank: np.ndarray):
     return run
 
 
-class Node:
-    """A trie node: the run of n-grams on its edge, and bounds over the sets below."""
-
-    __slots__ = ("deepest", "edge", "ends", "first", "kids", "largest", "least", "only", "turned")
-
-    def __init__(self, edge: np.ndarray):
-        self.edge, self.kids, self.ends, self.only, self.turned = edge, [], [], None, None
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of runs that begin at ``start``, one run after another."""
+    return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
 
 
 class Trie:
-    """Ordered sets with shared beginnings; ``sizes`` count n-grams that no other
-    member has too, which the trie leaves out."""
+    """Ordered sets that share their beginnings.
 
-    def __init__(self, sets: list[np.ndarray], sizes: list[int], width: int):
+    Nodes are numbered level by level, so that a node's kids follow one another; the
+    members below a node are a run of the sorted sets.  ``sizes`` count also those n-grams
+    that no other member has, which the trie leaves out."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, width: int):
         self.sets, self.sizes, self.width = sets, sizes, width
         rows = sorted(range(len(sets)), key=lambda k: sets[k].tolist())
-        common = [0]
-        for a, b in zip(rows, rows[1:], strict=False):
-            m = min(len(sets[a]), len(sets[b]))
-            differ = np.flatnonzero(sets[a][:m] != sets[b][:m])
-            common.append(int(differ[0]) if len(differ) else m)
-        self.root = Node(np.empty(0, np.int64))
-        path: list[tuple[Node, int]] = [(self.root, 0)]  # node, depth at its end
-        for k, lcp in zip(rows, common, strict=True):
-            s = sets[k]
-            while path[-1][1] > lcp:
-                node, depth = path.pop()
-                above = path[-1][1]
-                if above < lcp:  # the edge parts at lcp
-                    part = Node(node.edge[:lcp - above])
-                    path[-1][0].kids[-1] = part
-                    node.edge = node.edge[lcp - above:]
-                    part.kids.append(node)
-                    path.append((part, lcp))
-            if len(s) > path[-1][1]:
-                leaf = Node(s[path[-1][1]:])
-                path[-1][0].kids.append(leaf)
-                path.append((leaf, len(s)))
-            path[-1][0].ends.append(k)
-        self._bounds()
-
-    def _bounds(self) -> None:
-        order, stack = [], [(self.root, 0)]
-        while stack:
-            node, above = stack.pop()
-            depth = above + len(node.edge)
-            order.append((node, depth))
-            stack += [(kid, depth) for kid in node.kids]
-        for node, depth in reversed(order):
-            own = [self.sizes[k] for k in node.ends]
-            node.least = min(own + [kid.least for kid in node.kids])
-            node.largest = max(own + [kid.largest for kid in node.kids])
-            node.deepest = max([depth] * bool(node.ends) + [kid.deepest for kid in node.kids])
-            node.first = min(node.ends + [kid.first for kid in node.kids])
-
-    def links(self, percent: int, parent: list[int]) -> list[tuple[int, int]]:
-        """Links that connect what ``parent`` (a union-find forest over the sets) has apart."""
-        found = []
-        mark = np.zeros(self.width, bool)
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
+        self.rows = np.array(rows)
+        # Depth-first: [parent, depth above, depth, first member, member after the last].
+        nodes: list[list[int]] = [[-1, 0, 0, 0, len(rows)]]
+        path = [0]
+        for at, k in enumerate(rows):
+            s, lcp = sets[k], 0
+            if at:
+                last = sets[rows[at - 1]]
+                m = min(len(s), len(last))
+                differ = np.flatnonzero(s[:m] != last[:m])
+                lcp = int(differ[0]) if len(differ) else m
+            while nodes[path[-1]][2] > lcp:
+                low = path.pop()
+                nodes[low][4] = at
+                if nodes[path[-1]][2] < lcp:  # the edge parts at lcp
+                    nodes.append([nodes[low][0], nodes[low][1], lcp, nodes[low][3], -1])
+                    nodes[low][0], nodes[low][1] = len(nodes) - 1, lcp
+                    path.append(len(nodes) - 1)
+            if len(s) > nodes[path[-1]][2]:
+                nodes.append([path[-1], nodes[path[-1]][2], len(s), at, -1])
+                path.append(len(nodes) - 1)
+        for low in path:
+            nodes[low][4] = len(rows)
+        kids: list[list[int]] = [[] for _ in nodes]
+        for k, node in enumerate(nodes[1:], 1):
+            kids[node[0]].append(k)
+        order = [0]
+        for k in order:
+            order += kids[k]
+        table = np.array(nodes)[order]
+        above, self.depth, self.low, self.high = (table[:, c] for c in range(1, 5))
+        self.kids = np.array([len(kids[k]) for k in order])
+        self.kid = np.cumsum(self.kids) - self.kids + 1
+        self.edge = self.depth - above
+        self.at = np.cumsum(self.edge) - self.edge
+        self.flat = np.concatenate([np.empty(0, np.int64), *(sets[rows[lo]][a:d] for lo, a, d in zip(self.low.tolist(), above.tolist(), self.depth.tolist(), strict=True))])
+        self.last = np.append(self.flat, 0)[self.at + np.maximum(self.edge, 1) - 1]
+        runs = np.stack([self.low, self.high], 1).ravel()
+        over = lambda f, x: f.reduceat(np.append(x, x[-1:]), runs)[::2]
+        own = sizes[self.rows]
+        self.least, self.largest, self.first = over(np.minimum, own), over(np.maximum, own), over(np.minimum, self.rows)
+        self.deepest = over(np.maximum, np.array([len(sets[k]) for k in rows]))
+        # Members that end at a node come first in its run.
+        full = np.array([len(sets[k]) for k in rows])
+        self.ends = np.array([int(np.searchsorted(full[lo:hi] > d, True)) for lo, hi, d in zip(self.low.tolist(), self.high.tolist(), self.depth.tolist(), strict=True)])
+
+    def links(self, percent: int, label: np.ndarray, before: int = 0) -> list[tuple[int, int]]:
+        """Links that connect what ``label`` has apart.  Pairs with a common n-gram below
+        ``before`` meet elsewhere and are passed over."""
+        found: list[tuple[int, int]] = []
+        mark = np.zeros(self.width, np.int64)
+        far = 1 << 40
+        label = label.copy()
+        only = self._only(label)
         for x in range(1, len(self.sets)):
-            own, size = self.sets[x], self.sizes[x]
-            mark[own] = True
+            own, size = self.sets[x], int(self.sizes[x])
+            if not len(own) or only[0] >= 0:
+                continue
+            mark[own] = np.where(own < before, far, 1)
             least, most = -(-size * percent // 100), size * 100 // percent
-            stack = [(self.root, 0, 0)]
-            while stack:
-                node, overlap, above = stack.pop()
-                if node.first >= x or node.largest < least or node.least > most:
-                    continue
-                if node.only is not None and root(node.only) == root(x):
-                    continue
-                depth, rest = above, len(own)
-                if len(node.edge):
-                    depth += len(node.edge)
-                    overlap += int(np.count_nonzero(mark[node.edge]))
-                    rest -= int(np.searchsorted(own, node.edge[-1], "right"))
-                if overlap + min(rest, node.deepest - depth) < needed(size, max(node.least, least), percent):
-                    continue
-                for k in node.ends:
-                    if k < x and overlap >= needed(size, self.sizes[k], percent):
-                        a, b = root(k), root(x)
-                        if a != b:
-                            parent[max(a, b)] = min(a, b)
-                            found.append((k, x))
-                if node.only is None and all(kid.only is not None for kid in node.kids):
-                    roots = {root(k) for k in node.ends} | {root(kid.only) for kid in node.kids}
-                    if len(roots) == 1:
-                        node.only = roots.pop()
-                stack += [(kid, overlap, depth) for kid in node.kids]
-            mark[own] = False
+            node, overlap, joined = np.zeros(1, np.int64), np.zeros(1, np.int64), False
+            while len(node):
+                many = self.kids[node]
+                overlap = np.repeat(overlap, many)
+                node = _ranges(self.kid[node], many)
+                keep = (self.first[node] < x) & (self.largest[node] >= least) & (self.least[node] <= most) & (only[node] != label[x])
+                node, overlap = node[keep], overlap[keep]
+                if not len(node):
+                    break
+                edge = self.edge[node]
+                overlap = overlap + np.add.reduceat(mark[self.flat[_ranges(self.at[node], edge)]], np.cumsum(edge) - edge)
+                rest = len(own) - np.searchsorted(own, self.last[node], "right")
+                need = -(-percent * (size + np.maximum(self.least[node], least)) // (100 + percent))
+                keep = (overlap < far) & (overlap + np.minimum(rest, self.deepest[node] - self.depth[node]) >= need)
+                node, overlap = node[keep], overlap[keep]
+                ends = self.ends[node]
+                if ends.any():
+                    k = self.rows[_ranges(self.low[node], ends)]
+                    good = (k < x) & (np.repeat(overlap, ends) * (100 + percent) >= percent * (size + self.sizes[k])) & (label[k] != label[x])
+                    for y in k[good].tolist():
+                        if label[y] != label[x]:
+                            found.append((y, x))
+                            label[label == label[x]] = label[y]
+                            joined = True
+            mark[own] = 0
+            if joined:
+                only = self._only(label)
         return found
 
+    def _only(self, label: np.ndarray) -> np.ndarray:
+        """The label of all members below a node, -1 if there are several."""
+        run = label[self.rows]
+        change = np.append(0, np.cumsum(run[1:] != run[:-1]))
+        return np.where(change[self.low] == change[self.high - 1], run[self.low], -1)
+
 
-def linked(sets: list[np.ndarray], percent: int, apart: list[int] | None = None) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], percent: int, apart: list[int] | None = None, before: int = 0) -> list[tuple[int, int]]:
     """Links over ordered key arrays that suffice to connect all that links connect;
-    ``apart`` labels what is connected already."""
-    sizes = [len(s) for s in sets]
+    ``apart`` labels what is connected already, pairs with a common key below ``before`` may be left out."""
+    sizes = np.array([len(s) for s in sets])
     keys, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    dense = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[inverse]
+    shared = times > 1
+    if len(sets) == 2:  # a trie of two sets has one question
+        good = int(shared.sum()) >= needed(*sizes.tolist(), percent) and (not apart or apart[0] != apart[1])
+        return [(0, 1)] if good and not (shared & (keys < np.uint64(before))).any() else []
+    dense = np.where(shared, np.cumsum(shared) - 1, -1)[inverse]
     local = [part[part >= 0] for part in np.split(dense, np.cumsum(sizes)[:-1])]
     heads: dict[int, int] = {}
-    parent = [heads.setdefault(c, k) for k, c in enumerate(apart)] if apart else list(range(len(sets)))
-    return Trie(local, sizes, int((times > 1).sum()) + 1).links(percent, parent)
+    label = np.array([heads.setdefault(c, k) for k, c in enumerate(apart)]) if apart else np.arange(len(sets))
+    return Trie(local, sizes, int(shared.sum()) + 1).links(percent, label, int((shared & (keys < np.uint64(before))).sum()))
 
 
 def _meetings(percent: int, label: bool):
     """Rows sorted by (bucket, block): each run of equal ones is a meeting.  Gives (class, root):
     all classes with their roots, or with ``label`` only links between different labels."""
 
-    def met(rows: list[tuple]) -> tuple[list[int], list[int]]:
+    def met(rows: list[tuple], bucket: int) -> tuple[list[int], list[int]]:
         rows = list({r[0]: r for r in rows}.values())
         if len(rows) < 2:
             return ([], []) if label else ([rows[0][0]], [rows[0][0]])
         rows.sort(key=lambda r: (len(r[1]), r[0]))
         apart = [r[2] for r in rows]
-        found = linked([np.frombuffer(r[1], np.uint64) for r in rows], percent, apart if label else None)
+        found = linked([np.frombuffer(r[1], np.uint64) for r in rows], percent, apart if label else None, bucket + (1 << 63) if label else 0)
         if label:
             return [apart[a] for a, _ in found], [apart[b] for _, b in found]
         parent = list(range(len(rows)))
@@ -313,7 +348,7 @@ def _meetings(percent: int, label: bool):
             for *now, cls, grams, comp in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 if now != key:
                     if rows:
-                        for o, v in zip(out, met(rows), strict=True):
+                        for o, v in zip(out, met(rows, key[0]), strict=True):
                             o += v
                     key, rows = now, []
                 rows.append((cls, grams, comp))
@@ -321,7 +356,7 @@ def _meetings(percent: int, label: bool):
                 yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["class", "root"])
                 out = ([], [])
         if rows:
-            for o, v in zip(out, met(rows), strict=True):
+            for o, v in zip(out, met(rows, key[0]), strict=True):
                 o += v
         yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["class", "root"])
 
@@ -355,11 +390,19 @@ def jaccard_classes(docs: DataFrame, n: int, percent: int, key: str = "doc_id",
     prefixes = rows.select("text").mapInArrow(_prefixes(n, percent, heavy, rank), "gram long, class long, size int, spread short")
     alike = Window.partitionBy("gram", "spread")
     shared = rewritten(prefixes.select("*", F.min("class").over(alike).alias("low"), F.max("class").over(alike).alias("high"))
-                       .where((F.col("low") != F.col("high")) | (F.col("spread") >= 0)).select("gram", "class", "size"), "shared")
+                       .where((F.col("low") != F.col("high")) | (F.col("spread") >= 0)).select("gram", "class", "size").distinct(), "shared")
+    # A set that links shares ``shared_least`` of its prefix n-grams.  Sets that do not drop out,
+    # and with them n-grams of a single class that is left; twice, as that can drop more.
+    need = F.ceil(F.lit(percent) * F.col("size") / 100)
+    least = F.greatest(F.lit(1), F.least(F.floor((F.col("size") - need + 1) / MORE), need - 1)) if percent >= 50 else F.lit(1)
+    for _ in range(2):
+        enough = shared.groupBy("class", "size").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("class")
+        left = shared.join(enough, "class")
+        several = left.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("gram")
+        shared = rewritten(left.join(several, "gram").select("gram", "class", "size"), "shared")
 
     # First meeting: one bucket for each class.
-    each = shared.groupBy("gram").agg(F.count("*").alias("members"), F.min("class").alias("low"), F.max("class").alias("high"))
-    each = each.where("low != high").select("gram", "members")
+    each = shared.groupBy("gram").agg(F.count("*").alias("members"))
     chosen = rewritten(shared.join(each, "gram").groupBy("class").agg(F.max(F.struct("members", "gram")).alias("m"), F.max("size").alias("size"))
                        .select("class", F.col("m.gram").alias("bucket"), "size"), "chosen")
     one = documents.where("size > 0").groupBy("class").agg(F.min(F.struct("text_key", "doc_id")).alias("of"))
@@ -385,9 +428,10 @@ def jaccard_classes(docs: DataFrame, n: int, percent: int, key: str = "doc_id",
     marked = shared.join(component, "class")
     split = marked.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"), F.sum("size").alias("grams"),
                                        F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sign")).where("low != high")
-    buckets = split.select("gram", F.xxhash64("low", "high", "members", F.col("sign").cast("string")).alias("bucket"),
-                           _blocks(F.col("members"), F.col("grams"), block_sets // 2, block_grams // 2).alias("blocks"))
-    rest = marked.join(buckets, "gram").select("bucket", "class", F.col("root").alias("comp"), "blocks").distinct()
+    # The first n-gram of those with equal members names their bucket, as a signed number in the global order.
+    split = split.groupBy("low", "high", "members", "grams", "sign").agg(F.min(F.col("gram").bitwiseXOR(F.lit(-(1 << 63)))).alias("bucket"))
+    buckets = split.select("bucket", _blocks(F.col("members"), F.col("grams"), block_sets // 2, block_grams // 2).alias("blocks"))
+    rest = marked.withColumn("bucket", F.col("gram").bitwiseXOR(F.lit(-(1 << 63)))).join(buckets, "bucket").select("bucket", "class", F.col("root").alias("comp"), "blocks").distinct()
     mine = F.pmod(F.xxhash64("class"), "blocks")
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.least(mine, k) * F.col("blocks") + F.greatest(mine, k))
     rest = rest.select("bucket", F.explode(pairs).alias("block"), "class", "comp")

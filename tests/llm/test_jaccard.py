@@ -138,3 +138,16 @@ def test_connected_components(spark, edges):
     of = forest(31, edges)
     for k in {k for e in edges for k in e if e[0] != e[1]}:
         assert got[k] == min(j for j in range(31) if of[j] == of[k])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.integers(1, 90), st.integers(0, 40), st.integers(0, 40), st.sampled_from([30, 50, 60, 80, 85, 99, 100]), st.randoms(use_true_random=False))
+def test_linked_sets_share_enough_of_their_prefixes(common, a, b, percent, rng):
+    """The least overlaps that still link are the hard cases."""
+    while 100 * common < percent * (common + a + b):
+        a, b = (a - 1, b) if a >= b else (a, b - 1)
+    keys = rng.sample(range(1000), common + a + b)
+    x, y = sorted(keys[:common + a]), sorted(keys[:common] + keys[common + a:])
+    px, py = (set(s[:J.prefix_taken(len(s), percent)]) for s in (x, y))
+    assert len(px & py) >= max(J.shared_least(len(x), percent), J.shared_least(len(y), percent))
+    assert set(x[:J.prefix_length(len(x), percent)]) & set(y[:J.prefix_length(len(y), percent)])
