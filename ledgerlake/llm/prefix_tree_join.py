@@ -22,9 +22,10 @@ n-gram sets.  The join is exact (up to 64-bit hashes of n-grams):
    components send a representative each to another meeting.
 4. Remaining pairs.  Only prefix n-grams that still join different components need
    a look.  N-grams with the same members are one bucket.  These buckets
-   are joined the same way (large ones block against block); a pair is compared
-   in the bucket of its first common n-gram only, and what is found is merged by
-   connected components.
+   are joined the same way (large ones block against block), first by the shared
+   prefix n-grams alone: only classes that share enough of them with one of another
+   component bring their sets.  A pair is compared in the bucket of its first common
+   n-gram, and what is found is merged by connected components.
 
 Nothing is capped: links are skipped only within what is already connected.
 
@@ -188,6 +189,15 @@ def _sets(n: int, heavy: np.ndarray, rank: np.ndarray):
     return run
 
 
+#: Added to an overlap by an n-gram that makes the pair pass.
+FAR = 1 << 40
+
+
+def _over(f: np.ufunc, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """``f`` over each run of values."""
+    return f.reduceat(np.append(values, values[-1:]), np.stack([low, high], 1).ravel())[::2]
+
+
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All numbers of runs that begin at ``start``, one run after another."""
     return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
@@ -240,58 +250,89 @@ class Trie:
         self.at = np.cumsum(self.edge) - self.edge
         self.flat = np.concatenate([np.empty(0, np.int64), *(sets[rows[lo]][a:d] for lo, a, d in zip(self.low.tolist(), above.tolist(), self.depth.tolist(), strict=True))])
         self.last = np.append(self.flat, 0)[self.at + np.maximum(self.edge, 1) - 1]
-        runs = np.stack([self.low, self.high], 1).ravel()
-        over = lambda f, x: f.reduceat(np.append(x, x[-1:]), runs)[::2]
-        own = sizes[self.rows]
-        self.least, self.largest, self.first = over(np.minimum, own), over(np.maximum, own), over(np.minimum, self.rows)
-        self.deepest = over(np.maximum, np.array([len(sets[k]) for k in rows]))
+        own, deep = sizes[self.rows], np.array([len(sets[k]) for k in rows])
+        self.least, self.largest, self.first, self.deepest = (
+            _over(f, v, self.low, self.high) for f, v in ((np.minimum, own), (np.maximum, own), (np.minimum, self.rows), (np.maximum, deep)))
         # Members that end at a node come first in its run.
         full = np.array([len(sets[k]) for k in rows])
         self.ends = np.array([int(np.searchsorted(full[lo:hi] > d, True)) for lo, hi, d in zip(self.low.tolist(), self.high.tolist(), self.depth.tolist(), strict=True)])
 
+    def _reach(self, x: int, mark: np.ndarray, percent: int, skip: np.ndarray, need):
+        """Walk set ``x`` (its n-grams marked) down the trie, level by level; gives earlier members
+        that end on the way, with their overlaps.  Subtrees are left that ``skip`` says, that
+        have no fitting size, or where what is left cannot reach ``need(nodes)``."""
+        own, size = self.sets[x], int(self.sizes[x])
+        least, most = -(-size * percent // 100), size * 100 // percent
+        node, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        while len(node):
+            many = self.kids[node]
+            overlap = np.repeat(overlap, many)
+            node = _ranges(self.kid[node], many)
+            keep = (self.first[node] < x) & (self.largest[node] >= least) & (self.least[node] <= most) & ~skip[node]
+            node, overlap = node[keep], overlap[keep]
+            if not len(node):
+                return
+            edge = self.edge[node]
+            overlap = overlap + np.add.reduceat(mark[self.flat[_ranges(self.at[node], edge)]], np.cumsum(edge) - edge)
+            rest = len(own) - np.searchsorted(own, self.last[node], "right")
+            keep = (overlap < FAR) & (overlap + np.minimum(rest, self.deepest[node] - self.depth[node]) >= need(node))
+            node, overlap = node[keep], overlap[keep]
+            ends = self.ends[node]
+            if ends.any():
+                k, n = self.rows[_ranges(self.low[node], ends)], np.repeat(overlap, ends)
+                good = (k < x) & (self.sizes[k] >= least) & (self.sizes[k] <= most)
+                yield k[good], n[good]
+
     def links(self, percent: int, label: np.ndarray, before: int = 0) -> list[tuple[int, int]]:
         """Links that connect what ``label`` has apart.  Pairs with a common n-gram below
         ``before`` meet elsewhere and are passed over."""
         found: list[tuple[int, int]] = []
         mark = np.zeros(self.width, np.int64)
-        far = 1 << 40
         label = label.copy()
         only = self._only(label)
         for x in range(1, len(self.sets)):
-            own, size = self.sets[x], int(self.sizes[x])
+            own, size, joined = self.sets[x], int(self.sizes[x]), False
             if not len(own) or only[0] >= 0:
                 continue
-            mark[own] = np.where(own < before, far, 1)
-            least, most = -(-size * percent // 100), size * 100 // percent
-            node, overlap, joined = np.zeros(1, np.int64), np.zeros(1, np.int64), False
-            while len(node):
-                many = self.kids[node]
-                overlap = np.repeat(overlap, many)
-                node = _ranges(self.kid[node], many)
-                keep = (self.first[node] < x) & (self.largest[node] >= least) & (self.least[node] <= most) & (only[node] != label[x])
-                node, overlap = node[keep], overlap[keep]
-                if not len(node):
-                    break
-                edge = self.edge[node]
-                overlap = overlap + np.add.reduceat(mark[self.flat[_ranges(self.at[node], edge)]], np.cumsum(edge) - edge)
-                rest = len(own) - np.searchsorted(own, self.last[node], "right")
-                need = -(-percent * (size + np.maximum(self.least[node], least)) // (100 + percent))
-                keep = (overlap < far) & (overlap + np.minimum(rest, self.deepest[node] - self.depth[node]) >= need)
-                node, overlap = node[keep], overlap[keep]
-                ends = self.ends[node]
-                if ends.any():
-                    k = self.rows[_ranges(self.low[node], ends)]
-                    good = (k < x) & (np.repeat(overlap, ends) * (100 + percent) >= percent * (size + self.sizes[k])) & (label[k] != label[x])
-                    for y in k[good].tolist():
-                        if label[y] != label[x]:
-                            found.append((y, x))
-                            label[label == label[x]] = label[y]
-                            joined = True
+            mark[own] = np.where(own < before, FAR, 1)
+            least = -(-size * percent // 100)
+            need = lambda node: -(-percent * (size + np.maximum(self.least[node], least)) // (100 + percent))  # noqa: B023, E731
+            for k, overlap in self._reach(x, mark, percent, only == label[x], need):
+                good = (overlap * (100 + percent) >= percent * (size + self.sizes[k])) & (label[k] != label[x])
+                for y in k[good].tolist():
+                    if label[y] != label[x]:
+                        found.append((y, x))
+                        label[label == label[x]] = label[y]
+                        joined = True
             mark[own] = 0
             if joined:
                 only = self._only(label)
         return found
 
+    def partners(self, percent: int, label: np.ndarray, least: np.ndarray, before: int = 0) -> np.ndarray:
+        """Which sets have one with another label that shares at least ``least`` (the larger of
+        both) of the n-grams that the trie holds."""
+        out = np.zeros(len(self.sets), bool)
+        mark = np.zeros(self.width, np.int64)
+        fewest = _over(np.minimum, least[self.rows], self.low, self.high)
+        only = self._only(label)
+        done = np.zeros(len(self.low), bool)
+        for x in range(1, len(self.sets)):
+            own = self.sets[x]
+            if not len(own):
+                continue
+            mark[own] = np.where(own < before, FAR, 1)
+            news = False
+            need = lambda node: np.maximum(fewest[node], least[x])  # noqa: B023, E731
+            for k, overlap in self._reach(x, mark, percent, (only == label[x]) | (done & out[x]), need):
+                good = k[(overlap >= np.maximum(least[k], least[x])) & (label[k] != label[x])]
+                if len(good) and not (out[x] and out[good].all()):
+                    out[good] = out[x] = news = True
+            mark[own] = 0
+            if news:
+                done = _over(np.minimum, out[self.rows].astype(np.int8), self.low, self.high) > 0
+        return out
+
     def _only(self, label: np.ndarray) -> np.ndarray:
         """The label of all members below a node, -1 if there are several."""
         run = label[self.rows]
@@ -299,74 +340,112 @@ class Trie:
         return np.where(change[self.low] == change[self.high - 1], run[self.low], -1)
 
 
-def linked(sets: list[np.ndarray], percent: int, apart: list[int] | None = None, before: int = 0) -> list[tuple[int, int]]:
-    """Links over ordered key arrays that suffice to connect all that links connect;
-    ``apart`` labels what is connected already, pairs with a common key below ``before`` may be left out."""
-    sizes = np.array([len(s) for s in sets])
+def _local(sets: list[np.ndarray], sizes: np.ndarray, before: int) -> tuple[Trie, int]:
+    """The trie of what at least two of the sets share, numbered densely in order, and ``before`` so numbered."""
     keys, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times > 1
-    if len(sets) == 2:  # a trie of two sets has one question
-        good = int(shared.sum()) >= needed(*sizes.tolist(), percent) and (not apart or apart[0] != apart[1])
-        return [(0, 1)] if good and not (shared & (keys < np.uint64(before))).any() else []
     dense = np.where(shared, np.cumsum(shared) - 1, -1)[inverse]
-    local = [part[part >= 0] for part in np.split(dense, np.cumsum(sizes)[:-1])]
+    local = [part[part >= 0] for part in np.split(dense, np.cumsum([len(s) for s in sets])[:-1])]
+    return Trie(local, sizes, int(shared.sum()) + 1), int((shared & (keys < np.uint64(before))).sum())
+
+
+def _labels(apart: list[int]) -> np.ndarray:
     heads: dict[int, int] = {}
-    label = np.array([heads.setdefault(c, k) for k, c in enumerate(apart)]) if apart else np.arange(len(sets))
-    return Trie(local, sizes, int(shared.sum()) + 1).links(percent, label, int((shared & (keys < np.uint64(before))).sum()))
-
-
-def _meetings(percent: int, label: bool):
-    """Rows sorted by (bucket, block): each run of equal ones is a meeting.  Gives (class, root):
-    all classes with their roots, or with ``label`` only links between different labels."""
-
-    def met(rows: list[tuple], bucket: int) -> tuple[list[int], list[int]]:
-        rows = list({r[0]: r for r in rows}.values())
-        if len(rows) < 2:
-            return ([], []) if label else ([rows[0][0]], [rows[0][0]])
-        rows.sort(key=lambda r: (len(r[1]), r[0]))
-        apart = [r[2] for r in rows]
-        found = linked([np.frombuffer(r[1], np.uint64) for r in rows], percent, apart if label else None, bucket + (1 << 63) if label else 0)
-        if label:
-            return [apart[a] for a, _ in found], [apart[b] for _, b in found]
-        parent = list(range(len(rows)))
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        for a, b in found:
-            a, b = sorted((root(a), root(b)))
-            parent[b] = a
-        return [r[0] for r in rows], [rows[root(k)][0] for k in range(len(rows))]
+    return np.array([heads.setdefault(c, k) for k, c in enumerate(apart)])
+
+
+def linked(sets: list[np.ndarray], percent: int, apart: list[int] | None = None, before: int = 0) -> list[tuple[int, int]]:
+    """Links over ordered key arrays, by size, that suffice to connect all that links connect;
+    ``apart`` labels what is connected already, pairs with a common key below ``before`` may be left out."""
+    label = _labels(apart) if apart else np.arange(len(sets))
+    if len(sets) == 2:  # a trie of two sets has one question
+        both = np.intersect1d(*sets, assume_unique=True)
+        good = len(both) >= needed(len(sets[0]), len(sets[1]), percent) and label[0] != label[1]
+        return [(0, 1)] if good and not (both < np.uint64(before)).any() else []
+    trie, first = _local(sets, np.array([len(s) for s in sets]), before)
+    return trie.links(percent, label, first)
+
+
+def paired(prefixes: list[np.ndarray], sizes: np.ndarray, percent: int, apart: list[int], before: int) -> np.ndarray:
+    """Which sets, known by their prefixes, share enough with another to be compared whole."""
+    trie, first = _local(prefixes, sizes, before)
+    return trie.partners(percent, _labels(apart), np.array([shared_least(int(n), percent) for n in sizes]), first)
+
+
+def _rooted(rows: list[tuple], bucket: int, percent: int) -> list[tuple[int, int]]:
+    """(class, its root) of all rows of a meeting."""
+    found = linked([r[1] for r in rows], percent) if len(rows) > 1 else []
+    of = list(range(len(rows)))
+
+    def root(k: int) -> int:
+        while of[k] != k:
+            of[k] = of[of[k]]
+            k = of[k]
+        return k
+
+    for a, b in found:
+        a, b = sorted((root(a), root(b)))
+        of[b] = a
+    return [(r[0], rows[root(k)][0]) for k, r in enumerate(rows)]
+
+
+def _bridges(rows: list[tuple], bucket: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of labels that links of this bucket connect."""
+    apart = [r[2] for r in rows]
+    found = linked([r[1] for r in rows], percent, apart, bucket + (1 << 63)) if len(rows) > 1 else []
+    return [(apart[a], apart[b]) for a, b in found]
+
+
+def _candidates(rows: list[tuple], bucket: int, percent: int) -> list[tuple[int, int]]:
+    """(class, bucket) of the classes that are to be compared whole."""
+    if len(rows) < 2:
+        return []
+    keep = paired([r[1] for r in rows], np.array([r[3] for r in rows]), percent, [r[2] for r in rows], bucket + (1 << 63))
+    return [(r[0], bucket) for r, k in zip(rows, keep.tolist(), strict=True) if k]
+
+
+def _meetings(percent: int, meet):
+    """Rows sorted by (bucket, block): each run of equal ones is a meeting, of each class once."""
 
     def run(batches):
-        key, rows = None, []
-        out: tuple[list[int], list[int]] = ([], [])
+        key, rows, out = None, {}, []
+
+        def met() -> list[tuple[int, int]]:
+            return meet(sorted(rows.values(), key=lambda r: (r[3], r[0])), key[0], percent) if rows else []
+
+        def batch():
+            a, b = zip(*out, strict=True) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["class", "root"])
+
         for b in batches:
-            for *now, cls, grams, comp in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                if now != key:
-                    if rows:
-                        for o, v in zip(out, met(rows, key[0]), strict=True):
-                            o += v
-                    key, rows = now, []
-                rows.append((cls, grams, comp))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["class", "root"])
-                out = ([], [])
-        if rows:
-            for o, v in zip(out, met(rows, key[0]), strict=True):
-                o += v
-        yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["class", "root"])
+            for bucket, block, cls, grams, comp, size in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if (bucket, block) != key:
+                    out += met()
+                    key, rows = (bucket, block), {}
+                rows[cls] = (cls, np.frombuffer(grams, np.uint64), comp, size)
+            if out:
+                yield batch()
+                out.clear()
+        out += met()
+        yield batch()
 
     return run
 
 
-def _meet(rows: DataFrame, percent: int, label: bool) -> DataFrame:
-    """``rows``: bucket, block, class, grams, comp."""
-    return (rows.select("bucket", "block", "class", "grams", "comp").repartition("bucket", "block")
-            .sortWithinPartitions("bucket", "block").mapInArrow(_meetings(percent, label), "class long, root long"))
+def _meet(rows: DataFrame, percent: int, meet) -> DataFrame:
+    """``rows``: bucket, block, class, grams, comp, size."""
+    return (rows.select("bucket", "block", "class", "grams", "comp", F.col("size").cast("long")).repartition("bucket", "block")
+            .sortWithinPartitions("bucket", "block").mapInArrow(_meetings(percent, meet), "class long, root long"))
+
+
+def _packed(batches):
+    """Lists of signed keys as ordered unsigned key arrays."""
+    for b in batches:
+        lists = b.column(1)
+        keys = lists.flatten().to_numpy().view(np.uint64)
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        grams = [np.sort(keys[a:e]).tobytes() for a, e in zip(np.append(0, ends[:-1]), ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.binary()), b.column(2)], ["class", "grams", "size"])
 
 
 def _blocks(members: Column, grams: Column, sets: int, most: int) -> Column:
@@ -415,7 +494,7 @@ def jaccard_classes(docs: DataFrame, n: int, percent: int, key: str = "doc_id",
         load = left.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("size").alias("grams"))
         cut = left.join(load.select("bucket", _blocks(F.col("members"), F.col("grams"), block_sets, block_grams).alias("blocks")), "bucket")
         cut = rewritten(cut.select("class", "bucket", "size", "blocks", F.pmod(F.xxhash64("class"), "blocks").alias("block")), "dealt")
-        met = rewritten(_meet(cut.join(sets, "class").withColumn("comp", F.lit(0).cast("long")), percent, False), "met")
+        met = rewritten(_meet(cut.join(sets, "class").withColumn("comp", F.lit(0).cast("long")), percent, _rooted), "met")
         component = met if component is None else rewritten(
             component.join(met.select(F.col("class").alias("root"), F.col("root").alias("next")), "root", "left").select("class", F.coalesce("next", "root").alias("root")), "met")
         again = rewritten(cut.where("blocks > 1").join(met.where("class = root").select("class"), "class").select("class", "bucket", "size"), "again")
@@ -434,8 +513,14 @@ def jaccard_classes(docs: DataFrame, n: int, percent: int, key: str = "doc_id",
     rest = marked.withColumn("bucket", F.col("gram").bitwiseXOR(F.lit(-(1 << 63)))).join(buckets, "bucket").select("bucket", "class", F.col("root").alias("comp"), "blocks").distinct()
     mine = F.pmod(F.xxhash64("class"), "blocks")
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.least(mine, k) * F.col("blocks") + F.greatest(mine, k))
-    rest = rest.select("bucket", F.explode(pairs).alias("block"), "class", "comp")
-    links = rewritten(_meet(rest.join(sets, "class"), percent, True), "links")
+    deal = lambda df: df.select("bucket", F.explode(pairs).alias("block"), "class", "comp")
+    # First by their shared prefix n-grams, which are few; sets are then fetched for classes with a partner only.
+    prefix = rewritten(shared.groupBy("class", "size").agg(F.collect_list("gram").alias("grams")).select("class", "grams", F.col("size").cast("long"))
+                       .mapInArrow(_packed, "class long, grams binary, size long"), "prefixes")
+    rest = rewritten(rest, "rest")
+    partners = _meet(deal(rest).join(prefix, "class"), percent, _candidates).select("class", F.col("root").alias("bucket")).distinct()
+    rest = rewritten(rest.join(partners, ["class", "bucket"]), "partners")
+    links = rewritten(_meet(deal(rest).join(sets, "class").withColumn("size", F.octet_length("grams")), percent, _bridges), "links")
     merged = components(links.select(F.col("class").alias("a"), F.col("root").alias("b")))
     final = component.join(merged.select(F.col("node").alias("root"), "component"), "root", "left").select("class", F.coalesce("component", "root").alias("component"))
     return documents, rewritten(final, "classes")
