@@ -36,8 +36,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from . import hashed_words
 from .common import key_and_text
 from .tokens import tokenizer_path
 
@@ -45,8 +47,8 @@ MODEL_FILE = "piece_bpe_32k.model"
 SAMPLES = 3
 ALPHA = 1.0
 SEED = 17
-#: Characters that a worker handles at once (a longer text is a batch of its own).
-BATCH_CHARS = 4_000_000
+#: Bytes of text that a worker handles at once (a longer text is a batch of its own).
+BATCH_BYTES = 5_000_000
 BLANK = "▁"
 #: No perturbation of a chance in (0, 1) with 53 bits exceeds this.
 HIGHEST = 38.0
@@ -227,7 +229,8 @@ class Lattices:
             self.stop[slot], self.piece[slot] = here + depth, piece
             fill[here] += 1
         slot = fill[odd]
-        self.stop[slot], self.piece[slot] = odd + 1, -1 - code[odd]  # below 0: the character to spell
+        # A character of one byte is that byte's piece; below 0: the character to spell.
+        self.stop[slot], self.piece[slot] = odd + 1, np.where(code[odd] < 0x80, pieces.bytes_from + code[odd], -1 - code[odd])
         weight = pieces.log_prob[np.maximum(self.piece, 0)]
         if len(odd):
             spelled = 1 + (code[odd] > 0x7F) + (code[odd] > 0x7FF) + (code[odd] > 0xFFFF)
@@ -293,8 +296,8 @@ class Draw:
     def __init__(self, seed: np.uint64):
         self.seed, self.paths, self.open = seed, [], []
 
-    def add(self, lattices: Lattices, k: int, edges: np.ndarray, words: np.ndarray, top: float, kept: int, most: int) -> None:
-        """A drawn path; its steps from ``kept`` on leave open branches, of which the ``most`` best can matter.
+    def add(self, lattices: Lattices, k: int, edges: np.ndarray, words, top: float, kept: int, most: int) -> None:
+        """A drawn path (``words(n)``: the words of its first n steps); its steps from ``kept`` on leave open branches, of which the ``most`` best can matter.
 
         A perturbation raises a branch by ``HIGHEST`` at most, as chances have 53
         bits; steps so unlikely that this cannot reach the best are not looked at."""
@@ -307,7 +310,7 @@ class Draw:
             ahead = before + np.cumsum(log[some]) - log[some]
             u = _uniform(self.seed + np.uint64(2 * k + 2) * _M[2] + np.arange(at, at + len(ahead), dtype=np.uint64) * _M[3])
             peak = truncated(ahead + lattices.other[edges[some]], top, u)
-            best = np.argsort(-peak, kind="stable")[:most].tolist()
+            best = (np.argpartition(peak, len(peak) - most)[-most:] if len(peak) > most else np.arange(len(peak))).tolist()
             mine += [(float(peak[t]), n, at + t, (int(edges[at + t]),)) for t in best if peak[t] > -np.inf]
             mine = sorted(mine, reverse=True)[:most]
             least = mine[-1][0] if len(mine) == most else -np.inf
@@ -321,34 +324,32 @@ def truncated(location, top, u):
 
 
 @np.errstate(over="ignore")
-def draws(pieces: Pieces, keys: list[int | None], texts: list[str | None], samples: int, seed: int = SEED) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
+def draws(pieces: Pieces, keys: list[int | None], texts: pa.Array, samples: int, seed: int = SEED) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
     """Of each text: (ids, log chance, perturbed log chance) of its segmentations, best first; and the threshold."""
-    cut = [words_of(t) for t in texts]
-    distinct = list(set().union(*cut))
-    number = dict(zip(distinct, range(len(distinct)), strict=True))
-    of = [np.fromiter(map(number.__getitem__, words), np.int64, len(words)) for words in cut]
-    if not number:
-        return [([(np.empty(0, np.int64), 0.0, 0.0)], -np.inf) for _ in texts]
+    distinct, of = numbered(texts)
+    if not distinct:
+        return [([(np.empty(0, np.int64), 0.0, 0.0)], -np.inf) for _ in keys]
     lat = Lattices(pieces, [BLANK + w for w in distinct])
     seeds = _mixed(np.array([(k or 0) & ((1 << 64) - 1) for k in keys], np.uint64) + np.uint64(seed) * _M[2])
     state = [Draw(s) for s in seeds]
 
-    def walk(jobs: list[tuple[int, np.ndarray, int, int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(text, positions, first word) each: edges with their word numbers."""
+    def walk(jobs: list[tuple[int, np.ndarray, int]], k: int) -> list[tuple]:
+        """(text, positions, first word) each: edges, and their words as a function."""
         if not jobs:
             return []
-        where = np.concatenate([p for _, p, _, _ in jobs])
-        own = np.concatenate([np.arange(first, first + len(p), dtype=np.uint64) * _WORD + (seeds[d] + np.uint64(k + 1) * _M[0]) for d, p, first, _ in jobs])
+        where = np.concatenate([p for _, p, _ in jobs])
+        own = np.concatenate([np.arange(first, first + len(p), dtype=np.uint64) * _WORD + (seeds[d] + np.uint64(k + 1) * _M[0]) for d, p, first in jobs])
         edges, counts = lat.walk(where, own)
-        out, at, begin = [], 0, 0
-        for _, p, first, _ in jobs:
+        ends = np.append(0, np.cumsum(counts))
+        out, at = [], 0
+        for _, p, first in jobs:
             c = counts[at:at + len(p)]
-            n = int(c.sum())
-            out.append((edges[begin:begin + n], np.repeat(np.arange(first, first + len(p)), c)))
-            at, begin = at + len(p), begin + n
+            words = lambda n, c=c, first=first: np.repeat(np.arange(first, first + min(n, len(c))), c[:n])[:n]
+            out.append((edges[ends[at]:ends[at + len(p)]], words))
+            at += len(p)
         return out
 
-    jobs = [(d, lat.first[words], 0, 0) for d, words in enumerate(of) if len(words)]
+    jobs = [(d, lat.first[words], 0) for d, words in enumerate(of) if len(words)]
     tops = -np.log(-np.log(_uniform(seeds + _M[3])))
     for (d, *_), (edges, words) in zip(jobs, walk(jobs, 0), strict=True):
         state[d].add(lat, 0, edges, words, float(tops[d]), 0, samples)
@@ -361,24 +362,28 @@ def draws(pieces: Pieces, keys: list[int | None], texts: list[str | None], sampl
             peak, path, at, gone = s.open.pop(best)
             edges, words, _, _ = s.paths[path]
             run = int(lat.run[lat.start[edges[at]]])
-            choice = np.arange(lat.begins[run], lat.begins[run] + lat.many[run])
-            choice = choice[~np.isin(choice, gone)]
-            chance = np.exp(lat.log[choice] - lat.log[choice].max())
+            begin = int(lat.begins[run])
+            choice = np.array([e for e in range(begin, begin + int(lat.many[run])) if e not in gone])
+            log = lat.log[choice]
+            chance = np.cumsum(np.exp(log - log.max()))
             u = _uniform(np.array([s.seed + np.uint64(2 * k + 1) * _M[1], s.seed + np.uint64(2 * k + 1) * _M[0]]))
-            e = int(choice[min(int(np.searchsorted(np.cumsum(chance), u[0] * chance.sum(), "right")), len(choice) - 1)])
-            rest = choice[choice != e]
-            if len(rest):
-                place = float(lat.log[edges[:at]].sum() + np.logaddexp.reduce(lat.log[rest]))
+            pick = min(int(np.searchsorted(chance, u[0] * chance[-1], "right")), len(choice) - 1)
+            e = int(choice[pick])
+            if len(choice) > 1:
+                place = float(lat.log[edges[:at]].sum() + np.logaddexp.reduce(np.delete(log, pick)))
                 s.open.append((float(truncated(place, peak, u[1])), path, at, (*gone, e)))
-            w = int(words[at])
-            after = of[d][w + 1:]
+            head_words = words(at + 1)
+            w = int(head_words[at])
             stop = int(lat.stop[e])
+            positions = lat.first[of[d][w + 1:]]
             inside = stop < lat.end[lat.start[e]]
-            positions = np.concatenate([[stop] if inside else [], lat.first[after]]).astype(np.int64)
-            heads.append((d, np.append(edges[:at], e), words[:at + 1], peak, at))
-            jobs.append((d, positions, w if inside else w + 1, at))
+            if inside:
+                positions = np.append(stop, positions)
+            heads.append((d, np.append(edges[:at], e), head_words, peak, at))
+            jobs.append((d, positions, w if inside else w + 1))
         for (d, head, head_words, peak, at), (edges, words) in zip(heads, walk(jobs, k), strict=True):
-            state[d].add(lat, k, np.concatenate([head, edges]), np.concatenate([head_words, words]), peak, at + 1, samples)
+            both = lambda n, a=head_words, b=words: a[:n] if n <= len(a) else np.append(a, b(n - len(a)))
+            state[d].add(lat, k, np.concatenate([head, edges]), both, peak, at + 1, samples)
     out = []
     for d, s in enumerate(state):
         if not len(of[d]):
@@ -388,6 +393,32 @@ def draws(pieces: Pieces, keys: list[int | None], texts: list[str | None], sampl
     return out
 
 
+def numbered(texts: pa.Array) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct words of some texts, and the numbers of each text's words."""
+    distinct: dict[str, int] = {}
+    of: list[np.ndarray] = []
+    for _, n, data, offsets in hashed_words.chunks(texts, 1 << 62):
+        blanks = np.flatnonzero(data == 0x20)
+        starts, ends, words = hashed_words.cut(data, offsets, blanks)
+        row = np.repeat(np.arange(n), words)
+        # Texts with runs of blanks, or the blank's own sign, are cut one by one.
+        odd = np.bincount(row, starts == ends, n) > 0
+        sign = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))
+        odd[np.searchsorted(offsets, sign, "right") - 1] = True
+        key, which, back = np.unique(hashed_words.hashes(data, starts, ends), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        found = [distinct.setdefault(raw[a:b].decode(), len(distinct)) for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+        numbers = np.array(found, np.int64)[back]
+        begin = np.append(0, np.cumsum(words))
+        for k in range(n):
+            if odd[k]:
+                own = words_of(raw[offsets[k]:offsets[k + 1]].decode())
+                of.append(np.array([distinct.setdefault(w, len(distinct)) for w in own], np.int64))
+            else:
+                of.append(numbers[begin[k]:begin[k + 1]])
+    return list(distinct), of
+
+
 def ids_of(pieces: Pieces, piece: np.ndarray) -> np.ndarray:
     """Model ids; characters to spell become their bytes' pieces."""
     odd = np.flatnonzero(piece < 0)
@@ -423,15 +454,12 @@ def _segmenter(path: str, samples: int, alpha: float, seed: int, with_ids: bool)
     def run(batches):
         pieces = _pieces(path, alpha)
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            size = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)))
             at = 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to] or "") <= BATCH_CHARS):
-                    chars += len(texts[to] or "")
-                    to += 1
-                rows = []
-                for key, (paths, threshold) in zip(keys[at:to], draws(pieces, keys[at:to], texts[at:to], samples, seed), strict=True):
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, size[at] + BATCH_BYTES, "right")) - 1)
+                keys, rows = b.column(0).slice(at, to - at).to_pylist(), []
+                for key, (paths, threshold) in zip(keys, draws(pieces, keys, b.column(1).slice(at, to - at), samples, seed), strict=True):
                     for k, (ids, q, _) in enumerate(paths):
                         row = [key, k, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(pieces.decoded(ids)), q, log_inclusion(q, threshold)]
                         rows.append(row + [ids.tolist()] * with_ids)

@@ -5,6 +5,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlake.llm import gumbel_segments as G
@@ -48,7 +49,7 @@ def all_ways(pieces, text):
 def test_first_draw_follows_the_lattice(pieces, text):
     true = all_ways(pieces, text)
     n = 6000
-    got = G.draws(pieces, list(range(n)), [text] * n, 1)
+    got = G.draws(pieces, list(range(n)), pa.array([text] * n), 1)
     seen = Counter(tuple(paths[0][0].tolist()) for paths, _ in got)
     assert set(seen) <= set(true)
     for paths, _ in got[:50]:
@@ -62,7 +63,7 @@ def test_first_draw_follows_the_lattice(pieces, text):
 def test_draws_without_replacement(pieces, text):
     true = all_ways(pieces, text)
     n, k = 6000, 3
-    got = G.draws(pieces, list(range(n)), [text] * n, k)
+    got = G.draws(pieces, list(range(n)), pa.array([text] * n), k)
     pairs = Counter()
     weights = Counter()
     for paths, threshold in got:
@@ -84,7 +85,7 @@ def test_draws_without_replacement(pieces, text):
 
 def test_all_segmentations_when_few(pieces):
     true = all_ways(pieces, "of")
-    paths, threshold = G.draws(pieces, [3], ["of"], 50)[0]
+    paths, threshold = G.draws(pieces, [3], pa.array(["of"]), 50)[0]
     assert {tuple(i.tolist()) for i, _, _ in paths} == set(true)
     assert threshold == -math.inf and G.log_inclusion(paths[0][1], threshold) == 0
 
@@ -93,6 +94,10 @@ def test_words(pieces):
     for text in ["a b", " a", "a  b ", "▁a ▁", "x\ty\n z", "   "]:
         assert "".join("▁" + w for w in G.words_of(text)) == "▁" + text.replace(" ", "▁")
     assert G.words_of(None) == G.words_of("") == []
+    texts = ["a b", None, "", " a", "a  b ", "▁a ▁", "x\ty\n z", "   ", "b a", "é \U0001f600"]
+    distinct, of = G.numbered(pa.array(texts))
+    assert [[distinct[k] for k in ids] for ids in of] == [G.words_of(t) or ([""] if t == "" and len(ids) else []) for t, ids in zip(texts, of, strict=True)]
+    assert len(of[1]) == len(of[2]) == 0
 
 
 def test_decoding_matches_the_library(pieces):
@@ -101,7 +106,7 @@ def test_decoding_matches_the_library(pieces):
     sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(G.MODEL_FILE))
     for text in ["Hello  world\n xé\U0001f600 y", "ünï\tcödé", "a"]:
         assert pieces.decode(sp.encode(text)) == text
-        for ids, _, _ in G.draws(pieces, [1], [text], 4)[0][0]:
+        for ids, _, _ in G.draws(pieces, [1], pa.array([text]), 4)[0][0]:
             assert pieces.decode(ids.tolist()) == text == sp.decode(ids.tolist())
 
 
