@@ -27,7 +27,7 @@ from ..session import scratch_path
 
 def grouped_prefix_sums(df: DataFrame, group: list[str], order: list[str], values: list[str],
                         suffix: str = "_before", num_partitions: int | None = None,
-                        skew_safe: bool = True, scratch: str | None = None) -> DataFrame:
+                        scratch: str | None = None) -> DataFrame:
     """Add ``<v><suffix>`` = sum of ``v`` over earlier rows (exclusive) of the
     same group, in ``order``, for every ``v`` in ``values``.
 
@@ -37,10 +37,6 @@ def grouped_prefix_sums(df: DataFrame, group: list[str], order: list[str], value
     the plan instance, so two un-shared evaluations could cut the chunks
     differently."""
     zero = F.lit(0)
-    if not skew_safe:
-        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", *[F.coalesce(F.sum(v).over(w), zero).alias(v + suffix) for v in values])
-
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch or scratch_path(spark, "prefix")

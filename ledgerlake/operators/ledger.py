@@ -17,8 +17,10 @@ def generate_invoices(orders: DataFrame, invoices: DataFrame, as_of,
     """One new invoice per distinct order not yet invoiced: amount = order
     total, status issued, issued at ``as_of``, due ``as_of + terms``; an
     explicit ``due_date`` column on the order wins."""
-    new = (orders.dropDuplicates(["id"])
-           .join(invoices.select(F.col("order_id").alias("id")), "id", "left_anti"))
+    new = orders.join(invoices.select(F.col("order_id").alias("id")), "id", "left_anti")
+    # Of rows that repeat an order the earliest counts (then the smallest total).
+    order = [c for c in ("created_at", "total_amount", "due_date") if c in orders.columns]
+    new = new.groupBy("id").agg(F.min(F.struct(*order)).alias("m")).select("id", "m.*")
     default_due = F.date_add(as_of_date(as_of), terms_days)
     due = F.coalesce(F.col("due_date"), default_due) if "due_date" in orders.columns else default_due
     return new.select(

@@ -4,8 +4,7 @@ Nested per-order arrays (``json_agg`` in the source view) are not built here:
 one order's items would have to meet in one task and one row, which does not
 hold when a single order may carry a large share of all lines.  The detail is
 returned flattened, one row per item with its ordering columns
-(``item_created_at``, ``line_number``); ``order_items_json`` renders a single
-item as JSON for sinks that want it.
+(``item_created_at``, ``line_number``).
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import left_join_hot_right
-from ..functions.timefns import days_before
 from ..schemas import ALLOWED_TRANSITIONS, MONEY, MONEY_SUM
 
 
@@ -46,13 +44,6 @@ def order_details(orders: DataFrame, customers: DataFrame, order_items: DataFram
         "created_at", "item_created_at", "line_number", "sku", "product_name", "qty", "line_total")
 
 
-def order_items_json(details: DataFrame) -> DataFrame:
-    """One JSON object per item, as in the nested view's array elements."""
-    obj = F.to_json(F.struct("sku", "product_name", "qty", "line_total"))
-    return details.select("order_id", "item_created_at", "line_number",
-                          F.when(F.col("sku").isNotNull(), obj).alias("item_json"))
-
-
 def order_by_id(orders: DataFrame, order_items: DataFrame, order_id) -> DataFrame:
     """Point lookup of one order with its items; the key filter is pushed into
     both scans (Parquet min/max statistics skip row groups)."""
@@ -63,13 +54,10 @@ def order_by_id(orders: DataFrame, order_items: DataFrame, order_id) -> DataFram
     return o.join(items, "order_id", "left")
 
 
-def orders_with_items(orders: DataFrame, order_items: DataFrame, as_of, days: int = 30) -> DataFrame:
-    """Batched one-to-many load: the parent set (orders of the last ``days``
-    days) and its children fetched by key set (semi-join), then attached."""
-    parents = orders.filter(F.col("created_at") >= days_before(as_of, days)).select(
-        F.col("id").alias("order_id"), "customer_id", "status", "total_amount", "created_at")
-    children = order_items.join(parents.select("order_id"), "order_id", "left_semi").select(
-        "order_id", "line_number", "sku", "qty", "line_total")
+def orders_with_items(orders: DataFrame, order_items: DataFrame) -> DataFrame:
+    """One-to-many load: every order with its items (orders without items keep one row)."""
+    parents = orders.select(F.col("id").alias("order_id"), "customer_id", "status", "total_amount", "created_at")
+    children = order_items.select("order_id", "line_number", "sku", "qty", "line_total")
     return left_join_hot_right(parents, children, ["order_id"])
 
 
@@ -84,15 +72,17 @@ def price_order_items(order_items: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def order_current_status(history: DataFrame) -> DataFrame:
-    """Latest status per order (highest sequence), as a partial aggregate:
-    ``max_by`` combines map-side, so a hot order is not one reducer's load."""
-    allowed = {s for pair in ALLOWED_TRANSITIONS for s in pair}
-    return (history.filter(F.col("status").isin(*sorted(allowed)))
+    """Latest status per order (highest sequence), as a partial aggregate that
+    combines map-side.  The status is carried as its number: aggregates over
+    fixed-width values stay hash aggregates, without a sort before the shuffle."""
+    known = sorted({s for pair in ALLOWED_TRANSITIONS for s in pair})
+    names = F.array(*[F.lit(s) for s in known])
+    return (history.filter(F.col("status").isin(*known))
+            .select("order_id", "seq", "ts", F.array_position(names, F.col("status")).cast("int").alias("code"))
             .groupBy("order_id")
-            .agg(F.max_by(F.struct("status", "ts"), "seq").alias("last"),
+            .agg(F.max_by("code", "seq").alias("code"), F.max_by("ts", "seq").alias("changed_at"),
                  F.count(F.lit(1)).alias("n_changes"))
-            .select("order_id", F.col("last.status").alias("current_status"),
-                    F.col("last.ts").alias("changed_at"), "n_changes"))
+            .select("order_id", F.element_at(names, F.col("code")).alias("current_status"), "changed_at", "n_changes"))
 
 
 def status_transitions(history: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def quality_violations(tables: dict[str, DataFrame]) -> DataFrame:
 
 def orders_without_items(orders: DataFrame, order_items: DataFrame) -> DataFrame:
     """Orders that have no line at all (an order needs at least one item)."""
-    return orders.join(order_items.select(F.col("order_id").alias("id")), "id", "left_anti")
+    return orders.join(order_items.select(F.col("order_id").alias("id")).distinct(), "id", "left_anti")
 
 
 def orphans(customers: DataFrame, products: DataFrame, inventory_items: DataFrame,

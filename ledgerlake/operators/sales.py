@@ -69,12 +69,13 @@ def daily_order_volume(order_events: DataFrame) -> DataFrame:
                      .alias("avg_order_value")))
 
 
-def daily_orders(order_events: DataFrame, as_of, days: int = 30, limit: int = 100) -> DataFrame:
-    """Named query ``daily_orders``: the daily view over the last ``days`` days."""
+def daily_orders(order_events: DataFrame, as_of, days: int = 30, limit: int | None = 100) -> DataFrame:
+    """Named query ``daily_orders``: the daily view over the last ``days`` days, newest
+    first; all of them without a ``limit``."""
     cutoff = days_before(as_of, days)
     pre = order_events.filter(F.col("event_timestamp") >= cutoff)
-    return (daily_order_volume(pre).filter(F.col("order_date") >= cutoff)
-            .orderBy(F.col("order_date").desc()).limit(limit))
+    out = daily_order_volume(pre).filter(F.col("order_date") >= cutoff)
+    return out if limit is None else out.orderBy(F.col("order_date").desc()).limit(limit)
 
 
 def revenue_by_day(order_events: DataFrame, as_of, days: int = 30, limit: int = 100) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.prefix import grouped_prefix_sums
 from ..operators import reservation as rsv
 from ..session import ensure_session_conf, scratch_path
 from ..sources import events as ev
@@ -19,8 +20,12 @@ from ..operators import sales
 from ..sources.sinks import export_csv, read_csv
 from ..streaming.ingest import IngestJob, dedup_stream, read_event_stream, write_messages
 
-FILES = 8
-FILES_PER_TRIGGER = 3
+#: Micro-batches that the registered streams cut their input files into.
+MICRO_BATCHES = 3
+
+
+def _files_per_batch(spark: SparkSession, inbox: str) -> int:
+    return max(1, -(-len(spark.read.text(inbox).inputFiles()) // MICRO_BATCHES))
 
 
 def _messages(w: Warehouse, poison: bool = False) -> DataFrame:
@@ -39,13 +44,13 @@ def _run_stream(spark: SparkSession, sf_dir: str, poison: bool = False, billing:
     ensure_session_conf(spark)
     w = Warehouse(spark, sf_dir)
     root = scratch_path(spark, "ingest")
-    write_messages(_messages(w, poison), f"{root}/inbox", FILES)
+    write_messages(_messages(w, poison), f"{root}/inbox")
     if billing:
         job = IngestJob(spark, store=f"{root}/store", checkpoint=f"{root}/checkpoint", analytics=False,
                         billing=True, idempotency="order")
     else:
         job = IngestJob(spark, store=f"{root}/store", checkpoint=f"{root}/checkpoint")
-    job.run_available(read_event_stream(spark, f"{root}/inbox", FILES_PER_TRIGGER))
+    job.run_available(read_event_stream(spark, f"{root}/inbox", _files_per_batch(spark, f"{root}/inbox")))
     return job
 
 
@@ -80,8 +85,8 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_session_conf(spark)
     w = Warehouse(spark, sf_dir)
     root = scratch_path(spark, "events")
-    write_messages(_messages(w), f"{root}/inbox", FILES)
-    decoded = dedup_stream(ev.decode_events(read_event_stream(spark, f"{root}/inbox", FILES_PER_TRIGGER)))
+    write_messages(_messages(w), f"{root}/inbox")
+    decoded = dedup_stream(ev.decode_events(read_event_stream(spark, f"{root}/inbox", _files_per_batch(spark, f"{root}/inbox"))))
     q = (decoded.select("subject", "event_key", "order_id", "customer_id", "total_amount", "event_timestamp")
          .writeStream.format("parquet").option("path", f"{root}/out")
          .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
@@ -99,12 +104,12 @@ def explode_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """order_created messages with items -> stream -> stock reservation in
-    foreachBatch.  All messages are available at once, so they form one
-    micro-batch and the result equals ``reserve_orders``."""
+    foreachBatch, in as many micro-batches as there are files (an order's parts may
+    come in different ones)."""
     ensure_session_conf(spark)
     w = Warehouse(spark, sf_dir)
     root = scratch_path(spark, "reserve-stream")
-    write_messages(ev.emit_orders_with_items(w.orders, w.order_items), f"{root}/inbox", FILES)
+    write_messages(ev.emit_orders_with_items(w.orders, w.order_items), f"{root}/inbox")
     job = IngestJob(spark, store=f"{root}/store", checkpoint=f"{root}/checkpoint", analytics=False,
                     inventory=w.inventory_items)
     job.run_available(read_event_stream(spark, f"{root}/inbox"))
@@ -139,23 +144,24 @@ def reservation_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_requests(w: Warehouse) -> DataFrame:
-    """Every lineitem row as one request; the id is assigned on the file scan
-    (stable for the same files and split settings)."""
-    li = w.raw("lineitem").withColumn("line_id", F.monotonically_increasing_id())
+    """Every lineitem row as one request.  Its id is the order's key and the line's
+    place in the order, padded so that text order is number order: it depends on
+    neither file splits nor partitions."""
+    place = ["l_shipdate", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"]
+    li = w.raw("lineitem").select("l_orderkey", *place, F.lit(1).cast("long").alias("one"))
+    li = grouped_prefix_sums(li, ["l_orderkey"], place, ["one"])
+    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     o = w.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
-    return li.join(o, "l_orderkey")
+    return li.withColumn("line_id", F.concat_ws("-", pad(F.col("l_orderkey"), 12), pad(F.col("one_before") + 1, 6))).join(o, "l_orderkey")
 
 
 def reserve_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order line as a reservation of its own, in (order date, order, line) order."""
     w = _wh(spark, sf_dir)
     req = _line_requests(w).select(
-        F.col("line_id").cast("string").alias("txn_id"), F.col("l_partkey").cast("string").alias("key"),
-        (-F.col("l_quantity").cast("long")).alias("delta"), F.col("o_orderdate").alias("arrival"))
-    inv = w.inventory_items
-    state = inv.select(F.col("sku").alias("key"),
-                       (F.col("qty_on_hand") - F.col("reserved_qty")).cast("long").alias("x0"),
-                       F.lit(0).cast("long").alias("floor"))
-    return rsv.sequential_admission(req, state, ["arrival"])
+        F.col("line_id").alias("request_id"), F.col("l_partkey").cast("string").alias("sku"),
+        F.col("l_quantity").cast("long").alias("qty"), F.col("o_orderdate").alias("ts"))
+    return rsv.reserve_lines(req, w.inventory_items).drop("round")
 
 
 def adjust_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +172,7 @@ def adjust_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(-F.col("l_quantity"))
          .cast("long").alias("delta"),
         F.col("l_shipdate").alias("ts"))
-    return rsv.adjust_stock(adj, w.inventory_items)
+    return rsv.adjust_stock(adj, w.inventory_items).drop("round")
 
 
 def release_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +185,7 @@ def release_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.col("l_quantity").cast("long").alias("qty"))
            .join(cancelled, "order_id")
            .select(F.col("line_id").alias("release_id"), "sku", "qty", "ts"))
-    return rsv.release_reservations(rel, w.inventory_items)
+    return rsv.release_reservations(rel, w.inventory_items).drop("round")
 
 
 EXTRA_QUERIES = {
@@ -199,16 +205,55 @@ EXTRA_QUERIES = {
     "release_reservations": release_reservations,
 }
 
+def _fold_sql(requests: str, state: str) -> str:
+    """Sequential decisions per key, by recursion over a request's rank within its key.
+    requests: (txn_id, key, delta, ts); state: (key, x0, floor)."""
+    return f"""
+        SELECT txn_id, ts, decision, reason FROM (
+          WITH RECURSIVE line_ids AS (
+            SELECT *, lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '-' || lpad(CAST(row_number() OVER (
+                PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag) AS VARCHAR), 6, '0') AS line_id
+            FROM lineitem),
+          req AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, txn_id) AS rn FROM ({requests}) r0),
+          st AS ({state}),
+          run AS (
+            SELECT r.key, r.rn, r.txn_id, r.ts, st.floor, st.x0 + r.delta >= st.floor AS ok,
+                   CASE WHEN st.x0 + r.delta >= st.floor THEN st.x0 + r.delta ELSE st.x0 END AS x
+            FROM req r JOIN st ON st.key = r.key WHERE r.rn = 1
+            UNION ALL
+            SELECT r.key, r.rn, r.txn_id, r.ts, p.floor, p.x + r.delta >= p.floor,
+                   CASE WHEN p.x + r.delta >= p.floor THEN p.x + r.delta ELSE p.x END
+            FROM run p JOIN req r ON r.key = p.key AND r.rn = p.rn + 1)
+          SELECT txn_id, ts, CASE WHEN ok THEN 'admitted' ELSE 'rejected' END AS decision,
+                 CASE WHEN NOT ok THEN 'insufficient' END AS reason FROM run
+          UNION ALL
+          SELECT txn_id, ts, 'rejected', 'unknown_key' FROM req WHERE key NOT IN (SELECT key FROM st)) folded"""
+
+
 EXTRA_SQL = {
+    "reserve_lines": _fold_sql(
+        """SELECT l.line_id AS txn_id, CAST(l.l_partkey AS VARCHAR) AS key, -CAST(l.l_quantity AS BIGINT) AS delta, o.o_orderdate AS ts
+           FROM line_ids l JOIN orders o ON o.o_orderkey = l.l_orderkey""",
+        "SELECT sku AS key, CAST(qty_on_hand - reserved_qty AS BIGINT) AS x0, 0 AS floor FROM m_inventory"),
+    "adjust_stock": _fold_sql(
+        """SELECT l.line_id AS txn_id, CAST(l.l_partkey AS VARCHAR) AS key,
+                  CAST(CASE WHEN l.l_returnflag = 'R' THEN l.l_quantity ELSE -l.l_quantity END AS BIGINT) AS delta, l.l_shipdate AS ts
+           FROM line_ids l JOIN orders o ON o.o_orderkey = l.l_orderkey""",
+        "SELECT sku AS key, CAST(qty_on_hand AS BIGINT) AS x0, greatest(0, reserved_qty) AS floor FROM m_inventory"),
+    "release_reservations": _fold_sql(
+        """SELECT l.line_id AS txn_id, CAST(l.l_partkey AS VARCHAR) AS key, -CAST(l.l_quantity AS BIGINT) AS delta,
+                  o.created_at + INTERVAL 2 DAY AS ts
+           FROM line_ids l JOIN m_orders o ON o.id = l.l_orderkey WHERE o.status = 'cancelled'""",
+        "SELECT sku AS key, CAST(reserved_qty AS BIGINT) AS x0, 0 AS floor FROM m_inventory"),
     "csv_export": "SELECT * FROM d_dov",
     "stream_events": """
         SELECT 'orders.' || CASE event_type WHEN 'purchase' THEN 'order_created'
                                             WHEN 'click' THEN 'order_updated' ELSE event_type END AS subject,
-               CAST(event_id AS VARCHAR) AS event_key, event_id AS order_id, user_id AS customer_id,
+               CAST(event_id AS VARCHAR) AS event_key, CAST(event_id AS VARCHAR) AS order_id, CAST(user_id AS VARCHAR) AS customer_id,
                CAST(value AS DECIMAL(14,2)) AS total_amount, ts AS event_timestamp
         FROM events""",
     "explode_order_items": """
-        SELECT order_id,
+        SELECT CAST(order_id AS VARCHAR) AS order_id,
                CAST(row_number() OVER (PARTITION BY order_id
                                        ORDER BY created_at, line_number, sku, qty, line_total) AS INTEGER)
                  AS position,
@@ -216,21 +261,22 @@ EXTRA_SQL = {
         FROM m_order_items""",
     "stream_sales_by_hour": "SELECT * FROM d_sbh",
     "stream_order_log": """
-        SELECT CAST(id AS VARCHAR) AS event_key, order_id, event_type, customer_id, total_amount, status,
+        SELECT CAST(id AS VARCHAR) AS event_key, CAST(order_id AS VARCHAR) AS order_id, event_type,
+               CAST(customer_id AS VARCHAR) AS customer_id, total_amount, status,
                event_timestamp, CAST(event_timestamp AS DATE) AS event_date
         FROM m_order_events""",
     "quarantine": "SELECT 'orders.error' AS subject, 'malformed_json' AS reason FROM events WHERE event_type = 'error'",
     "stream_invoices": """
-        SELECT event_id AS id, event_id AS order_id, CAST(value AS DECIMAL(14,2)) AS amount,
+        SELECT CAST(event_id AS VARCHAR) AS id, CAST(event_id AS VARCHAR) AS order_id, CAST(value AS DECIMAL(14,2)) AS amount,
                'issued' AS status, ts AS issued_at, CAST(ts AS DATE) + 30 AS due_date
         FROM events WHERE event_type = 'purchase'""",
     "stream_ledger_entries": """
         SELECT 'accounts_receivable' AS account, CAST(value AS DECIMAL(14,2)) AS debit,
-               CAST(0 AS DECIMAL(14,2)) AS credit, 'invoice' AS ref_type, event_id AS ref_id,
+               CAST(0 AS DECIMAL(14,2)) AS credit, 'invoice' AS ref_type, CAST(event_id AS VARCHAR) AS ref_id,
                'Invoice for order ' || CAST(event_id AS VARCHAR) || ' - AR debit' AS description, ts AS created_at
         FROM events WHERE event_type = 'purchase'
         UNION ALL
-        SELECT 'revenue', CAST(0 AS DECIMAL(14,2)), CAST(value AS DECIMAL(14,2)), 'invoice', event_id,
+        SELECT 'revenue', CAST(0 AS DECIMAL(14,2)), CAST(value AS DECIMAL(14,2)), 'invoice', CAST(event_id AS VARCHAR),
                'Invoice for order ' || CAST(event_id AS VARCHAR) || ' - Revenue credit', ts
         FROM events WHERE event_type = 'purchase'""",
 }

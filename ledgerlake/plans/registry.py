@@ -70,12 +70,11 @@ def _sales_upsert(w: Warehouse) -> DataFrame:
 
 
 def _seed_hours(w: Warehouse) -> DataFrame:
-    """Seed rows inserted if absent into the hourly rollup (three hours
-    before as_of, as in the schema's sample data)."""
+    """Rows inserted if absent into the hourly rollup: one hour that it has, two that it lacks."""
     from pyspark.sql import functions as F
     base = sales.sales_by_hour(w.order_events)
     seed = w.spark.createDataFrame(
-        [(1, 5, "450.00", 90.0, 5), (2, 8, "720.00", 90.0, 7), (3, 3, "280.00", 93.33, 3)],
+        [(2, 11, "1210.00", 110.0, 10), (-20000, 4, "50.00", 12.5, 4), (-20001, 6, "99.00", 16.5, 1)],
         "h int, total_orders long, total_revenue string, avg_order_value double, unique_customers long")
     seed = seed.select(
         F.timestamp_add("HOUR", -F.col("h"), F.lit(EVENT_AS_OF).cast("timestamp_ntz")).alias("hour"),
@@ -147,7 +146,7 @@ QUERIES: dict[str, Query] = {
     "order_totals": _q(lambda w: orders.order_totals(w.order_items)),
     "order_details": _q(lambda w: orders.order_details(w.orders, w.customers, w.order_items, w.products)),
     "order_by_id": _q(lambda w: orders.order_by_id(w.orders, w.order_items, LOOKUP_ORDER_ID)),
-    "orders_with_items": _q(lambda w: orders.orders_with_items(w.orders, w.order_items, ORDER_AS_OF, 30)),
+    "orders_with_items": _q(lambda w: orders.orders_with_items(w.orders, w.order_items)),
     "price_order_items": _q(lambda w: orders.price_order_items(w.order_items, w.products)),
     "order_current_status": _q(lambda w: orders.order_current_status(w.order_status_history)),
     "illegal_transitions": _q(lambda w: orders.illegal_transitions(w.order_status_history)),
@@ -155,7 +154,7 @@ QUERIES: dict[str, Query] = {
     # --- KPIs and tables ------------------------------------------------------
     "kpi_sales_24h": _q(lambda w: kpi.kpi_sales_24h(sales.sales_hourly(w.order_events, EVENT_AS_OF, 24))),
     "kpi_daily_revenue": _q(lambda w: kpi.kpi_daily_revenue(
-        sales.daily_orders(w.order_events, EVENT_AS_OF, 30, DEFAULT_LIMIT))),
+        sales.daily_orders(w.order_events, EVENT_AS_OF, 30, None))),
     "table_counts": _q(lambda w: kpi.table_counts(_model_tables(w))),
     "quality_violations": _q(lambda w: quality.quality_violations(_model_tables(w))),
     "orphans": _q(lambda w: quality.orphans(w.customers, w.products, w.inventory_items, w.orders,

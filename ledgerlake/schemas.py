@@ -47,7 +47,8 @@ ORDER_ITEM_PAYLOAD = T.StructType([
     T.StructField("created_at", T.StringType()),
 ])
 # An order_created message carries at most this many items; larger orders
-# are sent as several parts (event ids "<order>-<part>").
+# are sent as several parts (event ids "<order>-<part>", fields ``part`` and
+# ``parts``): an order is counted by its first part and reserved when all are there.
 ITEMS_PER_MESSAGE = 100
 
 # Union of all payload fields; absent fields decode to NULL and are then
@@ -55,17 +56,19 @@ ITEMS_PER_MESSAGE = 100
 EVENT_PAYLOAD = T.StructType([
     T.StructField("event_id", T.StringType()),
     T.StructField("event_type", T.StringType()),
-    T.StructField("order_id", T.LongType()),
-    T.StructField("customer_id", T.LongType()),
+    T.StructField("order_id", T.StringType()),
+    T.StructField("customer_id", T.StringType()),
     T.StructField("status", T.StringType()),
     T.StructField("total_amount", MONEY),
+    T.StructField("part", T.IntegerType()),
+    T.StructField("parts", T.IntegerType()),
     T.StructField("items", T.ArrayType(ORDER_ITEM_PAYLOAD)),
     T.StructField("sku", T.StringType()),
     T.StructField("qty", T.IntegerType()),
     T.StructField("qty_reserved", T.IntegerType()),
     T.StructField("error", T.StringType()),
     T.StructField("reason", T.StringType()),
-    T.StructField("invoice_id", T.LongType()),
+    T.StructField("invoice_id", T.StringType()),
     T.StructField("amount", MONEY),
     T.StructField("due_date", T.StringType()),
     T.StructField("timestamp", T.StringType()),

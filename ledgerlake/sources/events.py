@@ -107,7 +107,8 @@ def decode_events(raw: DataFrame, compat_key: bool = False) -> DataFrame:
     et = F.regexp_replace(F.col("subject"), "^" + SUBJECT_PREFIX.replace(".", r"\."), "")
     pp = F.col("p")
     zero_money = F.lit(0).cast("decimal(14,2)")
-    ts = F.coalesce(pp["timestamp"], pp["created_at"]).try_cast("timestamp_ntz")
+    # As an instant first: an offset in the text is converted to UTC, not dropped.
+    ts = F.coalesce(pp["timestamp"], pp["created_at"]).try_cast("timestamp").cast("timestamp_ntz")
     out = parsed.select(
         "subject", "data",
         et.alias("event_type"),
@@ -120,6 +121,8 @@ def decode_events(raw: DataFrame, compat_key: bool = False) -> DataFrame:
          .when(et == "invoice_created", F.coalesce(pp["status"], F.lit("issued")))
          .otherwise(pp["status"]).alias("status"),
         F.coalesce(pp["total_amount"], zero_money).alias("total_amount"),
+        F.coalesce(pp["part"], F.lit(0)).alias("part"),
+        F.coalesce(pp["parts"], F.lit(1)).alias("parts"),
         pp["items"].alias("items"),
         pp["sku"].alias("sku"),
         F.coalesce(pp["qty_reserved"], pp["qty"], F.lit(0)).alias("qty_reserved"),
@@ -151,7 +154,11 @@ def route_counts(decoded: DataFrame) -> DataFrame:
 def explode_items(decoded: DataFrame) -> DataFrame:
     """One row per item of ``order_created`` payloads.  The item position is
     the payload's ``position`` when present, else its index in the message."""
-    return (decoded.filter(F.col("is_valid") & (F.col("event_type") == "order_created"))
+    return items_of(decoded.filter(F.col("is_valid") & (F.col("event_type") == "order_created")))
+
+
+def items_of(created: DataFrame) -> DataFrame:
+    return (created
             .select("order_id", "event_timestamp", F.posexplode("items").alias("idx", "item"))
             .select("order_id", "event_timestamp",
                     F.coalesce(F.col("item.position"), F.col("idx") + 1).alias("position"),
@@ -180,6 +187,7 @@ def emit_orders_with_items(orders: DataFrame, order_items: DataFrame,
         iso(F.col("created_at")).alias("created_at"))
     parts = (numbered.withColumn("part", F.floor(F.col("one_before") / per_message).cast("long"))
              .groupBy("order_id", "part").agg(F.array_sort(F.collect_list(item)).alias("items")))
+    parts = parts.join(parts.groupBy("order_id").agg(F.count(F.lit(1)).alias("parts")), "order_id")
     header = orders.select(F.col("id").alias("order_id"), "customer_id", "status", "total_amount",
                            "created_at")
     msgs = left_join_hot_right(header, parts, ["order_id"])
@@ -190,6 +198,8 @@ def emit_orders_with_items(orders: DataFrame, order_items: DataFrame,
         "customer_id": F.col("customer_id"),
         "status": F.col("status"),
         "total_amount": F.col("total_amount"),
+        "part": F.coalesce(F.col("part"), F.lit(0)).cast("int"),
+        "parts": F.coalesce(F.col("parts"), F.lit(1)).cast("int"),
         "items": F.coalesce(F.col("items"), F.array().cast(_ITEMS_TYPE)),
         "timestamp": iso(F.col("created_at")),
     })
@@ -198,7 +208,8 @@ def emit_orders_with_items(orders: DataFrame, order_items: DataFrame,
 # --- log shapes (what is appended to each event log) -----------------------
 
 def order_log_rows(decoded: DataFrame) -> DataFrame:
-    return (decoded.filter(F.col("is_valid") & F.col("event_type").isin("order_created", "order_updated"))
+    """Order events; an order sent in several parts counts once, by its first."""
+    return (decoded.filter(F.col("is_valid") & F.col("event_type").isin("order_created", "order_updated") & (F.col("part") == 0))
             .select("event_key", "order_id", "event_type", "customer_id", "total_amount", "status",
                     "event_timestamp", F.to_date("event_timestamp").alias("event_date")))
 

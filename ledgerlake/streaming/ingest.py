@@ -12,11 +12,10 @@ same DataFrame comes from ``readStream.format("kafka")``).  Per micro-batch
 3. quarantine undecodable messages instead of redelivering them forever;
 4. recompute ``sales_by_hour`` for the dates touched by the batch from the
    whole log (exact distinct customers, no lateness bound) and overwrite just
-   those ``sales_date`` partitions; only the touched date folders of the log
-   are read (their names are fetched, capped; beyond the cap a semi-join);
+   those ``sales_date`` partitions; the range of touched dates prunes the log;
 5. optionally generate invoices + ledger postings for newly created orders
    (anti-join against invoices already written);
-6. optionally reserve stock for newly created orders (all-or-nothing, in
+6. optionally reserve stock for orders whose parts are all there (all-or-nothing, in
    arrival order, against base stock plus earlier batches' reservations) and
    publish ``stock_reserved`` / ``reservation_failed`` messages to an outbox.
 
@@ -33,6 +32,7 @@ import logging
 import time
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -54,9 +54,10 @@ def read_event_stream(spark: SparkSession, path: str, max_files_per_trigger: int
     return r.json(path)
 
 
-def write_messages(messages: DataFrame, path: str, n_files: int = 8) -> None:
-    """Write messages as JSON-lines files (a file drop for the file source)."""
-    messages.repartition(n_files).write.mode("append").json(path)
+def write_messages(messages: DataFrame, path: str, n_files: int | None = None) -> None:
+    """Write messages as JSON-lines files (a file drop for the file source), one for
+    each partition that the messages have, or ``n_files``."""
+    (messages.repartition(n_files) if n_files else messages).write.mode("append").json(path)
 
 
 def dedup_stream(decoded: DataFrame, watermark: str | None = None) -> DataFrame:
@@ -71,20 +72,12 @@ def dedup_stream(decoded: DataFrame, watermark: str | None = None) -> DataFrame:
             .drop("_evt_ts"))
 
 
-# Touched dates are calendar metadata (days spanned by one micro-batch), not
-# data; up to this many are fetched to read exactly those log partitions.
-MAX_TOUCHED_DATES = 5000
-
-
 def touched_log(spark: SparkSession, log_path: str, touched: DataFrame) -> DataFrame:
-    """The order log restricted to the touched dates.  Reads only those
-    partition folders (no listing or scan of the whole log); beyond
-    ``MAX_TOUCHED_DATES`` it falls back to a semi-join on the partition column."""
-    dates = [r["event_date"] for r in touched.limit(MAX_TOUCHED_DATES + 1).collect()]
-    if len(dates) <= MAX_TOUCHED_DATES:
-        folders = [f"{log_path}/event_date={d.isoformat()}" for d in dates]
-        return spark.read.option("basePath", log_path).parquet(*folders)
-    return spark.read.parquet(log_path).join(touched, "event_date", "left_semi")
+    """The order log restricted to the touched dates: the range of dates (one
+    row) prunes folders at planning, the semi-join drops the dates between."""
+    first, last = touched.agg(F.min("event_date"), F.max("event_date")).first()
+    log_rows = spark.read.parquet(log_path).filter(F.col("event_date").between(F.lit(first), F.lit(last)))
+    return log_rows.join(touched, "event_date", "left_semi")
 
 
 def refresh_sales(spark: SparkSession, order_log_path: str, sales_path: str, touched: DataFrame) -> None:
@@ -99,9 +92,12 @@ def invoices_for_new_orders(created: DataFrame, existing: DataFrame | None,
                             terms_days: int = PAYMENT_TERMS_DAYS) -> DataFrame:
     """One invoice per distinct newly created order: amount = order total,
     issued at the event time, due ``terms_days`` later."""
-    new = created.select("order_id", "total_amount", "event_timestamp").dropDuplicates(["order_id"])
+    new = created.select("order_id", "total_amount", "event_timestamp")
     if existing is not None:
         new = new.join(existing.select("order_id"), "order_id", "left_anti")
+    # An order published twice is invoiced by its earliest message.
+    new = (new.groupBy("order_id").agg(F.min(F.struct("event_timestamp", "total_amount")).alias("m"))
+           .select("order_id", "m.total_amount", "m.event_timestamp"))
     return new.select(
         F.col("order_id").alias("id"), "order_id", F.col("total_amount").alias("amount"),
         F.lit("issued").alias("status"), F.col("event_timestamp").alias("issued_at"),
@@ -109,10 +105,13 @@ def invoices_for_new_orders(created: DataFrame, existing: DataFrame | None,
 
 
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table, or None if nothing has been written yet; other errors are raised."""
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 @dataclass
@@ -133,7 +132,7 @@ class IngestJob:
     def paths(self) -> dict[str, str]:
         return {n: f"{self.store}/{n}" for n in
                 ("order_events", "stock_events", "invoice_events", "quarantine", "sales_by_hour",
-                 "invoices", "ledger_entries", "reservations", "reserved_qty", "outbox")}
+                 "invoices", "ledger_entries", "reservations", "reserved_qty", "outbox", "pending")}
 
     def _append(self, df: DataFrame, name: str, batch_id: int, parts=("event_date", "batch_id")) -> None:
         overwrite_partitions(df.withColumn("batch_id", F.lit(batch_id)), self.paths[name], *parts)
@@ -152,6 +151,8 @@ class IngestJob:
                 self._append(ev.invoice_log_rows(batch), "invoice_events", batch_id)
                 self._append(ev.quarantine_rows(batch), "quarantine", batch_id, parts=("batch_id",))
                 log.debug("batch %d: logs %.2fs", batch_id, time.perf_counter() - t0)
+            if self.inventory is not None:
+                self._reserve(spark, batch, batch_id)
             # A scalar existence check, not a collect of the dates.
             if created.limit(1).count() == 0:
                 return
@@ -161,8 +162,6 @@ class IngestJob:
                 log.debug("batch %d: sales refresh %.2fs", batch_id, time.perf_counter() - t0)
             if self.billing:
                 self._bill(spark, created, batch_id)
-            if self.inventory is not None:
-                self._reserve(spark, batch, batch_id)
             log.debug("batch %d: done %.2fs", batch_id, time.perf_counter() - t0)
         finally:
             batch.unpersist()
@@ -180,21 +179,34 @@ class IngestJob:
          .write.mode("overwrite").partitionBy("batch_id").parquet(self.paths["ledger_entries"]))
 
     def _reserve(self, spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
-        """All-or-nothing reservation of the batch's new orders, in arrival
-        order, against base stock plus what earlier batches reserved.  Only
-        the SKUs of this batch are read (semi-joins), and an order decided in
-        an earlier batch is not reserved again."""
+        """All-or-nothing reservation of the orders whose parts are all there, in arrival
+        order, against base stock plus what earlier batches reserved.  Parts of
+        orders that are not complete yet wait in the ``pending`` table (each batch writes
+        what still waits).  Only the SKUs of these orders are read (semi-joins), and an
+        order decided in an earlier batch is not reserved again."""
         from ..operators.reservation import ADMITTED, sequential_admission
-        items = ev.explode_items(batch)
+        messages = (batch.filter(F.col("is_valid") & (F.col("event_type") == "order_created"))
+                    .select("order_id", "event_timestamp", "part", "parts", "items"))
+        waiting = _read_or_none(spark, self.paths["pending"])
+        if waiting is not None:
+            last = waiting.filter(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
+            messages = messages.unionByName(waiting.filter(F.col("batch_id") == last).select(*messages.columns))
         decided = _read_or_none(spark, self.paths["reservations"])
         if decided is not None:
-            items = items.join(decided.filter(F.col("batch_id") != batch_id).select("order_id"),
-                               "order_id", "left_anti")
-        orders = ev.order_log_rows(batch).filter(F.col("event_type") == "order_created") \
-            .select("order_id", F.col("event_timestamp").alias("arrival")).dropDuplicates(["order_id"])
-        if decided is not None:
-            orders = orders.join(decided.filter(F.col("batch_id") != batch_id).select("order_id"),
-                                 "order_id", "left_anti")
+            messages = messages.join(decided.filter(F.col("batch_id") != batch_id).select("order_id"),
+                                     "order_id", "left_anti")
+        messages = messages.dropDuplicates(["order_id", "part"])
+        seen = messages.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"), F.max("parts").alias("of"),
+                                                F.min("event_timestamp").alias("arrival"))
+        # A marker row (no order) makes the batch's folder exist when nothing waits.
+        held = messages.join(seen.filter("n < of").select("order_id"), "order_id", "left_semi")
+        marker = spark.createDataFrame([(None,)], "order_id string").select(
+            *[F.lit(None).cast(messages.schema[c].dataType).alias(c) for c in messages.columns])
+        overwrite_partitions(held.unionByName(marker).withColumn("batch_id", F.lit(batch_id)), self.paths["pending"], "batch_id")
+        orders = seen.filter("n >= of").select("order_id", "arrival")
+        if orders.limit(1).count() == 0:
+            return
+        items = ev.items_of(messages.join(orders.select("order_id"), "order_id", "left_semi"))
         skus = items.select(F.col("sku").alias("key")).distinct()
         base = self.inventory.select(
             F.col("sku").alias("key"),
@@ -220,33 +232,29 @@ class IngestJob:
                      .unionByName(empty).withColumn("batch_id", F.lit(batch_id)))
         overwrite_partitions(decisions, self.paths["reservations"], "batch_id")
         dec_t = spark.read.parquet(self.paths["reservations"]).filter(F.col("batch_id") == batch_id)
-        per_line = items.join(dec_t.select("order_id", "reserved", "arrival"), "order_id")
+        per_line = items.join(dec_t.select("order_id", "reserved", "reason", "arrival"), "order_id")
         admitted = per_line.filter("reserved").groupBy("sku").agg(F.sum("qty").cast("long").alias("qty"))
         overwrite_partitions(admitted.withColumn("batch_id", F.lit(batch_id)), self.paths["reserved_qty"], "batch_id")
         # Publish the outcome as messages (one per line): the outbox is the
         # broker-facing sink; the analytics consumer ingests it like any event.
         outcome = F.when(F.col("reserved"), "stock_reserved").otherwise("reservation_failed")
         msgs = ev.emit(per_line, outcome, {
-            "event_id": F.concat_ws(":", outcome, F.col("order_id").cast("string"), F.col("sku")),
+            "event_id": F.concat_ws(":", outcome, F.col("order_id"), F.col("position").cast("string"), F.col("sku")),
             "order_id": F.col("order_id"),
             "sku": F.col("sku"),
             "qty_reserved": F.when(F.col("reserved"), F.col("qty")).otherwise(0),
-            "reason": F.when(~F.col("reserved"), F.lit("insufficient_stock")),
+            "reason": F.col("reason"),
             "timestamp": ev.iso(F.col("arrival")),
         })
         overwrite_partitions(msgs.withColumn("batch_id", F.lit(batch_id)), self.paths["outbox"], "batch_id")
 
     def rebuild_sales(self) -> None:
         """Rebuild the hourly rollup from the whole order log (every date is
-        "touched"); the same batch function as the incremental refresh."""
-        log = self.spark.read.parquet(self.paths["order_events"])
-        out = sales_by_hour(log).withColumn("sales_date", F.to_date("hour"))
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
-        try:
-            out.hint("rebalance", "sales_date").write.mode("overwrite").partitionBy("sales_date") \
-               .parquet(self.paths["sales_by_hour"] + "_rebuilt")
-        finally:
-            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        "touched") into a table beside the live one; the same batch function as the
+        incremental refresh."""
+        out = sales_by_hour(self.spark.read.parquet(self.paths["order_events"])).withColumn("sales_date", F.to_date("hour"))
+        (out.repartition("sales_date").write.mode("overwrite").option("partitionOverwriteMode", "static")
+         .partitionBy("sales_date").parquet(self.paths["sales_by_hour"] + "_rebuilt"))
 
     def start(self, raw_stream: DataFrame, available_now: bool = True,
               processing_time: str | None = None) -> StreamingQuery:

@@ -93,7 +93,7 @@ def _reserve(spark, stock, orders):
                               "id long, created_at timestamp_ntz")
     items = spark.createDataFrame([(oid, n, s, q) for oid, _, ls in orders for n, (s, q) in enumerate(ls)],
                                   "order_id long, line_number int, sku string, qty int")
-    dec = rsv.reserve_orders(o, items, inv_df, skew_safe=True)
+    dec = rsv.reserve_orders(o, items, inv_df)
     after = {r.sku: (r.qty_on_hand, r.reserved_qty) for r in rsv.reserved_inventory(inv_df, items, dec).collect()}
     return {r.order_id: (r.reserved, r.reason) for r in dec.collect()}, after
 
@@ -236,7 +236,7 @@ def test_large_orders_are_split_into_bounded_messages(spark):
     assert msgs.count() == 4  # order 1 in parts of 2+2+1, order 2 one empty part
     got = sorted((r.order_id, r.position, r.sku) for r in ev.explode_items(ev.decode_events(msgs)).collect())
     # item order is by created_at: S5 is earliest
-    assert got == [(1, 1, "S5"), (1, 2, "S4"), (1, 3, "S3"), (1, 4, "S2"), (1, 5, "S1")]
+    assert got == [("1", 1, "S5"), ("1", 2, "S4"), ("1", 3, "S3"), ("1", 4, "S2"), ("1", 5, "S1")]
 
 
 def test_uuid_format_rule(spark):
@@ -250,3 +250,36 @@ def test_query_envelope(spark):
     env = query_envelope(spark, SF_SMALL, "top_customers", limit=5)
     assert env["columns"] == ["customer_id", "customer_name", "total_outstanding"]
     assert env["row_count"] == len(env["rows"]) == 5
+
+
+def test_string_ids_and_offsets(spark):
+    """Ids are opaque strings; a time with an offset is converted to UTC."""
+    rows = [
+        ("orders.order_created", '{"event_id": "ev-1", "order_id": "ord-a7", "customer_id": "cus-x", "total_amount": 99.5,'
+                                 ' "status": "placed", "timestamp": "2025-10-04T23:30:00-05:00"}'),
+        ("orders.stock_reserved", '{"event_id": "ev-2", "order_id": "ord-a7", "sku": "W-1", "qty_reserved": 4, "timestamp": "2025-10-04T08:00:00Z"}'),
+        ("orders.invoice_created", '{"event_id": "ev-3", "invoice_id": "inv-k", "order_id": "ord-a7", "amount": 99.5, "status": "issued",'
+                                   ' "due_date": "2025-11-03", "timestamp": "2025-10-04T08:00:00.250000"}')]
+    d = ev.decode_events(spark.createDataFrame(rows, "subject string, data string"))
+    assert ev.quarantine_rows(d).count() == 0
+    o = ev.order_log_rows(d).first()
+    assert (o.order_id, o.customer_id, o.total_amount) == ("ord-a7", "cus-x", D("99.50"))
+    assert o.event_timestamp == dt.datetime(2025, 10, 5, 4, 30) and o.event_date == dt.date(2025, 10, 5)
+    s = ev.stock_log_rows(d).first()
+    assert (s.order_id, s.sku, s.qty_reserved, s.event_timestamp) == ("ord-a7", "W-1", 4, dt.datetime(2025, 10, 4, 8))
+    i = ev.invoice_log_rows(d).first()
+    assert (i.invoice_id, i.order_id, i.amount, i.event_timestamp) == ("inv-k", "ord-a7", D("99.50"), dt.datetime(2025, 10, 4, 8, 0, 0, 250000))
+
+
+def test_current_status_stays_a_hash_aggregate(spark):
+    h = spark.createDataFrame([(1, "draft", T0, 1)], "order_id long, status string, ts timestamp_ntz, seq int")
+    plan = ordops.order_current_status(h)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_earliest_of_repeated_orders_is_invoiced(spark):
+    from ledgerlake.operators import ledger
+    o = spark.createDataFrame([(1, D("5.00"), T0 + dt.timedelta(1)), (1, D("9.00"), T0), (2, D("1.00"), T0)],
+                              "id long, total_amount decimal(14,2), created_at timestamp_ntz")
+    inv = spark.createDataFrame([(2,)], "order_id long")
+    assert [(r.id, r.amount) for r in ledger.generate_invoices(o, inv, "2024-02-01").collect()] == [(1, D("9.00"))]
