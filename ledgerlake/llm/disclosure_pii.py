@@ -16,8 +16,9 @@ replaced by its category and one at or above ``REMOVE`` is taken out.
 Scale: only documents with an entity emit (entity, term) rows, at most
 2 x WINDOW for each occurrence; they and the counts meet in aggregates that combine
 map-side.  Counts of all documents' terms are taken only of terms that reach
-the support: those are broadcast up to ``MOST_BROADCAST`` of them, beyond which
-the counts of all terms are aggregated first and joined.
+the support and are rare enough near entities to disclose one: those are broadcast up
+to ``MOST_BROADCAST`` of them, beyond which the counts of all terms are aggregated
+first and joined.
 
 Defined cases: a null text is the empty text and has no spans; repeated rows are
 counted as documents each, and get equal spans; very long texts are scanned
@@ -178,7 +179,12 @@ def disclosing_terms(rows: DataFrame, near: DataFrame, support: int = SUPPORT, l
     by_seen = near.groupBy("entity", "term", "seen").agg(F.count("*").alias("docs"))
     pairs = by_seen.groupBy("entity", "term").agg(F.sum("docs").alias("joint"), F.count("*").alias("contexts"))
     of_entity = pairs.where("term = ''").select("entity", F.col("joint").alias("df_entity"))
-    pairs = rewritten(pairs.where((F.col("term") != "") & (F.col("contexts") >= support)).join(of_entity, "entity"), "pairs")
+    pairs = pairs.where((F.col("term") != "") & (F.col("contexts") >= support)).join(of_entity, "entity")
+    # A term can reach ``least`` only if df(t) <= df(t, e) (N / df(e))^(1 - least).  The documents where it
+    # stands near any entity are a part of df(t): common words drop out before the corpus is counted.
+    seen = near.where("term != ''").groupBy("term").agg(F.countDistinct("digest").alias("seen_in"))
+    most = F.col("joint") * F.pow(F.lit(float(n)) / F.col("df_entity"), 1 - least) * (1 + 1e-9)
+    pairs = rewritten(pairs.join(seen, "term").where(F.col("seen_in") <= most), "pairs")
     terms = rewritten(pairs.select("term").distinct(), "terms")
     few = terms.count()
     if not few:
