@@ -12,7 +12,7 @@ from .conv_toxicity import toxicity
 from .disclosure_pii import found_and_sanitised
 from .gumbel_segments import segmentations
 from .heavy_dedup import exact_duplicates
-from .line_cleaning import quality_report
+from .line_cleaning import BOILERPLATE, quality_report
 from .minimax_shards import minimax_shards
 from .prefix_tree_join import jaccard_components
 from .recurrent_html import main_texts
@@ -71,11 +71,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_gumbel_segmentations, op2_prefix_tree_jaccard, op3_minimax_shards, op4_heavy_hitter_dedup, op5_wavelet_ids, op6_line_first_cleaning,
         op7_conv_toxicity, op8_disclosure_sanitisation, op9_sum_of_squares_packing, op10_recurrent_main_text)}
 
+#: Words of a text: runs without blank and U+0009 to U+000D.
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_PHRASES = "|".join(BOILERPLATE)
+
+
+def _bad(pattern: str, share: int) -> str:
+    """A line has a pattern three times, and once in ``share`` words."""
+    n = f"len(regexp_extract_all(line, '{pattern}'))"
+    return f"({n} >= 3 AND {n} * {share} >= len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')))"
+
+
 ORACLES: dict[str, str] = {
+    # Repeated keys count as documents of their own: r numbers rows.
+    "op2_prefix_tree_jaccard": rf"""
+        WITH RECURSIVE d AS (
+          SELECT row_number() OVER () AS r, doc_id, list_transform({_WORDS}, lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w
+          FROM documents),
+        s AS (
+          SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS u(i) WHERE len(w) > 0),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        links AS (
+          SELECT x, y FROM (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r)
+          JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+        reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+        least AS (SELECT x, min(doc_id) AS component_id FROM reach JOIN d ON d.r = y GROUP BY x)
+        SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN least ON least.x = d.r""",
     "op4_heavy_hitter_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op6_line_first_cleaning": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+        windows AS (
+          SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n
+          FROM d, unnest(range(1, greatest(len(w) - 2, 0) + 1)) AS u(i)),
+        repeats AS (SELECT r, count(DISTINCT i + k) AS n FROM windows, unnest([0, 1, 2]) AS v(k) WHERE n > 1 GROUP BY r),
+        lines AS (SELECT r, line, len(line) AS n FROM d, unnest(string_split(text, chr(10))) AS u(line)),
+        worded AS (SELECT r, count(*) - count(DISTINCT line) AS dup FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+        failing AS (
+          SELECT r, sum(n) AS chars, count(*) AS n FROM lines
+          WHERE regexp_matches(lower(line), '{_PHRASES}') OR {_bad("[|•·»«›‹→←]", 5)} OR {_bad("[#*$%&<>~^=_\\\\]{2,}", 3)} OR {_bad("[!?]{2,}", 3)} GROUP BY r),
+        f AS (
+          SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                 length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+                 coalesce(repeats.n, 0) AS n_repeat_words, length(text) AS chars,
+                 -- Removed lines take their line breaks along, but for one if nothing stays.
+                 least(length(text), coalesce(failing.chars + failing.n, 0)) AS lost
+          FROM d LEFT JOIN repeats USING (r) LEFT JOIN worded USING (r) LEFT JOIN failing USING (r))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 50 * chars AS kept
+        FROM f""",
 }
 
 
