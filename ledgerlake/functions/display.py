@@ -19,8 +19,8 @@ def format_currency(x: Column) -> Column:
 
 
 def format_number(x: Column) -> Column:
-    """Grouped integer display: 1234567 -> '1,234,567'."""
-    return F.format_number(x.cast("double"), 0)
+    """Grouped display with up to three fraction digits: 1234567.5 -> '1,234,567.5'."""
+    return F.call_function("format_number", x, F.lit("#,##0.###"))
 
 
 def format_date(ts: Column) -> Column:
@@ -28,6 +28,11 @@ def format_date(ts: Column) -> Column:
     return F.date_format(ts, "MMM d, yyyy")
 
 
+def format_datetime(ts: Column) -> Column:
+    """en-US date and time: 'Jan 3, 2024, 4:05 PM'."""
+    return F.date_format(ts, "MMM d, yyyy, h:mm a")
+
+
 def truncate(s: Column, n: int) -> Column:
     return F.when(F.length(s) > n, F.concat(F.substring(s, 1, n), F.lit("..."))).otherwise(s)
 

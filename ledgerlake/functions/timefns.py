@@ -4,8 +4,6 @@
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,11 +44,3 @@ def ceil_to_hour(ts: Column) -> Column:
 def days_between(end: Column, start: Column) -> Column:
     """Whole days ``end - start`` (Spark ``datediff(end, start)``)."""
     return F.datediff(end, start)
-
-
-def parse_as_of(as_of) -> _dt.datetime:
-    if isinstance(as_of, _dt.datetime):
-        return as_of
-    if isinstance(as_of, _dt.date):
-        return _dt.datetime(as_of.year, as_of.month, as_of.day)
-    return _dt.datetime.fromisoformat(str(as_of))

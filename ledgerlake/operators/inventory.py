@@ -31,6 +31,11 @@ def inventory_status(products: DataFrame, inventory_items: DataFrame) -> DataFra
         "updated_at")
 
 
+def product_by_sku(products: DataFrame, inventory_items: DataFrame, sku: str) -> DataFrame:
+    """Point lookup of one product with its stock; the key is pushed into both scans."""
+    return inventory_status(products.filter(F.col("sku") == F.lit(sku)), inventory_items.filter(F.col("sku") == F.lit(sku)))
+
+
 def with_stock_flags(df: DataFrame) -> DataFrame:
     """``available_qty = on_hand - reserved``; ``needs_reorder`` inclusive."""
     return df.withColumns({
@@ -97,14 +102,24 @@ def stock_movement_summary(stock_events: DataFrame) -> DataFrame:
                  F.max("event_timestamp").alias("last_reservation")))
 
 
-def stock_movement(stock_events: DataFrame, limit: int = 100) -> DataFrame:
-    """Top SKUs by reserved quantity (top-k; SKU as tiebreak)."""
+def stock_movement(stock_events: DataFrame, limit: int | None = 100) -> DataFrame:
+    """Top SKUs by reserved quantity (top-k; SKU as tiebreak); all of them without a ``limit``."""
+    out = stock_movement_summary(stock_events)
+    if limit is None:
+        return out
     if not 1 <= limit <= 1000:
         raise ValueError("limit must be within 1..1000")
-    return (stock_movement_summary(stock_events)
+    return (out
             .orderBy(F.col("total_qty_reserved").desc_nulls_last(), F.col("sku")).limit(limit))
 
 
+def top_reserved_skus(stock_events: DataFrame, limit: int = 20) -> DataFrame:
+    """The panel's top SKUs: 1 to 500 of them."""
+    if not 1 <= limit <= 500:
+        raise ValueError("limit must be within 1..500")
+    return stock_movement(stock_events, limit)
+
+
 def repair_quantities(inventory_items: DataFrame) -> DataFrame:
     """Rewrite NULL on-hand / reserved quantities to 0."""
     return inventory_items.na.fill(0, subset=["qty_on_hand", "reserved_qty"])

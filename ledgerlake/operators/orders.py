@@ -71,6 +71,11 @@ def price_order_items(order_items: DataFrame, products: DataFrame) -> DataFrame:
         F.col("catalog_price").isNotNull().alias("known_sku"))
 
 
+def price_known_items(order_items: DataFrame, products: DataFrame) -> DataFrame:
+    """Price the lines whose SKU is in the catalogue; the others drop out."""
+    return price_order_items(order_items, products).filter("known_sku").drop("known_sku")
+
+
 def order_current_status(history: DataFrame) -> DataFrame:
     """Latest status per order (highest sequence), as a partial aggregate that
     combines map-side.  The status is carried as its number: aggregates over

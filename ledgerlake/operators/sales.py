@@ -46,8 +46,8 @@ def sales_since(order_events: DataFrame, cutoff) -> DataFrame:
 
 def sales_hourly(order_events: DataFrame, as_of, hours: int = 24) -> DataFrame:
     """Hourly sales for the last ``hours`` hours, newest first."""
-    if hours < 1:
-        raise ValueError("hours must be >= 1")
+    if not 1 <= hours <= 168:
+        raise ValueError("hours must be within 1..168")
     return sales_since(order_events, hours_before(as_of, hours)).orderBy(F.col("hour").desc())
 
 
@@ -72,6 +72,8 @@ def daily_order_volume(order_events: DataFrame) -> DataFrame:
 def daily_orders(order_events: DataFrame, as_of, days: int = 30, limit: int | None = 100) -> DataFrame:
     """Named query ``daily_orders``: the daily view over the last ``days`` days, newest
     first; all of them without a ``limit``."""
+    if not 1 <= days <= 365:
+        raise ValueError("days must be within 1..365")
     cutoff = days_before(as_of, days)
     pre = order_events.filter(F.col("event_timestamp") >= cutoff)
     out = daily_order_volume(pre).filter(F.col("order_date") >= cutoff)

@@ -20,6 +20,8 @@ EVENT_AS_OF = "2024-01-31"
 ORDER_AS_OF = "2001-08-02"
 DEFAULT_LIMIT = 100
 LOOKUP_ORDER_ID = 7
+LOOKUP_INVOICE_ID = 7
+LOOKUP_SKU = "7"
 SEARCH_TERM = "blue"
 AUDIT_EVENT_TYPE = "error"
 
@@ -42,6 +44,10 @@ def _aging(w: Warehouse) -> DataFrame:
     return ar.ar_aging(w.invoices, w.orders, w.customers, ORDER_AS_OF)
 
 
+def _balances(w: Warehouse) -> DataFrame:
+    return ar.ar_balances(w.invoices, w.orders, ORDER_AS_OF)
+
+
 def _snapshot(w: Warehouse) -> DataFrame:
     return inv.stock_snapshot(w.products, w.inventory_items)
 
@@ -119,7 +125,8 @@ QUERIES: dict[str, Query] = {
     "stock_bands": _q(lambda w: inv.stock_bands(_listed(w))),
     "stock_movement_summary": _q(lambda w: inv.stock_movement_summary(w.stock_events)),
     "stock_movement": _q(lambda w: inv.stock_movement(w.stock_events, DEFAULT_LIMIT)),
-    "top_reserved_skus": _q(lambda w: inv.stock_movement(w.stock_events, 20)),
+    "top_reserved_skus": _q(lambda w: inv.top_reserved_skus(w.stock_events, 20)),
+    "product_by_sku": _q(lambda w: inv.product_by_sku(w.products, w.inventory_items, LOOKUP_SKU)),
     "repair_quantities": _q(lambda w: inv.repair_quantities(w.inventory_items)),
     "stock_totals": _q(lambda w: inv.stock_totals(w.inventory_items)),
     "inventory_summary": _q(lambda w: inv.inventory_summary(_listed(w), 10)),
@@ -127,6 +134,7 @@ QUERIES: dict[str, Query] = {
     # --- billing / receivables -------------------------------------------
     "generate_invoices": _q(lambda w: ledger.generate_invoices(w.orders, w.invoices, ORDER_AS_OF)),
     "invoice_details": _q(lambda w: ar.invoice_details(w.invoices, w.orders, w.customers, ORDER_AS_OF)),
+    "invoice_by_id": _q(lambda w: ar.invoice_by_id(w.invoices, LOOKUP_INVOICE_ID)),
     "invoice_overdue_flag": _q(lambda w: ar.invoice_overdue_flag(w.invoices, ORDER_AS_OF)),
     "invoices_by_status": _q(lambda w: ar.invoices_by_status(w.invoices, ORDER_AS_OF, "overdue")),
     "invoice_facets": _q(lambda w: ar.invoice_facets(w.invoices, ORDER_AS_OF)),
@@ -134,10 +142,10 @@ QUERIES: dict[str, Query] = {
     "ar_aging": _q(_aging),
     "overdue_ar": _q(lambda w: ar.overdue_ar(_aging(w), ORDER_AS_OF, DEFAULT_LIMIT)),
     "top_customers": _q(lambda w: ar.top_customers(_aging(w), DEFAULT_LIMIT)),
-    "ar_bucket_distribution": _q(lambda w: ar.ar_bucket_distribution(_aging(w))),
-    "overdue_ar_totals": _q(lambda w: ar.overdue_ar_totals(ar.overdue_ar_all(_aging(w), ORDER_AS_OF))),
-    "severity_bands": _q(lambda w: ar.severity_bands(ar.overdue_ar_all(_aging(w), ORDER_AS_OF))),
-    "kpi_cashflow": _q(lambda w: kpi.kpi_cashflow(ar.overdue_ar_all(_aging(w), ORDER_AS_OF))),
+    "ar_bucket_distribution": _q(lambda w: ar.ar_bucket_distribution(_balances(w))),
+    "overdue_ar_totals": _q(lambda w: ar.overdue_ar_totals(ar.overdue_ar_all(_balances(w), ORDER_AS_OF))),
+    "severity_bands": _q(lambda w: ar.severity_bands(ar.overdue_ar_all(_balances(w), ORDER_AS_OF))),
+    "kpi_cashflow": _q(lambda w: kpi.kpi_cashflow(ar.overdue_ar_all(_balances(w), ORDER_AS_OF))),
     "ledger_entries": _q(lambda w: w.ledger_entries),
     "account_balances": _q(lambda w: ledger.account_balances(w.ledger_entries)),
     "ledger_balanced": _q(lambda w: ledger.ledger_unbalanced(w.ledger_entries)),
@@ -148,6 +156,7 @@ QUERIES: dict[str, Query] = {
     "order_by_id": _q(lambda w: orders.order_by_id(w.orders, w.order_items, LOOKUP_ORDER_ID)),
     "orders_with_items": _q(lambda w: orders.orders_with_items(w.orders, w.order_items)),
     "price_order_items": _q(lambda w: orders.price_order_items(w.order_items, w.products)),
+    "price_known_items": _q(lambda w: orders.price_known_items(w.order_items, w.products)),
     "order_current_status": _q(lambda w: orders.order_current_status(w.order_status_history)),
     "illegal_transitions": _q(lambda w: orders.illegal_transitions(w.order_status_history)),
     "order_status_breakdown": _q(lambda w: orders.order_status_breakdown(w.orders)),
@@ -163,6 +172,7 @@ QUERIES: dict[str, Query] = {
     "insert_if_absent": _q(_seed_hours),
     "audit_events": _q(lambda w: audit.audit_events(w.events_log, AUDIT_EVENT_TYPE)),
     "format_display": _q(lambda w: audit.format_display(w.orders, w.customers)),
+    "format_datetime_display": _q(lambda w: audit.format_datetime_display(w.orders)),
     # --- events: emit / decode / route / log / dedup ---------------------------
     "emit_events": _q(lambda w: ev.emit_order_events(w.order_events)),
     "decode_events": _q(lambda w: ev.order_log_rows(_decoded_raw(w)).drop("event_key", "event_date")),
