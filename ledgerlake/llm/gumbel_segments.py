@@ -48,7 +48,7 @@ SAMPLES = 3
 ALPHA = 1.0
 SEED = 17
 #: Bytes of text that a worker handles at once (a longer text is a batch of its own).
-BATCH_BYTES = 5_000_000
+BATCH_BYTES = 3_000_000
 BLANK = "▁"
 #: No perturbation of a chance in (0, 1) with 53 bits exceeds this.
 HIGHEST = 38.0
@@ -147,18 +147,27 @@ class Pieces:
             if not len(left):
                 return out
 
-    def decoded(self, ids: np.ndarray) -> bytes:
-        """The text of some ids in UTF-8, without the blank put in front."""
-        size = self.text_size[ids]
-        ends = np.cumsum(size)
-        if not len(ends):
-            return b""
-        place = np.arange(ends[-1]) + np.repeat(self.text_from[ids] - ends + size, size)
-        raw = self.text_flat[place].tobytes()
-        return raw[1:] if raw[:1] == b" " else raw
+    def decoded_all(self, parts: list[np.ndarray]) -> list[bytes]:
+        """The texts of several id arrays in UTF-8, without the blank put in front; some
+        hundred thousand ids at a time."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(parts):
+            to, n = at, 0
+            while to < len(parts) and (to == at or n + len(parts[to]) <= 300_000):
+                n += len(parts[to])
+                to += 1
+            ids = np.concatenate(parts[at:to])
+            size = self.text_size[ids]
+            ends = np.append(0, np.cumsum(size))
+            raw = self.text_flat[np.arange(ends[-1]) + np.repeat(self.text_from[ids] - ends[:-1], size)].tobytes()
+            cut = ends[np.cumsum([0, *map(len, parts[at:to])])].tolist()
+            out += [raw[a + (raw[a:a + 1] == b" "):b] if a < b else b"" for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            at = to
+        return out
 
     def decode(self, ids: list[int]) -> str:
-        return self.decoded(np.array(ids, np.int64)).decode(errors="replace")
+        return self.decoded_all([np.array(ids, np.int64)])[0].decode(errors="replace")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -183,17 +192,22 @@ class Lattices:
     their normalised log chances and backward sums."""
 
     def __init__(self, pieces: Pieces, words: list[str]):
-        code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-        size = np.array([len(w) for w in words], np.int64)
-        ends = np.cumsum(size)
-        self.first = ends - size
-        self.end = np.repeat(ends, size)  # of each position's word
-        letter = pieces.letter[code]
+        # Each word's positions, and one behind it where its chains end.
+        code = np.frombuffer(("\0".join(words) + "\0").encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = np.array([len(w) for w in words], np.int64) + 1
+        last = np.cumsum(size) - 1
+        self.first = last + 1 - size
+        self.is_end = np.zeros(len(code), bool)
+        self.is_end[last] = True
         at = np.arange(len(code))
+        away = np.repeat(last, size) - at
+        letter = pieces.letter[code]
+        letter[last] = 0
         found = []
-        node, here, depth = np.zeros(len(code), np.int64), at, 0
+        inner = np.flatnonzero(~self.is_end)
+        node, here, depth = np.zeros(len(inner), np.int64), inner, 0
         edges = np.zeros(len(code), np.int64)  # of each position
-        known = np.zeros(len(code), bool)
+        known = self.is_end.copy()
         while len(here):
             node = pieces.step(node, letter[here + depth])
             go = node > 0
@@ -205,55 +219,62 @@ class Lattices:
                 known[here[hit]] = True
             found.append((here[hit], piece[hit]))
             edges[here[hit]] += 1
-            go = here + depth < self.end[here]
+            go = away[here] > depth
             here, node = here[go], node[go]
         # Characters without a piece are spelled in bytes.
         odd = at[~known]
         edges[odd] += 1
         # Positions by their distance from the word's end, so that sums go backward level by level;
         # each position's edges are a run, longer pieces first.
-        away = self.end - at
-        order = np.argsort(away, kind="stable")
+        order = np.argsort(away, kind="stable")[len(words):]
         self.many = edges[order]
         ends = np.cumsum(self.many)
         self.begins = ends - self.many
-        self.run = np.empty(len(code), np.int64)
-        self.run[order] = at
+        self.single = np.repeat(self.many == 1, self.many)
+        self.run = np.zeros(len(code), np.int64)
+        self.run[order] = np.arange(len(order))
         total_edges = int(ends[-1])
-        self.start = np.repeat(order, self.many)
         self.stop, self.piece = np.empty(total_edges, np.int64), np.empty(total_edges, np.int64)
         fill = self.begins[self.run]
         for depth in range(len(found), 0, -1):
-            here, piece = found[depth - 1]
+            here, piece = found.pop()
             slot = fill[here]
             self.stop[slot], self.piece[slot] = here + depth, piece
             fill[here] += 1
         slot = fill[odd]
         # A character of one byte is that byte's piece; below 0: the character to spell.
         self.stop[slot], self.piece[slot] = odd + 1, np.where(code[odd] < 0x80, pieces.bytes_from + code[odd], -1 - code[odd])
-        weight = pieces.log_prob[np.maximum(self.piece, 0)]
+        value = pieces.log_prob[np.maximum(self.piece, 0)]
         if len(odd):
             spelled = 1 + (code[odd] > 0x7F) + (code[odd] > 0x7FF) + (code[odd] > 0xFFFF)
-            weight[slot] = spelled * pieces.log_prob[pieces.bytes_from]
-        total = np.zeros(len(code) + 1)  # backward sum of each position; 0 behind a word's end
-        inner = self.stop < self.end[self.start]
+            value[slot] = spelled * pieces.log_prob[pieces.bytes_from]
+        total = np.zeros(len(code))  # backward sum of each position; 0 behind a word
         level = np.append(np.flatnonzero(np.diff(away[order], prepend=0)), len(order))
-        value = weight
         for a, b in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
             x, y = int(self.begins[a]), int(ends[b - 1])
             v = value[x:y]
-            v += np.where(inner[x:y], total[self.stop[x:y]], 0.0)
-            seg = self.begins[a:b] - x
+            v += total[self.stop[x:y]]
+            seg, many = self.begins[a:b] - x, self.many[a:b]
             top = np.maximum.reduceat(v, seg)
-            total[order[a:b]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, self.many[a:b])), seg))
-        self.log = value - total[self.start]
-        chance = np.exp(self.log)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            # What a position has besides the edge; nothing if the edge is its only one, whatever rounding says.
-            self.other = np.where(self.many[self.run[self.start]] > 1, np.log(-np.expm1(np.minimum(self.log, 0))), -np.inf)
+            v -= np.repeat(top, many)
+            chance = np.exp(v)
+            z = np.add.reduceat(chance, seg)
+            total[order[a:b]] = top + np.log(z)
+            v -= np.repeat(np.log(z), many)
+        self.log = value
         # Running sums of the chances, from each run's begin.
+        chance = np.exp(value)
         sums = np.cumsum(chance)
-        self.sums = sums - np.repeat(sums[self.begins] - chance[self.begins], self.many)
+        sums -= np.repeat(sums[self.begins] - chance[self.begins], self.many)
+        self.sums = sums
+
+    def run_of(self, edge: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins, edge, "right") - 1
+
+    def other(self, edge: np.ndarray) -> np.ndarray:
+        """Log chance of what a position has besides an edge; nothing if it is its only one, whatever rounding says."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(self.single[edge], -np.inf, np.log(-np.expm1(np.minimum(self.log[edge], 0))))
 
     def choose(self, position: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each position by its chance: walks along each run."""
@@ -277,7 +298,7 @@ class Lattices:
             taken.append(edge)
             who.append(at)
             to = self.stop[edge]
-            go = to < self.end[here]
+            go = ~self.is_end[to]
             at, here = at[go], to[go]
             step += 1
         counts = np.zeros(n, np.int64)
@@ -309,7 +330,7 @@ class Draw:
             some = slice(at, at + STEPS)
             ahead = before + np.cumsum(log[some]) - log[some]
             u = _uniform(self.seed + np.uint64(2 * k + 2) * _M[2] + np.arange(at, at + len(ahead), dtype=np.uint64) * _M[3])
-            peak = truncated(ahead + lattices.other[edges[some]], top, u)
+            peak = truncated(ahead + lattices.other(edges[some]), top, u)
             best = (np.argpartition(peak, len(peak) - most)[-most:] if len(peak) > most else np.arange(len(peak))).tolist()
             mine += [(float(peak[t]), n, at + t, (int(edges[at + t]),)) for t in best if peak[t] > -np.inf]
             mine = sorted(mine, reverse=True)[:most]
@@ -361,7 +382,7 @@ def draws(pieces: Pieces, keys: list[int | None], texts: pa.Array, samples: int,
             best = max(range(len(s.open)), key=lambda b: s.open[b][0])
             peak, path, at, gone = s.open.pop(best)
             edges, words, _, _ = s.paths[path]
-            run = int(lat.run[lat.start[edges[at]]])
+            run = int(lat.run_of(edges[at]))
             begin = int(lat.begins[run])
             choice = np.array([e for e in range(begin, begin + int(lat.many[run])) if e not in gone])
             log = lat.log[choice]
@@ -376,7 +397,7 @@ def draws(pieces: Pieces, keys: list[int | None], texts: pa.Array, samples: int,
             w = int(head_words[at])
             stop = int(lat.stop[e])
             positions = lat.first[of[d][w + 1:]]
-            inside = stop < lat.end[lat.start[e]]
+            inside = not lat.is_end[stop]
             if inside:
                 positions = np.append(stop, positions)
             heads.append((d, np.append(edges[:at], e), head_words, peak, at))
@@ -384,13 +405,9 @@ def draws(pieces: Pieces, keys: list[int | None], texts: pa.Array, samples: int,
         for (d, head, head_words, peak, at), (edges, words) in zip(heads, walk(jobs, k), strict=True):
             both = lambda n, a=head_words, b=words: a[:n] if n <= len(a) else np.append(a, b(n - len(a)))
             state[d].add(lat, k, np.concatenate([head, edges]), both, peak, at + 1, samples)
-    out = []
-    for d, s in enumerate(state):
-        if not len(of[d]):
-            out.append(([(np.empty(0, np.int64), 0.0, 0.0)], -np.inf))
-        else:
-            out.append(([(ids_of(pieces, lat.piece[e]), q, top) for e, _, q, top in s.paths], max((b[0] for b in s.open), default=-np.inf)))
-    return out
+    paths = [[(np.empty(0, np.int64), None, 0.0, 0.0)] if not len(words) else s.paths for words, s in zip(of, state, strict=True)]
+    flat = iter(ids_of(pieces, [lat.piece[e] for own in paths for e, *_ in own]))
+    return [([(next(flat), q, top) for *_, q, top in own], max((b[0] for b in s.open), default=-np.inf)) for own, s in zip(paths, state, strict=True)]
 
 
 def numbered(texts: pa.Array) -> tuple[list[str], list[np.ndarray]]:
@@ -419,17 +436,20 @@ def numbered(texts: pa.Array) -> tuple[list[str], list[np.ndarray]]:
     return list(distinct), of
 
 
-def ids_of(pieces: Pieces, piece: np.ndarray) -> np.ndarray:
-    """Model ids; characters to spell become their bytes' pieces."""
-    odd = np.flatnonzero(piece < 0)
-    if not len(odd):
-        return piece
-    out, last = [], 0
-    for k in odd.tolist():
-        raw = chr(-1 - int(piece[k])).encode()
-        out += [piece[last:k], np.array([pieces.bytes_from + b for b in raw])]
-        last = k + 1
-    return np.concatenate([*out, piece[last:]])
+def ids_of(pieces: Pieces, parts: list[np.ndarray]) -> list[np.ndarray]:
+    """Model ids of several paths; characters to spell become their bytes' pieces."""
+    out = []
+    for piece in parts:
+        odd = np.flatnonzero(piece < 0)
+        if len(odd):
+            some, last = [], 0
+            for k in odd.tolist():
+                raw = chr(-1 - int(piece[k])).encode()
+                some += [piece[last:k], np.array([pieces.bytes_from + b for b in raw])]
+                last = k + 1
+            piece = np.concatenate([*some, piece[last:]])
+        out.append(piece)
+    return out
 
 
 def log_inclusion(log_prob: float, threshold: float) -> float:
@@ -459,9 +479,11 @@ def _segmenter(path: str, samples: int, alpha: float, seed: int, with_ids: bool)
             while at < b.num_rows:
                 to = max(at + 1, int(np.searchsorted(size, size[at] + BATCH_BYTES, "right")) - 1)
                 keys, rows = b.column(0).slice(at, to - at).to_pylist(), []
-                for key, (paths, threshold) in zip(keys, draws(pieces, keys, b.column(1).slice(at, to - at), samples, seed), strict=True):
+                drawn = draws(pieces, keys, b.column(1).slice(at, to - at), samples, seed)
+                texts = iter(pieces.decoded_all([ids for paths, _ in drawn for ids, _, _ in paths]))
+                for key, (paths, threshold) in zip(keys, drawn, strict=True):
                     for k, (ids, q, _) in enumerate(paths):
-                        row = [key, k, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(pieces.decoded(ids)), q, log_inclusion(q, threshold)]
+                        row = [key, k, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(next(texts)), q, log_inclusion(q, threshold)]
                         rows.append(row + [ids.tolist()] * with_ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                 at = to
