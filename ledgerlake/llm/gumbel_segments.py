@@ -424,8 +424,8 @@ def numbered(texts: pa.Array) -> tuple[list[str], list[np.ndarray]]:
         odd[np.searchsorted(offsets, sign, "right") - 1] = True
         key, which, back = np.unique(hashed_words.hashes(data, starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
-        found = [distinct.setdefault(raw[a:b].decode(), len(distinct)) for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
-        numbers = np.array(found, np.int64)[back]
+        numbers = back  # one chunk: all its words are new
+        distinct.update(zip([raw[a:b].decode() for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)], range(len(key)), strict=True))
         begin = np.append(0, np.cumsum(words))
         for k in range(n):
             if odd[k]:
