@@ -12,6 +12,7 @@ from ..operators import inventory as inv
 from ..operators import audit, kpi, ledger, orders, quality, receivables as ar, sales, upsert
 from ..session import ensure_session_conf
 from ..sources import events as ev
+from ..sources import tables
 from ..sources.tables import Warehouse
 
 # Fixed evaluation instants of the test data: events span January 2024, orders
@@ -63,6 +64,12 @@ def _model_tables(w: Warehouse) -> dict[str, DataFrame]:
             "ledger_entries": w.ledger_entries}
 
 
+def _faulty_tables(w: Warehouse) -> dict[str, DataFrame]:
+    return _model_tables(w) | {
+        "customers": tables.with_repeated_emails(w.customers), "inventory_items": tables.with_null_quantities(w.inventory_items),
+        "order_items": tables.with_unknown_keys(w.order_items), "ledger_entries": tables.with_missing_postings(w.ledger_entries)}
+
+
 def _sales_upsert(w: Warehouse) -> DataFrame:
     """Touched-hour refresh as an upsert: version 1 = rollup of the events
     before Jan 20; version 2 = rollup recomputed from Jan 15 on.  Hours of the
@@ -127,7 +134,7 @@ QUERIES: dict[str, Query] = {
     "stock_movement": _q(lambda w: inv.stock_movement(w.stock_events, DEFAULT_LIMIT)),
     "top_reserved_skus": _q(lambda w: inv.top_reserved_skus(w.stock_events, 20)),
     "product_by_sku": _q(lambda w: inv.product_by_sku(w.products, w.inventory_items, LOOKUP_SKU)),
-    "repair_quantities": _q(lambda w: inv.repair_quantities(w.inventory_items)),
+    "repair_quantities": _q(lambda w: inv.repair_quantities(tables.with_null_quantities(w.inventory_items))),
     "stock_totals": _q(lambda w: inv.stock_totals(w.inventory_items)),
     "inventory_summary": _q(lambda w: inv.inventory_summary(_listed(w), 10)),
     "kpi_inventory": _q(lambda w: kpi.kpi_inventory(_snapshot(w))),
@@ -148,15 +155,15 @@ QUERIES: dict[str, Query] = {
     "kpi_cashflow": _q(lambda w: kpi.kpi_cashflow(ar.overdue_ar_all(_balances(w), ORDER_AS_OF))),
     "ledger_entries": _q(lambda w: w.ledger_entries),
     "account_balances": _q(lambda w: ledger.account_balances(w.ledger_entries)),
-    "ledger_balanced": _q(lambda w: ledger.ledger_unbalanced(w.ledger_entries)),
+    "ledger_balanced": _q(lambda w: ledger.ledger_unbalanced(tables.with_missing_postings(w.ledger_entries))),
     "trial_balance": _q(lambda w: ledger.trial_balance(w.ledger_entries)),
     # --- orders ------------------------------------------------------------
     "order_totals": _q(lambda w: orders.order_totals(w.order_items)),
     "order_details": _q(lambda w: orders.order_details(w.orders, w.customers, w.order_items, w.products)),
     "order_by_id": _q(lambda w: orders.order_by_id(w.orders, w.order_items, LOOKUP_ORDER_ID)),
     "orders_with_items": _q(lambda w: orders.orders_with_items(w.orders, w.order_items)),
-    "price_order_items": _q(lambda w: orders.price_order_items(w.order_items, w.products)),
-    "price_known_items": _q(lambda w: orders.price_known_items(w.order_items, w.products)),
+    "price_order_items": _q(lambda w: orders.price_order_items(tables.with_unknown_keys(w.order_items), w.products)),
+    "price_known_items": _q(lambda w: orders.price_known_items(tables.with_unknown_keys(w.order_items), w.products)),
     "order_current_status": _q(lambda w: orders.order_current_status(w.order_status_history)),
     "illegal_transitions": _q(lambda w: orders.illegal_transitions(w.order_status_history)),
     "order_status_breakdown": _q(lambda w: orders.order_status_breakdown(w.orders)),
@@ -165,9 +172,9 @@ QUERIES: dict[str, Query] = {
     "kpi_daily_revenue": _q(lambda w: kpi.kpi_daily_revenue(
         sales.daily_orders(w.order_events, EVENT_AS_OF, 30, None))),
     "table_counts": _q(lambda w: kpi.table_counts(_model_tables(w))),
-    "quality_violations": _q(lambda w: quality.quality_violations(_model_tables(w))),
+    "quality_violations": _q(lambda w: quality.quality_violations(_faulty_tables(w))),
     "orphans": _q(lambda w: quality.orphans(w.customers, w.products, w.inventory_items, w.orders,
-                                            w.order_items, w.invoices)),
+                                            tables.with_unknown_keys(w.order_items), w.invoices)),
     "upsert_latest": _q(_sales_upsert),
     "insert_if_absent": _q(_seed_hours),
     "audit_events": _q(lambda w: audit.audit_events(w.events_log, AUDIT_EVENT_TYPE)),

@@ -183,6 +183,28 @@ def bind_events_log(events: DataFrame) -> DataFrame:
     )
 
 
+# Faulty variants (FIXTURES.md section 2): what checks, repairs and lookups of unknown keys have to find.
+
+def with_null_quantities(inventory_items: DataFrame) -> DataFrame:
+    k = F.col("sku").cast("long")
+    return (inventory_items.withColumn("qty_on_hand", F.when(k % 40 != 3, F.col("qty_on_hand")))
+            .withColumn("reserved_qty", F.when(k % 40 != 5, F.col("reserved_qty"))))
+
+
+def with_repeated_emails(customers: DataFrame) -> DataFrame:
+    return customers.withColumn("email", F.when(F.col("id") % 100 == 1, F.lit("customer1@example.com")).otherwise(F.col("email")))
+
+
+def with_unknown_keys(order_items: DataFrame) -> DataFrame:
+    """Lines of unknown SKUs and of unknown orders."""
+    return (order_items.withColumn("sku", F.when(F.col("sku").cast("long") % 50 == 8, F.concat(F.lit("X"), F.col("sku"))).otherwise(F.col("sku")))
+            .withColumn("order_id", F.when(F.col("order_id") % 100 == 1, -F.col("order_id")).otherwise(F.col("order_id"))))
+
+
+def with_missing_postings(ledger_entries: DataFrame) -> DataFrame:
+    return ledger_entries.filter((F.col("account") != "revenue") | (F.col("ref_id") % 1000 != 3))
+
+
 class Warehouse:
     """Lazily bound model tables over one test-data directory."""
 
