@@ -3,7 +3,8 @@
 Every line of a text is judged on its own before the document is:
 
 * navigation: separators (``|``, bullets, arrows) make up much of the line;
-* boilerplate: a fixed phrase of notices, licences or menus occurs in it;
+* boilerplate: a fixed phrase of notices, licences or menus occurs in a line of at most
+  ``NOTICE_WORDS`` words (prose may mention one);
 * punctuation: symbol clutter, or shouting with several exclamation marks at
   the rate of every third word.
 
@@ -32,6 +33,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT = 50
 MAX_LOSS = 50
+NOTICE_WORDS = 30
 #: Phrases of notices, licences and menus (fixed values).
 BOILERPLATE = (
     "all rights reserved", "licensed under", "is licensed under", "terms of use", "terms of service", "privacy policy",
@@ -57,7 +59,7 @@ def line_fails(line: Column) -> Column:
     phrases = "(?i)" + "|".join(BOILERPLATE)
     marked = line.rlike(r"[|•·»«›‹→←!?#*$%&<>~^=_\\]")  # most lines have none of these: two scans decide them
     bad = lambda pattern, share: (_found(line, pattern) >= 3) & (_found(line, pattern) * share >= n_words)
-    return line.rlike(phrases) | (marked & (bad(_NAVIGATION, 5) | bad(_CLUTTER, 3) | bad(_SHOUT, 3)))
+    return (line.rlike(phrases) & (n_words <= NOTICE_WORDS)) | (marked & (bad(_NAVIGATION, 5) | bad(_CLUTTER, 3) | bad(_SHOUT, 3)))
 
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from .conv_toxicity import toxicity
 from .disclosure_pii import found_and_sanitised
 from .gumbel_segments import segmentations
 from .heavy_dedup import exact_duplicates
-from .line_cleaning import BOILERPLATE, quality_report
+from .line_cleaning import BOILERPLATE, NOTICE_WORDS, quality_report
 from .minimax_shards import minimax_shards
 from .prefix_tree_join import jaccard_components
 from .recurrent_html import main_texts
@@ -111,7 +111,7 @@ ORACLES: dict[str, str] = {
         worded AS (SELECT r, count(*) - count(DISTINCT line) AS dup FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
         failing AS (
           SELECT r, sum(n) AS chars, count(*) AS n FROM lines
-          WHERE regexp_matches(lower(line), '{_PHRASES}') OR {_bad("[|•·»«›‹→←]", 5)} OR {_bad("[#*$%&<>~^=_\\\\]{2,}", 3)} OR {_bad("[!?]{2,}", 3)} GROUP BY r),
+          WHERE (regexp_matches(lower(line), '{_PHRASES}') AND len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) <= {NOTICE_WORDS}) OR {_bad("[|•·»«›‹→←]", 5)} OR {_bad("[#*$%&<>~^=_\\\\]{2,}", 3)} OR {_bad("[!?]{2,}", 3)} GROUP BY r),
         f AS (
           SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
                  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,

@@ -30,7 +30,7 @@ def base(text):
 
 def line_fails(line):
     n = len(WORD.findall(line))
-    if any(p in line.lower() for p in L.BOILERPLATE):
+    if n <= 30 and any(p in line.lower() for p in L.BOILERPLATE):
         return True
     return any(3 <= len(re.findall(p, line)) >= n / share for p, share in
                ((r"[|•·»«›‹→←]", 5), (r"[#*$%&<>~^=_\\]{2,}", 3), (r"[!?]{2,}", 3)))
@@ -49,7 +49,7 @@ def some_texts():
     out = []
     for _ in range(60):
         lines = [" ".join(rng.choices(words[:rng.randrange(5, len(words))], k=rng.randrange(0, 40))) + rng.choice([".", "", " "]) for _ in range(rng.randrange(1, 9))]
-        lines += rng.choices(["All rights reserved.", "Home | News | About | Contact", "GO!! NOW!! BUY!!", "\t", "see the terms of use"], k=rng.randrange(0, 4))
+        lines += rng.choices(["All rights reserved.", "Home | News | About | Contact", "GO!! NOW!! BUY!!", "\t", "see the terms of use", "a long line of prose " * 9 + "on the terms of use"], k=rng.randrange(0, 4))
         rng.shuffle(lines)
         out.append("\n".join(lines))
     return out
