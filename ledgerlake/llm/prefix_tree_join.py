@@ -14,18 +14,18 @@ n-gram sets.  The join is exact (up to 64-bit hashes of n-grams):
    (n-gram, class) of such prefixes are dealt by n-gram; n-grams of a single class
    drop out, and then classes with fewer shared ones than a link needs.  Frequent
    n-grams are known already and are spread, not gathered.
-3. First meeting.  Each class goes to one bucket, that of its most shared prefix
-   n-gram.  A bucket stores its sets in a trie; each set then walks the trie,
-   sharing the overlap so far with all sets below a node, and leaves a subtree
-   if the lengths left cannot reach the needed overlap, or if it is already
-   connected with all of it.  A large bucket is cut into blocks, whose
-   components send a representative each to another meeting.
-4. Remaining pairs.  Only prefix n-grams that still join different components need
-   a look.  N-grams with the same members are one bucket.  These buckets
-   are joined the same way (large ones block against block), first by the shared
-   prefix n-grams alone: only classes that share enough of them with one of another
-   component bring their sets.  A pair is compared in the bucket of its first common
-   n-gram, and what is found is merged by connected components.
+3. Candidates.  N-grams with the same members are one bucket.  A bucket stores its
+   classes' shared prefix n-grams in a trie; each class walks the trie, sharing the overlap
+   so far with all classes below a node, and leaves a subtree if the lengths left
+   cannot reach the needed overlap.  A class that may link with another stays, and
+   only such classes bring their whole sets.
+4. First meeting.  Each class goes to one bucket, that with most members.  The whole
+   sets are joined by a trie in the same way; a subtree is also left if it is already
+   connected with the set.  A large bucket is cut into blocks, whose components send
+   a representative each to another meeting.
+5. Remaining pairs.  Only buckets that still join different components need a look
+   (large ones block against block); a pair is compared in the bucket of its first
+   common n-gram, and what is found is merged by connected components.
 
 Nothing is capped: links are skipped only within what is already connected.
 
@@ -43,6 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import hashed_words
 from .common import key_and_text, one_of_repeats, rewritten
 from .components import components
 
@@ -54,10 +55,9 @@ REPORTED, COUNTED = 1 << 16, 1 << 19
 MORE = 3
 #: Sets and n-grams of a block at most (more make more blocks); 2 M n-grams are 16 MB.
 BLOCK_SETS, BLOCK_GRAMS = 2000, 2_000_000
-MEMO_WORDS, MEMO_CLASSES = 1_000_000, 500_000
+MEMO_CLASSES = 500_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 _TOP = np.uint64(1 << 63)
-_words: dict[bytes, int] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -66,25 +66,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's word n-grams; ASCII letters lower-cased,
-    words as bytes.split() parts them (blank, U+0009 to U+000D)."""
-    words = text.lower().split() if text else ()
-    if not words:
-        return np.empty(0, np.uint64)
-    got = list(map(_words.get, words))
-    if None in got:
-        if len(_words) > MEMO_WORDS:
-            _words.clear()
-        for k, h in enumerate(got):
-            if h is None:
-                got[k] = _words[words[k]] = xxhash.xxh64_intdigest(words[k])
-    w = np.array(got, np.uint64)
-    m = min(n, len(w))
-    h = np.full(len(w) - m + 1, m, np.uint64)
-    for k in range(m):
-        h = _mixed(h * _MIX[2] + w[k:len(w) - m + 1 + k])
-    return np.unique(h)
+def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's word n-grams (of all its words, if fewer); ASCII
+    letters lower-cased, words parted by blank and U+0009 to U+000D."""
+    out: list[np.ndarray] = []
+    for _, rows, data, offsets in hashed_words.chunks(column):
+        data = np.where((data >= 0x41) & (data <= 0x5A), data + np.uint8(32), data)
+        starts, ends, _ = hashed_words.cut(data, offsets, np.flatnonzero((data == 0x20) | (data >= 9) & (data <= 13)))
+        real = ends > starts
+        starts, ends = starts[real], ends[real]
+        word = hashed_words.hashes(data, starts, ends)
+        first = np.searchsorted(starts, offsets)  # of each row; and behind the last
+        count = np.diff(first)
+        h = np.full(max(0, len(word) - n + 1), n, np.uint64)
+        for k in range(n):
+            h = _mixed(h * _MIX[2] + word[k:len(word) - n + 1 + k])
+        for a, m in zip(first[:-1].tolist(), count.tolist(), strict=True):
+            if m >= n:
+                out.append(np.unique(h[a:a + m - n + 1]))
+            else:
+                g = np.full(min(m, 1), m, np.uint64)
+                for k in range(m):
+                    g = _mixed(g * _MIX[2] + word[a + k])
+                out.append(g)
+    return out
 
 
 def fingerprint(grams: np.ndarray) -> int:
@@ -117,6 +122,13 @@ def shared_least(n: int, percent: int) -> int:
     return max(1, prefix_taken(n, percent) - prefix_length(n, percent))
 
 
+def rest_most(n: np.ndarray, percent: int) -> np.ndarray:
+    """n-grams behind the prefix that is taken, of sets of sizes n."""
+    need = -(-percent * n // 100)
+    p = n - need + 1
+    return n - p - (np.minimum(p // MORE, need - 1) if percent >= 50 else 0)
+
+
 def ordered(grams: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The set as ascending keys of the global order; ``heavy`` is sorted."""
     keys = grams >> np.uint64(1)
@@ -136,7 +148,7 @@ def _summaries(n: int):
     def run(batches):
         counts: dict[int, int] = {}
         for b in batches:
-            sets = [shingles(t, n) for t in b.column(2).to_pylist()]
+            sets = shingle_sets(b.column(2), n)
             classes = [fingerprint(s) if len(s) else 0 for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64())], ["doc_id", "text_key", "size", "class"])
             once = {c: s for c, s in zip(classes, sets, strict=True) if len(s)}
@@ -165,8 +177,7 @@ def _prefixes(n: int, percent: int, heavy: np.ndarray, rank: np.ndarray):
             cols: list[list[np.ndarray]] = [[], [], []]
             if len(seen) > MEMO_CLASSES:
                 seen.clear()
-            for text in b.column(0).to_pylist():
-                s = shingles(text, n)
+            for s in shingle_sets(b.column(0), n):
                 if len(s) and (c := fingerprint(s)) not in seen:
                     seen.add(c)
                     p = ordered(s, heavy, rank)[:prefix_taken(len(s), percent)]
@@ -183,7 +194,7 @@ def _prefixes(n: int, percent: int, heavy: np.ndarray, rank: np.ndarray):
 def _sets(n: int, heavy: np.ndarray, rank: np.ndarray):
     def run(batches):
         for b in batches:
-            grams = [ordered(shingles(t, n), heavy, rank) for t in b.column(1).to_pylist()]
+            grams = [ordered(s, heavy, rank) for s in shingle_sets(b.column(1), n)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for g in grams], pa.binary())], ["class", "grams"])
 
     return run
@@ -309,23 +320,28 @@ class Trie:
                 only = self._only(label)
         return found
 
-    def partners(self, percent: int, label: np.ndarray, least: np.ndarray, before: int = 0) -> np.ndarray:
-        """Which sets have one with another label that shares at least ``least`` (the larger of
-        both) of the n-grams that the trie holds."""
+    def partners(self, percent: int, label: np.ndarray, before: int = 0) -> np.ndarray:
+        """Which sets, known here by their prefixes, may link with one of another label.
+
+        Of two sets, let x be the one whose prefix ends first in the order: all they have in
+        common up to there is in both prefixes, and x has ``rest_most`` n-grams more.  So the
+        overlap of prefixes is at least what a link needs less the larger rest of both."""
         out = np.zeros(len(self.sets), bool)
         mark = np.zeros(self.width, np.int64)
-        fewest = _over(np.minimum, least[self.rows], self.low, self.high)
+        rest = rest_most(self.sizes, percent)
+        below = _over(np.maximum, rest[self.rows], self.low, self.high)
         only = self._only(label)
         done = np.zeros(len(self.low), bool)
         for x in range(1, len(self.sets)):
-            own = self.sets[x]
+            own, size = self.sets[x], int(self.sizes[x])
             if not len(own):
                 continue
             mark[own] = np.where(own < before, FAR, 1)
-            news = False
-            need = lambda node: np.maximum(fewest[node], least[x])  # noqa: B023, E731
+            news, least = False, -(-size * percent // 100)
+            need = lambda node: np.maximum(1, -(-percent * (size + np.maximum(self.least[node], least)) // (100 + percent)) - np.maximum(rest[x], below[node]))  # noqa: B023, E731
             for k, overlap in self._reach(x, mark, percent, (only == label[x]) | (done & out[x]), need):
-                good = k[(overlap >= np.maximum(least[k], least[x])) & (label[k] != label[x])]
+                enough = -(-percent * (size + self.sizes[k]) // (100 + percent)) - np.maximum(rest[x], rest[k])
+                good = k[(overlap >= np.maximum(1, enough)) & (label[k] != label[x])]
                 if len(good) and not (out[x] and out[good].all()):
                     out[good] = out[x] = news = True
             mark[own] = 0
@@ -366,10 +382,10 @@ def linked(sets: list[np.ndarray], percent: int, apart: list[int] | None = None,
     return trie.links(percent, label, first)
 
 
-def paired(prefixes: list[np.ndarray], sizes: np.ndarray, percent: int, apart: list[int], before: int) -> np.ndarray:
+def paired(prefixes: list[np.ndarray], sizes: np.ndarray, percent: int, before: int) -> np.ndarray:
     """Which sets, known by their prefixes, share enough with another to be compared whole."""
     trie, first = _local(prefixes, sizes, before)
-    return trie.partners(percent, _labels(apart), np.array([shared_least(int(n), percent) for n in sizes]), first)
+    return trie.partners(percent, np.arange(len(sizes)), first)
 
 
 def _rooted(rows: list[tuple], bucket: int, percent: int) -> list[tuple[int, int]]:
@@ -400,7 +416,7 @@ def _candidates(rows: list[tuple], bucket: int, percent: int) -> list[tuple[int,
     """(class, bucket) of the classes that are to be compared whole."""
     if len(rows) < 2:
         return []
-    keep = paired([r[1] for r in rows], np.array([r[3] for r in rows]), percent, [r[2] for r in rows], bucket + (1 << 63))
+    keep = paired([r[1] for r in rows], np.array([r[3] for r in rows]), percent, bucket + (1 << 63))
     return [(r[0], bucket) for r, k in zip(rows, keep.tolist(), strict=True) if k]
 
 
@@ -448,6 +464,13 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.binary()), b.column(2)], ["class", "grams", "size"])
 
 
+def _paired_blocks(rows: DataFrame) -> DataFrame:
+    """Rows dealt to pairs of their bucket's ``blocks``, so that any two meet."""
+    mine = F.pmod(F.xxhash64("class"), "blocks")
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.least(mine, k) * F.col("blocks") + F.greatest(mine, k))
+    return rows.withColumn("block", F.explode(pairs)).drop("blocks")
+
+
 def _blocks(members: Column, grams: Column, sets: int, most: int) -> Column:
     return F.greatest(F.ceil(members / sets), F.ceil(grams / most)).cast("long")
 
@@ -480,12 +503,25 @@ def jaccard_classes(docs: DataFrame, n: int, percent: int, key: str = "doc_id",
         several = left.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("gram")
         shared = rewritten(left.join(several, "gram").select("gram", "class", "size"), "shared")
 
+    # Buckets: n-grams with the same members are one, named by the first of them as a signed
+    # number in the global order.  By the shared prefixes alone, which are few, classes are found
+    # that may have a partner in a bucket; only they go on, and bring their sets.
+    flipped = F.col("gram").bitwiseXOR(F.lit(-(1 << 63))).alias("bucket")
+    of_gram = shared.groupBy("gram").agg(F.count("*").alias("members"), F.min("class").alias("low"), F.max("class").alias("high"),
+                                         F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sign"))
+    buckets = of_gram.groupBy("members", "low", "high", "sign").agg(F.min(flipped).alias("bucket")).select("bucket", "members")
+    inside = shared.select(flipped, "class", "size").join(buckets.select("bucket", F.ceil(2 * F.col("members") / block_sets).alias("blocks")), "bucket")
+    prefix = rewritten(shared.groupBy("class", "size").agg(F.collect_list("gram").alias("grams")).select("class", "grams", F.col("size").cast("long"))
+                       .mapInArrow(_packed, "class long, grams binary, size long"), "prefixes")
+    met = _meet(_paired_blocks(inside).join(prefix.drop("size"), "class").withColumn("comp", F.lit(0).cast("long")), percent, _candidates)
+    partners = rewritten(met.select("class", F.col("root").alias("bucket")).distinct().join(inside.select("class", "bucket", "size"), ["class", "bucket"]), "partners")
+
     # First meeting: one bucket for each class.
-    each = shared.groupBy("gram").agg(F.count("*").alias("members"))
-    chosen = rewritten(shared.join(each, "gram").groupBy("class").agg(F.max(F.struct("members", "gram")).alias("m"), F.max("size").alias("size"))
-                       .select("class", F.col("m.gram").alias("bucket"), "size"), "chosen")
+    each = partners.groupBy("bucket").agg(F.count("*").alias("members"))
+    chosen = rewritten(partners.join(each, "bucket").groupBy("class").agg(F.max(F.struct("members", "bucket")).alias("m"), F.max("size").alias("size"))
+                       .select("class", F.col("m.bucket").alias("bucket"), "size"), "chosen")
     one = documents.where("size > 0").groupBy("class").agg(F.min(F.struct("text_key", "doc_id")).alias("of"))
-    wanted = chosen.select("class").join(one, "class").select("class", F.col("of.text_key").alias("text_key"), F.col("of.doc_id").alias("d"))
+    wanted = rewritten(chosen.select("class").join(one, "class").select("class", F.col("of.text_key").alias("text_key"), F.col("of.doc_id").alias("d")), "wanted")
     of_text = rows.join(wanted, (rows["text_key"] == wanted["text_key"]) & rows["doc_id"].eqNullSafe(wanted["d"])).select("class", "text")
     sets = rewritten(of_text.mapInArrow(_sets(n, heavy, rank), "class long, grams binary").dropDuplicates(["class"]), "grams")
 
@@ -503,24 +539,12 @@ def jaccard_classes(docs: DataFrame, n: int, percent: int, key: str = "doc_id",
             break
         left = again
 
-    # Prefix n-grams whose classes are in different components still.
-    marked = shared.join(component, "class")
-    split = marked.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"), F.sum("size").alias("grams"),
-                                       F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sign")).where("low != high")
-    # The first n-gram of those with equal members names their bucket, as a signed number in the global order.
-    split = split.groupBy("low", "high", "members", "grams", "sign").agg(F.min(F.col("gram").bitwiseXOR(F.lit(-(1 << 63)))).alias("bucket"))
-    buckets = split.select("bucket", _blocks(F.col("members"), F.col("grams"), block_sets // 2, block_grams // 2).alias("blocks"))
-    rest = marked.withColumn("bucket", F.col("gram").bitwiseXOR(F.lit(-(1 << 63)))).join(buckets, "bucket").select("bucket", "class", F.col("root").alias("comp"), "blocks").distinct()
-    mine = F.pmod(F.xxhash64("class"), "blocks")
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.least(mine, k) * F.col("blocks") + F.greatest(mine, k))
-    deal = lambda df: df.select("bucket", F.explode(pairs).alias("block"), "class", "comp")
-    # First by their shared prefix n-grams, which are few; sets are then fetched for classes with a partner only.
-    prefix = rewritten(shared.groupBy("class", "size").agg(F.collect_list("gram").alias("grams")).select("class", "grams", F.col("size").cast("long"))
-                       .mapInArrow(_packed, "class long, grams binary, size long"), "prefixes")
-    rest = rewritten(rest, "rest")
-    partners = _meet(deal(rest).join(prefix, "class"), percent, _candidates).select("class", F.col("root").alias("bucket")).distinct()
-    rest = rewritten(rest.join(partners, ["class", "bucket"]), "partners")
-    links = rewritten(_meet(deal(rest).join(sets, "class").withColumn("size", F.octet_length("grams")), percent, _bridges), "links")
+    # Buckets whose classes are in different components still.
+    marked = partners.join(component, "class")
+    split = (marked.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"), F.sum("size").alias("grams"))
+             .where("low != high").select("bucket", _blocks(F.col("members"), F.col("grams"), block_sets // 2, block_grams // 2).alias("blocks")))
+    rest = _paired_blocks(marked.select("bucket", "class", "size", F.col("root").alias("comp")).join(split, "bucket"))
+    links = rewritten(_meet(rest.join(sets, "class"), percent, _bridges), "links")
     merged = components(links.select(F.col("class").alias("a"), F.col("root").alias("b")))
     final = component.join(merged.select(F.col("node").alias("root"), "component"), "root", "left").select("class", F.coalesce("component", "root").alias("component"))
     return documents, rewritten(final, "classes")

@@ -151,3 +151,29 @@ def test_linked_sets_share_enough_of_their_prefixes(common, a, b, percent, rng):
     px, py = (set(s[:J.prefix_taken(len(s), percent)]) for s in (x, y))
     assert len(px & py) >= max(J.shared_least(len(x), percent), J.shared_least(len(y), percent))
     assert set(x[:J.prefix_length(len(x), percent)]) & set(y[:J.prefix_length(len(y), percent)])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 60), st.integers(0, 30), st.integers(0, 30), st.sampled_from([30, 50, 80, 85, 100]), st.randoms(use_true_random=False))
+def test_linked_sets_are_partners_by_their_prefixes(common, a, b, percent, rng):
+    while 100 * common < percent * (common + a + b):
+        a, b = (a - 1, b) if a >= b else (a, b - 1)
+    keys = rng.sample(range(1000), common + a + b)
+    x, y = sorted([keys[:common + a], keys[:common] + keys[common + a:]], key=len)
+    sizes = np.array([len(x), len(y)])
+    prefixes = [np.array(sorted(s)[:J.prefix_taken(len(s), percent)], np.uint64) for s in (x, y)]
+    first = int(np.intersect1d(*prefixes)[0])
+    assert J.paired(prefixes, sizes, percent, first).all() and not J.paired(prefixes, sizes, percent, first + 1).any()
+    assert J.rest_most(sizes, percent).tolist() == [n - J.prefix_taken(n, percent) for n in sizes.tolist()]
+
+
+def test_shingle_sets():
+    texts = [None, "", "a b c", "A b  C\td\x0be", "x", "É é", "a b c d e f", " a b c d e f "]
+    import pyarrow as pa
+
+    got = J.shingle_sets(pa.array(texts, pa.string()).cast(pa.binary()), 4)
+    assert [len(g) for g in got] == [len(grams(t, 4)) for t in texts]
+    assert (got[6] == got[7]).all() and set(got[3].tolist()) & set(got[6].tolist())
+    for other in (texts[::-1], texts[2:]):
+        again = J.shingle_sets(pa.array(other, pa.string()).cast(pa.binary()), 4)
+        assert all((dict(zip(map(repr, texts), map(list, got)))[repr(t)] == list(g)) for t, g in zip(other, again))
