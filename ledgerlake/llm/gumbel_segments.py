@@ -226,28 +226,32 @@ class Lattices:
         edges[odd] += 1
         # Positions by their distance from the word's end, so that sums go backward level by level;
         # each position's edges are a run, longer pieces first.
-        order = np.argsort(away, kind="stable")[len(words):]
+        few = away.astype(np.uint16) if len(away) and away.max() < 1 << 16 else away  # sorts by radix
+        order = np.argsort(few, kind="stable")[len(words):]
         self.many = edges[order]
         ends = np.cumsum(self.many)
         self.begins = ends - self.many
         self.single = np.repeat(self.many == 1, self.many)
-        self.run = np.zeros(len(code), np.int64)
-        self.run[order] = np.arange(len(order))
+        self.edge = np.zeros(len(code), np.int64)  # of each position the first, and the last
+        self.edge[order] = self.begins
         total_edges = int(ends[-1])
         self.stop, self.piece = np.empty(total_edges, np.int64), np.empty(total_edges, np.int64)
-        fill = self.begins[self.run]
+        fill = self.edge.copy()
         for depth in range(len(found), 0, -1):
             here, piece = found.pop()
             slot = fill[here]
             self.stop[slot], self.piece[slot] = here + depth, piece
             fill[here] += 1
         slot = fill[odd]
+        fill[odd] += 1
+        self.last = fill - 1
         # A character of one byte is that byte's piece; below 0: the character to spell.
         self.stop[slot], self.piece[slot] = odd + 1, np.where(code[odd] < 0x80, pieces.bytes_from + code[odd], -1 - code[odd])
         value = pieces.log_prob[np.maximum(self.piece, 0)]
         if len(odd):
             spelled = 1 + (code[odd] > 0x7F) + (code[odd] > 0x7FF) + (code[odd] > 0xFFFF)
             value[slot] = spelled * pieces.log_prob[pieces.bytes_from]
+        chance = np.empty_like(value)
         total = np.zeros(len(code))  # backward sum of each position; 0 behind a word
         level = np.append(np.flatnonzero(np.diff(away[order], prepend=0)), len(order))
         for a, b in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
@@ -257,13 +261,13 @@ class Lattices:
             seg, many = self.begins[a:b] - x, self.many[a:b]
             top = np.maximum.reduceat(v, seg)
             v -= np.repeat(top, many)
-            chance = np.exp(v)
-            z = np.add.reduceat(chance, seg)
+            np.exp(v, out=chance[x:y])
+            z = np.add.reduceat(chance[x:y], seg)
             total[order[a:b]] = top + np.log(z)
             v -= np.repeat(np.log(z), many)
+            chance[x:y] /= np.repeat(z, many)
         self.log = value
         # Running sums of the chances, from each run's begin.
-        chance = np.exp(value)
         sums = np.cumsum(chance)
         sums -= np.repeat(sums[self.begins] - chance[self.begins], self.many)
         self.sums = sums
@@ -278,9 +282,7 @@ class Lattices:
 
     def choose(self, position: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each position by its chance: walks along each run."""
-        run = self.run[position]
-        edge = self.begins[run]
-        last = edge + self.many[run] - 1
+        edge, last = self.edge[position], self.last[position]
         left = np.flatnonzero((self.sums[edge] <= u) & (edge < last))
         while len(left):
             edge[left] += 1
