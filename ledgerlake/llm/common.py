@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-__all__ = ["arrow_map", "key_and_text", "rewritten", "scratch_path", "table", "one_of_repeats"]
+__all__ = ["arrow_map", "broadcast_if_small", "key_and_text", "rewritten", "scratch_path", "table", "one_of_repeats"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,16 @@ def rewritten(df: DataFrame, name: str, *, partition: tuple = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table of a few numbers each that is broadcast (some 50 MB with its hash table).
+MOST_BROADCAST = 500_000
+
+
+def broadcast_if_small(written: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A written table of short rows, marked for broadcast if it has at most ``most``; a
+    larger one is left to an ordinary join."""
+    return F.broadcast(written) if written.count() <= most else written
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashed_words
-from .common import key_and_text, one_of_repeats, rewritten
+from .common import MOST_BROADCAST, broadcast_if_small, key_and_text, one_of_repeats, rewritten
 from .components import components
 
 #: Frequent n-grams that the order knows (broadcast with the tasks: 4 MB).
@@ -476,7 +476,8 @@ def _blocks(members: Column, grams: Column, sets: int, most: int) -> Column:
 
 
 def jaccard_classes(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text",
-                    block_sets: int = BLOCK_SETS, block_grams: int = BLOCK_GRAMS, heavy_grams: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+                    block_sets: int = BLOCK_SETS, block_grams: int = BLOCK_GRAMS, heavy_grams: int = HEAVY,
+                    most_broadcast: int = MOST_BROADCAST) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, text_key, size, class), (class, component class) of classes that met any other."""
     rows = key_and_text(docs, key, text).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.col("text").cast("binary").alias("text"))
     table = rewritten(rows.mapInArrow(_summaries(n), "doc_id long, text_key long, size long, class long"), "sets")
@@ -522,6 +523,7 @@ def jaccard_classes(docs: DataFrame, n: int, percent: int, key: str = "doc_id",
                        .select("class", F.col("m.bucket").alias("bucket"), "size"), "chosen")
     one = documents.where("size > 0").groupBy("class").agg(F.min(F.struct("text_key", "doc_id")).alias("of"))
     wanted = rewritten(chosen.select("class").join(one, "class").select("class", F.col("of.text_key").alias("text_key"), F.col("of.doc_id").alias("d")), "wanted")
+    wanted = broadcast_if_small(wanted, most_broadcast)
     of_text = rows.join(wanted, (rows["text_key"] == wanted["text_key"]) & rows["doc_id"].eqNullSafe(wanted["d"])).select("class", "text")
     sets = rewritten(of_text.mapInArrow(_sets(n, heavy, rank), "class long, grams binary").dropDuplicates(["class"]), "grams")
 
@@ -580,7 +582,8 @@ def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, key: str
     marked = rewritten(marked.where("NOT stays OR times > 1").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "stays"), "marked")
     rows = docs.select(F.struct("*").alias("row"), docs[key].cast("long").alias("doc_id"),
                        F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("text_key"))
-    met = rows.join(marked, (rows["text_key"] == marked["t"]) & rows["doc_id"].eqNullSafe(marked["d"]), "left").where("stays IS NULL OR stays")
+    few = broadcast_if_small(marked, limits.get("most_broadcast", MOST_BROADCAST))
+    met = rows.join(few, (rows["text_key"] == few["t"]) & rows["doc_id"].eqNullSafe(few["d"]), "left").where("stays IS NULL OR stays")
     if marked.where("stays").isEmpty():
         return met.select("row.*")
     return one_of_repeats(met.select("row", "stays", "doc_id", "text_key"), F.col("stays").isNotNull(), [F.col("doc_id"), F.col("text_key")]).select("row.*")

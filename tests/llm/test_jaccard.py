@@ -82,7 +82,7 @@ def near_copies(seed=1, groups=14, most=12, words=60):
     return pairs
 
 
-@pytest.mark.parametrize("limits", [{}, {"block_sets": 4, "heavy_grams": 20}, {"block_grams": 200, "heavy_grams": 0}])
+@pytest.mark.parametrize("limits", [{}, {"block_sets": 4, "heavy_grams": 20, "most_broadcast": 0}, {"block_grams": 200, "heavy_grams": 0}])
 def test_components_of_near_copies(docs_of, clashing, limits):
     pairs = near_copies() + [(5000 + k, t) for k, t in enumerate(ODD_TEXTS)] + [(None, "one two three four five"), (6000, "One two THREE four  five"),
                                                                               (6001, "Ünï cödé"), (6002, "ünï cödé"), (7, "rep eat"), (7, "rep eat")]

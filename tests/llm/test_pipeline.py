@@ -61,7 +61,7 @@ def test_stage_on_odd_rows(spark, docs_of, clashing, name, stage):
 def test_one_of_each_near_group_stays(docs_of, clashing):
     pairs = near_copies(seed=7)
     pairs += [(k, t) for k, t in pairs[:10]] + [(None, pairs[0][1]), (None, "a b c d e f"), (None, "A b c d e f"), (900, ""), (901, None)]
-    rows = without_near_copies(docs_of(pairs, clashing), 5, 80, block_sets=5).collect()
+    rows = without_near_copies(docs_of(pairs, clashing), 5, 80, block_sets=5, most_broadcast=0).collect()
     left = Counter((r.doc_id, r.text) for r in rows)
     assert left[900, ""] == left[901, None] == 1 and max(left.values()) == 1
     components = brute(pairs, 5, 80)
