@@ -7,18 +7,23 @@ is estimated from the corpus:
     disclosure(t, e) = PMI(t, e) / IC(e),
     PMI = log(N * df(t, e) / (df(t) * df(e))),  IC(e) = log(N / df(e))
 
-where df counts documents, and df(t, e) those where t stands within ``WINDOW``
-words of e.  It is 1 if t occurs with e only, and 0 if they are independent.
-Estimates need ``SUPPORT`` different contexts (copies of one passage are one
-context).  In documents that hold e, a term at or above ``GENERALISE`` is
-replaced by its category and one at or above ``REMOVE`` is taken out.
-
-Scale: only documents with an entity emit (entity, term) rows, at most
-2 x WINDOW for each occurrence; they and the counts meet in aggregates that combine
-map-side.  Counts of all documents' terms are taken only of terms that reach
-the support and are rare enough near entities to disclose one: those are broadcast up
-to ``MOST_BROADCAST`` of them, beyond which the counts of all terms are aggregated
-first and joined.
+where df counts documents, and df(t, e) those that hold both, wherever in the text.
+It is 1 if t occurs with e only, and 0 if they are independent.  The evidence is
+the number c of different contexts (the words within ``WINDOW`` words of e; copies
+of one passage are one context).  From ``SUPPORT`` contexts on the estimate stands as
+it is; with fewer, df(t, e) is discounted by c / (c + 1), the factor of Pantel and Lin.
+So one context is enough where e is rare in a large corpus (N >= 1024 df(e) at
+``GENERALISE``, if t occurs with e only), and two from N >= 58 df(e).  In documents that
+hold e, a term at or above ``GENERALISE`` is replaced by its category and one at or
+above ``REMOVE`` is taken out.
+
+Scale: a document with entities emits a row per entity and one per different term.
+Entities of one text only, nearly all, count alike and are one class per text.
+A term can disclose an entity only if it is rare enough for it: terms too common for
+all entities of their text drop out, first by their documents among those emitted and
+then by the counts of all documents, before classes and terms of a text are paired.
+Up to ``MOST_BROADCAST`` terms are broadcast for these counts; beyond, the counts of
+all terms are aggregated first and joined.
 
 Defined cases: a null text is the empty text and has no spans; repeated rows are
 counted as documents each, and get equal spans; very long texts are scanned
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import key_and_text, rewritten
+from .common import broadcast_if_small, key_and_text, rewritten
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 8
@@ -45,6 +50,8 @@ GENERALISE = 0.9
 REMOVE = 0.98
 #: Terms whose counts are found by a broadcast (30 MB at most).
 MOST_BROADCAST = 500_000
+#: Rows of a batch that is handed on before the input batch ends.
+BATCH_ROWS = 100_000
 
 #: Base patterns (fixed values).
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -101,21 +108,36 @@ def entity_of(value: str, kind: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(c for c in value if c.isdigit())}"
 
 
-def contexts(text: str, spans: list[Span], window: int = WINDOW) -> dict[tuple[str, str], int]:
-    """(entity, term) -> context number (the least, of several): terms within ``window`` words of an entity."""
-    words = [(m.start(), m.end(), term_of(m[0])) for m in _WORD.finditer(text)]
-    starts = [w[0] for w in words]
-    covered = sorted(spans)
-    out: dict[tuple[str, str], int] = {}
+def holdings(text: str, spans: list[Span], window: int = WINDOW) -> tuple[dict[str, int], set[str]]:
+    """entity -> context number (of the terms within ``window`` words; the least, of several), and
+    the terms of the whole text outside the spans."""
+    covered: list[list[int]] = []
+    for start, end, _ in sorted(spans):
+        if covered and start < covered[-1][1]:
+            covered[-1][1] = max(end, covered[-1][1])
+        else:
+            covered.append([start, end])
+    starts, terms, at = [], [], 0
+    for m in _WORD.finditer(text):
+        while at < len(covered) and covered[at][1] <= m.start():
+            at += 1
+        starts.append(m.start())
+        terms.append("" if at < len(covered) and covered[at][0] < m.end() else term_of(m[0]))
+    held: dict[str, int] = {}
     for start, end, kind in spans:
         entity = entity_of(text[start:end], kind)
         a = max(0, bisect_left(starts, start + 1) - 1)
         b = bisect_left(starts, end)
-        near = [w for w in words[max(0, a - window):b + window] if w[2] and not any(s < w[1] and w[0] < e for s, e, _ in covered)]
-        seen = int.from_bytes(hashlib.blake2b(" ".join(w[2] for w in near).encode(), digest_size=8).digest(), "little", signed=True)
-        for w in near:
-            out[entity, w[2]] = min(seen, out.get((entity, w[2]), seen))
-    return out
+        near = " ".join(t for t in terms[max(0, a - window):b + window] if t)
+        seen = int.from_bytes(hashlib.blake2b(near.encode(), digest_size=8).digest(), "little", signed=True)
+        held[entity] = min(seen, held.get(entity, seen))
+    return held, set(terms) - {""}
+
+
+def contexts(text: str, spans: list[Span], window: int = WINDOW) -> dict[tuple[str, str], int]:
+    """(entity, term) -> context number, for all terms of the text."""
+    held, terms = holdings(text, spans, window)
+    return {(entity, term): seen for entity, seen in held.items() for term in terms}
 
 
 def term_spans(text: str, terms: set[str], covered: list[Span]) -> list[Span]:
@@ -154,41 +176,60 @@ def joined(spans: list[Span]) -> str:
 
 
 def _context_rows(window: int):
+    """Per text with entities: a row for each entity (without term) and for each term (without entity)."""
+    names = ["digest", "entity", "term", "seen"]
+    kinds = [pa.binary(), pa.string(), pa.string(), pa.int64()]
+
     def run(batches):
         for b in batches:
-            cols: list[list] = [[], [], [], []]
+            rows: list[tuple] = []
             for text in b.column(0).to_pylist():
                 if text and (spans := base_spans(text)):
                     digest = hashlib.sha256(text.encode()).digest()
-                    got = contexts(text, spans, window)
-                    got |= {(entity_of(text[s:e], k), ""): 0 for s, e, k in spans}  # the entity itself
-                    for (entity, term), seen in got.items():
-                        for c, v in zip(cols, (digest, entity, term, seen), strict=True):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], ["digest", "entity", "term", "seen"])
+                    held, terms = holdings(text, spans, window)
+                    rows += [(digest, entity, "", seen) for entity, seen in held.items()]
+                    rows += [(digest, "", term, 0) for term in terms]
+                if len(rows) > BATCH_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
 
-def disclosing_terms(rows: DataFrame, near: DataFrame, support: int = SUPPORT, least: float = GENERALISE,
-                     most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """(entity, term, disclosure) at or above ``least``.  ``near`` has the context rows,
-    one for each document, entity and term."""
+def _telling(rows: DataFrame, near: DataFrame, support: int, least: float, most_broadcast: int, settled: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(class, term, disclosure) at or above ``least``; (entity, class); (class, digest) of the texts that hold it."""
     spark = rows.sparkSession
-    n = rows.count()
-    by_seen = near.groupBy("entity", "term", "seen").agg(F.count("*").alias("docs"))
-    pairs = by_seen.groupBy("entity", "term").agg(F.sum("docs").alias("joint"), F.count("*").alias("contexts"))
-    of_entity = pairs.where("term = ''").select("entity", F.col("joint").alias("df_entity"))
-    pairs = pairs.where((F.col("term") != "") & (F.col("contexts") >= support)).join(of_entity, "entity")
-    # A term can reach ``least`` only if df(t) <= df(t, e) (N / df(e))^(1 - least).  The documents where it
-    # stands near any entity are a part of df(t): common words drop out before the corpus is counted.
-    seen = near.where("term != ''").groupBy("term").agg(F.countDistinct("digest").alias("seen_in"))
-    most = F.col("joint") * F.pow(F.lit(float(n)) / F.col("df_entity"), 1 - least) * (1 + 1e-9)
-    pairs = rewritten(pairs.join(seen, "term").where(F.col("seen_in") <= most), "pairs")
-    terms = rewritten(pairs.select("term").distinct(), "terms")
+    n = float(rows.count())
+    weight = lambda c: F.when(c >= settled, 1.0).otherwise(c / (c + 1.0))
+    held = near.where("entity != ''").groupBy("digest", "entity", "seen").agg(F.count("*").alias("copies"))
+    # Entities of one text have one context, and the same figures with each term: one class.
+    of_entity = rewritten(held.groupBy("entity").agg(F.sum("copies").alias("df_entity"), F.min("digest").alias("digest"), F.max("digest").alias("last"), F.countDistinct("seen").alias("contexts"))
+                          .where((F.col("df_entity") < n) & (F.col("contexts") >= support))
+                          .withColumn("class", F.when(F.col("digest") == F.col("last"), F.hex("digest")).otherwise(F.col("entity"))), "entities")
+    single = of_entity.where("digest = last").select("class", "digest", F.lit(0).cast("long").alias("seen"), F.col("df_entity").alias("copies"), "df_entity", "contexts").distinct()
+    several = broadcast_if_small(rewritten(of_entity.where("digest != last").select("class", "entity", "df_entity", "contexts"), "several"), most_broadcast)
+    several = held.join(several, "entity").select("class", "digest", "seen", "copies", "df_entity", "contexts")
+    # disclosure >= least means df(t) <= df(t, e) weight (N / df(e))^(1 - least), where df(t, e) <= df(e) and df(t, e) <= df(t).
+    gain = weight(F.col("contexts")) * F.pow(F.lit(n) / F.col("df_entity"), 1 - least) * (1 + 1e-9)
+    classes = rewritten(single.unionByName(several).withColumn("most", gain * F.col("df_entity")).where(F.col("most") >= F.col("df_entity")), "classes")
+    members = of_entity.select("entity", "class")
+    none = spark.createDataFrame([], "class string, term string, disclosure double")
+    most = classes.agg(F.max("most")).first()[0]
+    if most is None:
+        return none, members, classes
+
+    # The documents among those emitted are a part of df(t): common words drop out before the corpus is counted.
+    words = near.where("term != ''")
+    rare = broadcast_if_small(rewritten(words.groupBy("term").agg(F.count("*").alias("seen_in")).where(F.col("seen_in") <= most), "rare"), most_broadcast)
+    of_text = classes.groupBy("digest").agg(F.max("most").alias("most_here"))
+    inside = rewritten(words.join(rare, "term").groupBy("digest", "term").agg(F.first("seen_in").alias("seen_in")).join(of_text, "digest")
+                       .where(F.col("seen_in") <= F.col("most_here")).select("digest", "term", "most_here"), "inside")
+    terms = rewritten(inside.select("term").distinct(), "terms")
     few = terms.count()
     if not few:
-        return spark.createDataFrame([], "entity string, term string, disclosure double")
+        return none, members, classes
     # The word's trim and lower case, as term_of has them.
     trim = F.array_distinct(F.transform(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: F.lower(F.btrim(w, F.lit(_TRIM)))))
     words = rows.select(F.explode(trim).alias("term"))
@@ -196,10 +237,22 @@ def disclosing_terms(rows: DataFrame, near: DataFrame, support: int = SUPPORT, l
         counts = words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("df_term"))
     else:
         counts = words.groupBy("term").agg(F.count("*").alias("df_term")).join(terms, "term")
-    pmi = F.log(F.lit(float(n)) * F.col("joint") / (F.greatest("df_term", "joint") * F.col("df_entity")))
-    share = pmi / F.log(F.lit(float(n)) / F.col("df_entity"))
-    return (pairs.join(counts, "term").where(F.col("df_entity") < n)
-            .select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= least))
+    counts = rewritten(counts.where(F.col("df_term") <= most), "counts")
+    inside = inside.join(broadcast_if_small(counts, most_broadcast), "term").where(F.col("df_term") <= F.col("most_here"))
+    pairs = (inside.join(classes.drop("contexts"), "digest").where(F.col("df_term") <= F.col("most")).groupBy("class", "term")
+             .agg(F.sum("copies").alias("joint"), F.countDistinct("seen").alias("contexts"), F.first("df_entity").alias("df_entity"), F.first("df_term").alias("df_term"))
+             .where(F.col("contexts") >= support))
+    pmi = F.log(F.lit(n) * F.col("joint") * weight(F.col("contexts")) / (F.greatest("df_term", "joint") * F.col("df_entity")))
+    share = pmi / F.log(F.lit(n) / F.col("df_entity"))
+    return pairs.select("class", "term", share.alias("disclosure")).where(F.col("disclosure") >= least), members, classes
+
+
+def disclosing_terms(rows: DataFrame, near: DataFrame, support: int = 1, least: float = GENERALISE,
+                     most_broadcast: int = MOST_BROADCAST, settled: int = 1) -> DataFrame:
+    """(entity, term, disclosure) at or above ``least``, of pairs with ``support`` contexts; those with
+    fewer than ``settled`` are discounted.  ``near`` has the rows of ``_context_rows``."""
+    telling, members, _ = _telling(rows, near, support, least, most_broadcast, settled)
+    return telling.join(members, "class").select("entity", "term", "disclosure")
 
 
 def _apply(batches):
@@ -230,8 +283,8 @@ def found_and_sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text"
 def revealed_terms(rows: DataFrame, window: int, support: int, generalise: float, remove: float) -> DataFrame:
     """(digest of the text, terms to replace in it, those of them to remove) as a written table."""
     near = rewritten(rows.select("text").mapInArrow(_context_rows(window), "digest binary, entity string, term string, seen long"), "contexts")
-    telling = disclosing_terms(rows, near, support, generalise)
-    each = near.where("term = ''").select("digest", "entity").distinct().join(telling, "entity")
+    telling, _, classes = _telling(rows, near, 1, generalise, MOST_BROADCAST, support)
+    each = classes.select("class", "digest").join(telling, "class")
     return rewritten(each.groupBy("digest", "term").agg(F.max("disclosure").alias("d")).groupBy("digest").agg(
         F.collect_list("term").alias("terms"), F.collect_list(F.when(F.col("d") >= remove, F.col("term"))).alias("removed")), "revealed")
 

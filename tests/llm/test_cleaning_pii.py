@@ -182,3 +182,22 @@ def test_sanitised_leaves_no_base_value():
         s = D.sanitised(t, D.base_spans(t), set())
         assert all(t[a:b] not in s or k != "email" for a, b, k in D.base_spans(t))
     assert D.sanitised("Dr Ann of 4711 a@b.cd", [(3, 6, "term"), (10, 14, "term"), (15, 21, "email")], {"ann"}) == "Dr  of <NUMBER> <EMAIL>"
+
+
+def test_few_contexts_are_decided(docs_of):
+    """One or two contexts, and terms far from the entity, disclose where the corpus is large enough."""
+    common = " ".join(f"v{k}" for k in range(40))
+    pairs = [(k, common) for k in range(2500)]
+    pairs += [(3000, f"Quetzal {common} ann.lee@mail.example.com and +1 (017) 555-7713")]
+    pairs += [(3001 + k, f"{common} {k} 10.1.2.3 x{k} Okapi v1") for k in range(2)]
+    pairs += [(3010, f"{common} copied@mail.example.com {common} Numbat")] * 2
+    pairs += [(3020 + k, f"v1 v2 10.9.9.9 v{k} once{k}") for k in range(40)]
+    spans = {(r.doc_id, r.spans): r.sanitised for r in D.found_and_sanitised(docs_of(pairs)).collect()}
+    terms = {k: [p for p in s.split(",") if p.startswith("term:")] for k, s in spans}
+    assert terms[3000] == ["term:0:7", f"term:{len(common) + 34}:{len(common) + 37}"]
+    assert any(s.startswith("<NAME> v0") for (k, _), s in spans.items() if k == 3000)  # replaced, not removed
+    okapi = pairs[2501][1].index("Okapi")
+    assert f"term:{okapi}:{okapi + 5}" in terms[3001]
+    assert len(terms[3010]) == 1  # a copy changes nothing
+    assert not any(terms[3020 + k] for k in range(40))  # chance, beside an entity of forty texts
+    assert not any(v for k, v in terms.items() if k < 2500)
