@@ -80,7 +80,7 @@ def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
         count = np.diff(first)
         h = np.full(max(0, len(word) - n + 1), n, np.uint64)
         for k in range(n):
-            h = _mixed(h * _MIX[2] + word[k:len(word) - n + 1 + k])
+            h = _mixed(h * _MIX[2] + word[k:k + len(h)])
         for a, m in zip(first[:-1].tolist(), count.tolist(), strict=True):
             if m >= n:
                 out.append(np.unique(h[a:a + m - n + 1]))

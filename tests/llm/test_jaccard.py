@@ -177,3 +177,12 @@ def test_shingle_sets():
     for other in (texts[::-1], texts[2:]):
         again = J.shingle_sets(pa.array(other, pa.string()).cast(pa.binary()), 4)
         assert all((dict(zip(map(repr, texts), map(list, got)))[repr(t)] == list(g)) for t, g in zip(other, again))
+
+
+@pytest.mark.parametrize("n", [4, 5])
+def test_shingle_sets_of_one_short_text(n):
+    import pyarrow as pa
+
+    for words in range(7):
+        got = J.shingle_sets(pa.array([" ".join("abcdef"[:words])], pa.string()).cast(pa.binary()), n)
+        assert [len(g) for g in got] == [max(min(words, 1), words - n + 1)]
