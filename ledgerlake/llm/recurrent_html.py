@@ -14,6 +14,10 @@ the labeller does not hang on one tag name.  Training runs on the driver; the
 weights (about 200 KB) go to the tasks, which label all pages, in batches of
 similar length.  No shuffle is needed after training.
 
+Scripts, styles, templates, frames, text areas and the page's title are skipped; all else,
+formulas, drawings and fallback texts too, is text for the labeller to judge.  An
+element that is not closed ends with its parent.
+
 Defined cases: null or empty html gives an empty text; a page without any main
 block too; cut-off pages are read as far as they go; repeated rows are
 labelled alike; extra columns play no part; without any page to train on the
@@ -43,10 +47,11 @@ PATH_DIM, WORD_DIM, FIGURES, HIDDEN = 12, 6, 6, 16
 #: HTML element kinds (fixed values).
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset"
-    " h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot"
-    " th thead title tr ul".split())
+    " h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav noscript ol option p pre search section select summary table tbody td tfoot"
+    " th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template textarea svg iframe title math object canvas".split())
+#: Elements whose content is skipped (a title inside svg is text).
+RAW_TAGS = frozenset("script style template textarea iframe title".split())
 #: Elements that an opening tag of the same group ends.
 _SIBLINGS = {t: g for g in (("li",), ("dt", "dd"), ("tr",), ("td", "th"), ("option",)) for t in g}
 
@@ -63,6 +68,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked, in_link, at = 0, 0, 0
+    unclosed: set[str] = set()  # names without an end tag from here on
 
     def close() -> None:
         nonlocal linked
@@ -73,6 +79,14 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
+    def end_tag(name: str) -> re.Match | None:
+        if name in unclosed:
+            return None
+        end = re.compile(f"</{re.escape(name)}(?![^\\s/>])[^>]*>?", re.I).search(page, at)
+        if not end:
+            unclosed.add(name)
+        return end
+
     while m := _TAG.search(page, at):
         if m.start() > at:
             parts.append(page[at:m.start()])
@@ -98,14 +112,16 @@ def blocks(page: str) -> list[Block]:
             close()
             own = _SIBLINGS.get(name, ())
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" and name != "button" or stack[k][0] in own:
+                if stack[k][0] == "p" and name not in ("button", "noscript") or stack[k][0] in own:
                     del stack[k:]
                     break
                 if stack[k][0] in BLOCK_TAGS:
                     break
-        if name in RAW_TAGS and not m[3].endswith("/"):
-            end = re.compile(f"</{re.escape(name)}\\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        if name in RAW_TAGS and not (name == "title" and any(x == "svg" for x, _ in stack)) and not m[3].endswith("/"):
+            if end := end_tag(name):
+                at = end.end()
+            else:  # it ends with the first parent that is closed
+                at = next((end.start() for x, _ in reversed(stack) if (end := end_tag(x))), len(page))
         elif name not in VOID_TAGS and not m[3].endswith("/"):
             words = [w for a in _ATTRIBUTE.findall(m[3]) for w in _NAME.findall(a.lower())] if m[3] else []
             stack.append((name, (name, *words)))

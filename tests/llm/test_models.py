@@ -157,3 +157,18 @@ def test_pages_of_odd_rows(spark, labeller):
         assert sorted((str(r.page_id), str(r.url)) for r in got) == sorted((str(a), str(b)) for a, b, _, _ in rows)
         assert all(r.n_chars == len(r.text) for r in got) and all(r.text == "" for r in got if r.page_id in (0, 1, 2, 4))
     assert R.main_texts(pages.limit(0)).count() == 0
+
+
+def test_blocks_of_formulas_and_fallbacks():
+    """Only scripts and the like are skipped; what is not closed ends with its parent."""
+    page = """<html><head><title>T</title></head><body><article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>
+    <p>See <object data=a><b>the plan</b></object> and <canvas>a chart</canvas> <svg><title>Key</title><text>North</text><style>a{}</style></svg></p>
+    <noscript>Plain text</noscript><script>var a = 1</script></article></body></html>"""
+    assert [t for t, _, _ in R.blocks(page)] == ["So x=2 holds", "See the plan and a chart KeyNorth", "Plain text"]
+    assert R.blocks(page)[2][1][-2:] == ("article", "noscript")
+    for name in ("math", "svg", "object", "canvas", "noscript", "textarea", "iframe"):
+        page = f"<article><p>One</p><div><{name}>in</div><p>Two</p></article><p>Three"
+        assert [t for t, _, _ in R.blocks(page) if t != "in"] == ["One", "Two", "Three"], name
+        assert [t for t, _, _ in R.blocks(f"<div><p>One</p><{name}>in</other></div><p>Two")][-1] == "Two", name
+    assert [t for t, _, _ in R.blocks("<p>One<script>var a")] == ["One"]
+    assert len(R.blocks("<p>a<textarea>b</p>" * 20000)) == 20000
