@@ -41,6 +41,8 @@ TRAIN_PAGES = 240
 TRAIN_CHARS = 200_000
 EPOCHS = 5
 SEED = 11
+#: Pages times blocks that are labelled together (some 260 bytes each).
+CELLS = 200_000
 PATH_ROWS, WORD_ROWS = 2048, 4096
 PATH_DIM, WORD_DIM, FIGURES, HIDDEN = 12, 6, 6, 16
 
@@ -334,6 +336,18 @@ def sample_pages(pages: DataFrame, html: str = "html", most: int = TRAIN_PAGES,
     return [r.html for r in rows.orderBy(F.xxhash64("html"), "html").limit(most).collect()]
 
 
+def groups(sizes: list[int], most: int = 96, cells: int = CELLS) -> Iterable[tuple[int, int]]:
+    """(start, end) of runs of ascending ``sizes`` that are padded to their longest: at most
+    ``most``, and ``cells`` in all; one that is longer runs alone."""
+    start = 0
+    for k, size in enumerate(sizes):
+        if k > start and (k - start == most or (k - start + 1) * size > cells):
+            yield start, k
+            start = k
+    if sizes:
+        yield start, len(sizes)
+
+
 def _texts(net: Labeller | None, group: int = 96):
     def run(batches):
         for b in batches:
@@ -344,8 +358,8 @@ def _texts(net: Labeller | None, group: int = 96):
                 if page and (got := blocks(page)):
                     found[k] = got
             order = sorted(found, key=lambda k: len(found[k]))
-            for at in range(0, len(order), group):
-                some = order[at:at + group]
+            for at, end in groups([len(found[k]) for k in order], group):
+                some = order[at:end]
                 if net is None:
                     scores = [semantic_labels(found[k]) for k in some]
                 else:

@@ -172,3 +172,11 @@ def test_blocks_of_formulas_and_fallbacks():
         assert [t for t, _, _ in R.blocks(f"<div><p>One</p><{name}>in</other></div><p>Two")][-1] == "Two", name
     assert [t for t, _, _ in R.blocks("<p>One<script>var a")] == ["One"]
     assert len(R.blocks("<p>a<textarea>b</p>" * 20000)) == 20000
+
+
+def test_a_very_long_page_runs_alone():
+    sizes = sorted([5] * 95 + [30] * 200 + [3000] * 3 + [100_000, 300_000])
+    runs = list(R.groups(sizes))
+    assert [a for a, _ in runs] == [0, *(b for _, b in runs[:-1])] and runs[-1][1] == len(sizes)
+    assert all(b - a <= 96 and (b - a == 1 or (b - a) * sizes[b - 1] <= R.CELLS) for a, b in runs)
+    assert runs[-2:] == [(298, 299), (299, 300)] and list(R.groups([])) == []
