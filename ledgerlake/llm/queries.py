@@ -14,10 +14,13 @@ from .gumbel_segments import segmentations
 from .heavy_dedup import exact_duplicates
 from .line_cleaning import BOILERPLATE, NOTICE_WORDS, quality_report
 from .minimax_shards import minimax_shards
+from .periodic_runs import planted_periods, run_digests
 from .prefix_tree_join import jaccard_components
 from .recurrent_html import main_texts
 from .ss_packing import packed
+from .target_alignment import damaged, repair_report
 from .wavelet_ids import wavelet_ids
+from .wu_manber import contamination_digests
 
 
 def op1_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,14 +69,32 @@ def op10_recurrent_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_descending_lcp_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal periodic runs of words; a tenth of the documents get a periodic tail first."""
+    return run_digests(planted_periods(table(spark, sf_dir, "documents")))
+
+
+def op12_target_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repairs of damaged conversations."""
+    return repair_report(damaged(table(spark, sf_dir, "conversations")), gone=F.col("gone"))
+
+
+def op13_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside a benchmark item's ten consecutive words."""
+    return contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_gumbel_segmentations, op2_prefix_tree_jaccard, op3_minimax_shards, op4_heavy_hitter_dedup, op5_wavelet_ids, op6_line_first_cleaning,
-        op7_conv_toxicity, op8_disclosure_sanitisation, op9_sum_of_squares_packing, op10_recurrent_main_text)}
+        op7_conv_toxicity, op8_disclosure_sanitisation, op9_sum_of_squares_packing, op10_recurrent_main_text,
+        op11_descending_lcp_runs, op12_target_alignment, op13_wu_manber)}
 
 #: Words of a text: runs without blank and U+0009 to U+000D.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _PHRASES = "|".join(BOILERPLATE)
+#: Words of lower-cased ASCII letters, digits and characters beyond ASCII.
+_PLAIN_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
 def _bad(pattern: str, share: int) -> str:
@@ -122,6 +143,21 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 50 * chars AS kept
         FROM f""",
+    "op13_wu_manber": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN_WORDS} AS w FROM documents),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_PLAIN_WORDS} AS w FROM benchmark),
+        windows AS (
+          SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS words
+          FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(k) WHERE len(w) > 0),
+        sizes AS (SELECT DISTINCT n FROM windows),
+        places AS (
+          SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS words FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS u(k)),
+        found AS (SELECT r, k, n, item_id FROM places JOIN windows USING (n, words)),
+        hit AS (SELECT r, count(DISTINCT k + j) AS n_hit FROM (SELECT DISTINCT r, k, n FROM found) s, unnest(range(0, n)) AS v(j) GROUP BY r),
+        items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM found WHERE item_id IS NOT NULL) s GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)""",
 }
 
 
