@@ -18,6 +18,7 @@ from ..sources import events as ev
 from ..sources.tables import Warehouse
 from ..operators import sales
 from ..sources.sinks import export_csv, read_csv
+from ..streaming.reservations import ReservationConsumer
 from ..streaming.ingest import IngestJob, dedup_stream, read_event_stream, write_messages
 
 #: Micro-batches that the registered streams cut their input files into.
@@ -117,6 +118,41 @@ def stream_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "order_id", F.col("arrival").alias("created_at"), "reserved", "reason")
 
 
+#: Drops of the stream whose consumer carries its state.
+DROPS = 4
+
+
+def _dropped_reservations(spark: SparkSession, sf_dir: str) -> ReservationConsumer:
+    """Orders in parts of two lines come in ``DROPS`` drops in order of arrival, all parts but an order's last one
+    drop early, and the consumer is started anew for each drop."""
+    ensure_session_conf(spark)
+    w = Warehouse(spark, sf_dir)
+    root = scratch_path(spark, "reserve-state")
+    messages = ev.emit_orders_with_items(w.orders, w.order_items, per_message=2)
+    arrival = F.unix_seconds(F.get_json_object("data", "$.timestamp").cast("timestamp"))
+    first, last = w.raw("orders").agg(*[F.unix_seconds(f("o_orderdate").cast("timestamp")) for f in (F.min, F.max)]).first()
+    early = F.get_json_object("data", "$.part").cast("int") < F.get_json_object("data", "$.parts").cast("int") - 1
+    drop = F.floor((arrival - F.lit(first)) * DROPS / F.lit((last or 0) - (first or 0) + 1)).cast("int")
+    path = f"{root}/messages"
+    messages.withColumn("drop", F.greatest(F.lit(0), F.when(early, drop - 1).otherwise(drop))).write.parquet(path)
+    consumer = ReservationConsumer(spark, f"{root}/store", f"{root}/checkpoint", w.inventory_items)
+    for k in range(DROPS):
+        write_messages(spark.read.parquet(path).where(F.col("drop") == k).drop("drop"), f"{root}/inbox")
+        consumer.run_available(read_event_stream(spark, f"{root}/inbox"))
+    return consumer
+
+
+def stream_reservation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of the consumer that keeps compacted state, over several restarts."""
+    consumer = _dropped_reservations(spark, sf_dir)
+    return spark.read.parquet(consumer.paths["reservations"]).select("order_id", "created_at", "reserved", "reason")
+
+
+def stream_reserved_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stock that this consumer leaves behind: per SKU what is still available and what was reserved."""
+    return _dropped_reservations(spark, sf_dir).stock.read().select("sku", (F.col("x0") - F.col("taken")).alias("available"), "taken")
+
+
 def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export the daily order volume as CSV with a header and read it back."""
     w = _wh(spark, sf_dir)
@@ -143,6 +179,15 @@ def reservation_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rsv.reservation_failures(rsv.reserve_orders(w.orders, w.order_items, w.inventory_items))
 
 
+def reservation_failed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line at which each rejected order failed, with what was available."""
+    w = _wh(spark, sf_dir)
+    path = scratch_path(spark, "decisions")
+    rsv.reserve_orders(w.orders, w.order_items, w.inventory_items).write.parquet(path)
+    stock = w.inventory_items.select("sku", (F.col("qty_on_hand") - F.col("reserved_qty")).cast("long").alias("x0"))
+    return rsv.failing_lines(rsv.with_positions(w.order_items), spark.read.parquet(path), stock)
+
+
 def _line_requests(w: Warehouse) -> DataFrame:
     """Every lineitem row as one request.  Its id is the order's key and the line's
     place in the order, padded so that text order is number order: it depends on
@@ -200,6 +245,9 @@ EXTRA_QUERIES = {
     "reserve_orders": reserve_orders,
     "stream_reservations": stream_reservations,
     "reservation_failures": reservation_failures,
+    "reservation_failed_lines": reservation_failed_lines,
+    "stream_reservation_state": stream_reservation_state,
+    "stream_reserved_stock": stream_reserved_stock,
     "reserve_lines": reserve_lines,
     "adjust_stock": adjust_stock,
     "release_reservations": release_reservations,
@@ -230,7 +278,53 @@ def _fold_sql(requests: str, state: str) -> str:
           SELECT txn_id, ts, 'rejected', 'unknown_key' FROM req WHERE key NOT IN (SELECT key FROM st)) folded"""
 
 
+#: All-or-nothing reservation by recursion over orders in order of arrival; the state is the list of available quantities.
+#: ``bad`` is the first line that an order fails at, ``left`` what was available for it.
+_ADMISSION = """
+    WITH RECURSIVE stock AS (
+      SELECT sku, row_number() OVER (ORDER BY sku) AS i, CAST(qty_on_hand - reserved_qty AS BIGINT) AS x FROM m_inventory),
+    lines AS (
+      SELECT o.id AS order_id, o.created_at, l.sku, CAST(l.qty AS BIGINT) AS qty, s.i,
+             row_number() OVER (PARTITION BY o.id ORDER BY l.created_at, l.line_number, l.sku, l.qty, l.line_total) AS position
+      FROM m_orders o JOIN m_order_items l ON l.order_id = o.id LEFT JOIN stock s ON s.sku = l.sku),
+    own AS (
+      SELECT *, CAST(coalesce(sum(qty) OVER (PARTITION BY order_id, sku ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS earlier
+      FROM lines),
+    asked AS (
+      SELECT order_id, created_at, row_number() OVER (ORDER BY created_at, order_id) AS n, bool_or(i IS NULL) AS unknown,
+             list({'position': position, 'sku': sku, 'qty': qty, 'i': i, 'earlier': earlier} ORDER BY position) AS ls
+      FROM own GROUP BY order_id, created_at),
+    run AS (
+      SELECT CAST(0 AS BIGINT) AS n, (SELECT list(x ORDER BY i) FROM stock) AS x,
+             CAST(NULL AS STRUCT("position" BIGINT, sku VARCHAR, qty BIGINT, i BIGINT, earlier BIGINT)) AS bad, CAST(NULL AS BIGINT) AS left_over
+      UNION ALL
+      SELECT n, CASE WHEN bad IS NULL THEN list_reduce(ls, lambda acc, l: acc[:l.i - 1] || [acc[l.i] - l.qty] || acc[l.i + 1:], x) ELSE x END,
+             bad, x[bad.i] - bad.earlier
+      FROM (SELECT a.n, r.x, a.ls, list_filter(a.ls, lambda l: l.i IS NULL OR r.x[l.i] - l.earlier < l.qty)[1] AS bad
+            FROM run r JOIN asked a ON a.n = r.n + 1) step),
+    decided AS (
+      SELECT o.id AS order_id, o.created_at, run.bad IS NULL AS reserved,
+             CASE WHEN run.bad IS NOT NULL THEN CASE WHEN a.unknown THEN 'unknown_sku' ELSE 'insufficient_stock' END END AS reason, run.bad, run.left_over
+      FROM m_orders o LEFT JOIN asked a ON a.order_id = o.id LEFT JOIN run ON run.n = a.n)"""
+
+
+def _admission(select: str) -> str:
+    return f"SELECT * FROM ({_ADMISSION}\n{select}) admission"
+
+
 EXTRA_SQL = {
+    "reserve_orders": _admission("SELECT order_id, created_at, reserved, reason FROM decided"),
+    "stream_reservations": _admission("SELECT CAST(order_id AS VARCHAR) AS order_id, created_at, reserved, reason FROM decided"),
+    "stream_reservation_state": _admission("SELECT CAST(order_id AS VARCHAR) AS order_id, created_at, reserved, reason FROM decided"),
+    "reservation_failed_lines": _admission("""
+        SELECT order_id, created_at, CAST(bad.position AS INTEGER) AS position, bad.sku AS sku, bad.qty AS qty, left_over AS available,
+               CASE WHEN bad.i IS NULL THEN 'unknown_sku' ELSE 'insufficient_stock' END AS reason,
+               CASE WHEN bad.i IS NULL THEN 'Product ' || bad.sku || ' not found in inventory'
+                    ELSE 'Insufficient stock for ' || bad.sku || '. Available: ' || left_over || ', Requested: ' || bad.qty END AS error
+        FROM decided WHERE NOT reserved"""),
+    "stream_reserved_stock": _admission("""
+        SELECT s.sku, s.x - coalesce(t.qty, 0) AS available, CAST(coalesce(t.qty, 0) AS BIGINT) AS taken
+        FROM stock s LEFT JOIN (SELECT sku, sum(l.qty) AS qty FROM lines l JOIN decided d ON d.order_id = l.order_id AND d.reserved GROUP BY sku) t USING (sku)"""),
     "reserve_lines": _fold_sql(
         """SELECT l.line_id AS txn_id, CAST(l.l_partkey AS VARCHAR) AS key, -CAST(l.l_quantity AS BIGINT) AS delta, o.o_orderdate AS ts
            FROM line_ids l JOIN orders o ON o.o_orderkey = l.l_orderkey""",

@@ -14,6 +14,7 @@ from ..session import ensure_session_conf
 from ..sources import events as ev
 from ..sources import tables
 from ..sources.tables import Warehouse
+from .stored import stored_queries
 
 # Fixed evaluation instants of the test data: events span January 2024, orders
 # 1995-01-01 .. 2001-08-01.
@@ -195,6 +196,7 @@ QUERIES: dict[str, Query] = {
 
 def queries() -> dict[str, Query]:
     out = dict(QUERIES)
+    out.update({k: _q(fn) for k, fn in stored_queries(EVENT_AS_OF, ORDER_AS_OF).items()})
     from . import extra
     out.update(extra.EXTRA_QUERIES)
     return out

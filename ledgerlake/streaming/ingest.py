@@ -45,6 +45,9 @@ from ..sources.sinks import overwrite_partitions
 
 log = logging.getLogger(__name__)
 
+#: Rows of a batch that one task writes to a log.
+ROWS_PER_FILE = 1_000_000
+
 
 def read_event_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming DataFrame of raw messages from JSON-lines files under ``path``."""
@@ -134,8 +137,8 @@ class IngestJob:
                 ("order_events", "stock_events", "invoice_events", "quarantine", "sales_by_hour",
                  "invoices", "ledger_entries", "reservations", "reserved_qty", "outbox", "pending")}
 
-    def _append(self, df: DataFrame, name: str, batch_id: int, parts=("event_date", "batch_id")) -> None:
-        overwrite_partitions(df.withColumn("batch_id", F.lit(batch_id)), self.paths[name], *parts)
+    def _append(self, df: DataFrame, name: str, batch_id: int, parts=("event_date", "batch_id"), files: int = 1) -> None:
+        overwrite_partitions(df.withColumn("batch_id", F.lit(batch_id)), self.paths[name], *parts, files=files, deal=parts != ("batch_id",))
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -146,9 +149,11 @@ class IngestJob:
             orders = ev.order_log_rows(batch)
             created = orders.filter(F.col("event_type") == "order_created")
             if self.analytics:
-                self._append(orders, "order_events", batch_id)
-                self._append(ev.stock_log_rows(batch), "stock_events", batch_id)
-                self._append(ev.invoice_log_rows(batch), "invoice_events", batch_id)
+                # A batch of one date is dealt to several tasks.
+                files = -(-batch.count() // ROWS_PER_FILE) or 1
+                self._append(orders, "order_events", batch_id, files=files)
+                self._append(ev.stock_log_rows(batch), "stock_events", batch_id, files=files)
+                self._append(ev.invoice_log_rows(batch), "invoice_events", batch_id, files=files)
                 self._append(ev.quarantine_rows(batch), "quarantine", batch_id, parts=("batch_id",))
                 log.debug("batch %d: logs %.2fs", batch_id, time.perf_counter() - t0)
             if self.inventory is not None:
@@ -202,7 +207,7 @@ class IngestJob:
         held = messages.join(seen.filter("n < of").select("order_id"), "order_id", "left_semi")
         marker = spark.createDataFrame([(None,)], "order_id string").select(
             *[F.lit(None).cast(messages.schema[c].dataType).alias(c) for c in messages.columns])
-        overwrite_partitions(held.unionByName(marker).withColumn("batch_id", F.lit(batch_id)), self.paths["pending"], "batch_id")
+        overwrite_partitions(held.unionByName(marker).withColumn("batch_id", F.lit(batch_id)), self.paths["pending"], "batch_id", deal=False)
         orders = seen.filter("n >= of").select("order_id", "arrival")
         if orders.limit(1).count() == 0:
             return
@@ -230,11 +235,11 @@ class IngestJob:
                                 F.when(F.col("reason") == "unknown_key", "unknown_sku")
                                  .when(F.col("reason") == "insufficient", "insufficient_stock").alias("reason"))
                      .unionByName(empty).withColumn("batch_id", F.lit(batch_id)))
-        overwrite_partitions(decisions, self.paths["reservations"], "batch_id")
+        overwrite_partitions(decisions, self.paths["reservations"], "batch_id", deal=False)
         dec_t = spark.read.parquet(self.paths["reservations"]).filter(F.col("batch_id") == batch_id)
         per_line = items.join(dec_t.select("order_id", "reserved", "reason", "arrival"), "order_id")
         admitted = per_line.filter("reserved").groupBy("sku").agg(F.sum("qty").cast("long").alias("qty"))
-        overwrite_partitions(admitted.withColumn("batch_id", F.lit(batch_id)), self.paths["reserved_qty"], "batch_id")
+        overwrite_partitions(admitted.withColumn("batch_id", F.lit(batch_id)), self.paths["reserved_qty"], "batch_id", deal=False)
         # Publish the outcome as messages (one per line): the outbox is the
         # broker-facing sink; the analytics consumer ingests it like any event.
         outcome = F.when(F.col("reserved"), "stock_reserved").otherwise("reservation_failed")
@@ -246,7 +251,7 @@ class IngestJob:
             "reason": F.col("reason"),
             "timestamp": ev.iso(F.col("arrival")),
         })
-        overwrite_partitions(msgs.withColumn("batch_id", F.lit(batch_id)), self.paths["outbox"], "batch_id")
+        overwrite_partitions(msgs.withColumn("batch_id", F.lit(batch_id)), self.paths["outbox"], "batch_id", deal=False)
 
     def rebuild_sales(self) -> None:
         """Rebuild the hourly rollup from the whole order log (every date is
