@@ -3,7 +3,8 @@
 The tokenizer splits a text before merging, and none of its pre-tokens spans a
 change from a non-space to a white-space character.  A text can therefore be
 cut at every such change, each unit encoded on its own, and the ids joined:
-the result equals encoding the whole text (tests/llm checks this).  Natural
+the result equals encoding the whole text (tests/llm checks this).  Texts that hold an added
+token (as ``<|endoftext|>``) go to the tokenizer whole.  Natural
 text repeats its units, so a worker has each word with the blank in front
 encoded once, and looks it up by a hash of its bytes (see ``hashed_words``) for
 a whole column at a time.  The worker's table is bounded: beyond ``MEMO_WORDS``
@@ -91,8 +92,9 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype(f"<u{width}")
+        #: Added tokens stand for themselves wherever they are: texts that hold one are encoded whole.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         size = self.tokenizer.get_vocab_size()
         self.blank_first = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self._clear()
@@ -128,6 +130,8 @@ class UnitEncoder:
     def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         blanks = np.flatnonzero(data == 0x20)
         odd = _odd_rows(data, offsets, blanks)
+        special = self._special_rows(data, offsets)
+        odd[special] = True
         splits = np.sort(np.concatenate([blanks, _plain_breaks(data, offsets)]), kind="stable")
         starts, ends, words = hashed_words.cut(data, offsets, splits)
         # A word's kind is what stands in front: nothing at a text's head, a blank, or a line break.
@@ -162,7 +166,7 @@ class UnitEncoder:
             for k, n in enumerate(counts.tolist()):
                 if odd[k]:
                     text = data[offsets[k]:offsets[k + 1]].tobytes().decode()
-                    parts.append(np.frombuffer(b"".join(self.whole(_UNITS.findall(text))), self.dtype))
+                    parts.append(np.frombuffer(b"".join(self.whole([text] if k in special else _UNITS.findall(text))), self.dtype))
                     counts[k] = len(parts[-1])
                 else:
                     parts.append(ids[at:at + n])
@@ -170,6 +174,20 @@ class UnitEncoder:
             ids = np.concatenate(parts)
         return ids, counts
 
+    def _special_rows(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Texts that hold an added token."""
+        raw, rows = data.tobytes(), set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(token) <= offsets[row + 1]:
+                    rows.add(row)
+                    at = raw.find(token, int(offsets[row + 1]))
+                else:  # its bytes are parted over two texts
+                    at = raw.find(token, at + 1)
+        return sorted(rows)
+
     def _learn(self, keys: np.ndarray, words: list[str], kinds: list[int]) -> None:
         """Take new words into the table, encoded with what their kind has in front."""
         after = self.after_blank([w for w, k in zip(words, kinds, strict=True) if k == BLANK and w])
