@@ -331,9 +331,13 @@ def trained(pages: Iterable[str], epochs: int = EPOCHS, seed: int = SEED) -> Lab
 
 
 def sample_pages(pages: DataFrame, html: str = "html", most: int = TRAIN_PAGES, most_chars: int = TRAIN_CHARS) -> list[str]:
-    """At most ``most`` pages of at most ``most_chars`` characters, the same ones at every run."""
+    """At most ``most`` different pages of at most ``most_chars`` characters, the same ones at every run.  They are
+    chosen by their hashes, so that tasks send numbers and not their own ``most`` pages."""
     rows = pages.select(pages[html].cast("string").alias("html")).where((F.length("html") > 0) & (F.length("html") <= most_chars))
-    return [r.html for r in rows.orderBy(F.xxhash64("html"), "html").limit(most).collect()]
+    rows = rows.withColumn("h", F.xxhash64("html"))
+    chosen = [r.h for r in rows.select("h").distinct().orderBy("h").limit(most).collect()]
+    got = rows.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("html").alias("html")).collect() if chosen else []
+    return [r.html for r in sorted(got, key=lambda r: r.h)]
 
 
 def groups(sizes: list[int], most: int = 96, cells: int = CELLS) -> Iterable[tuple[int, int]]:

@@ -180,3 +180,15 @@ def test_a_very_long_page_runs_alone():
     assert [a for a, _ in runs] == [0, *(b for _, b in runs[:-1])] and runs[-1][1] == len(sizes)
     assert all(b - a <= 96 and (b - a == 1 or (b - a) * sizes[b - 1] <= R.CELLS) for a, b in runs)
     assert runs[-2:] == [(298, 299), (299, 300)] and list(R.groups([])) == []
+
+
+def test_training_samples_are_bounded(spark):
+    """A repeated key gives one text, and copies of a page one page."""
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(60)] + [(7, f"copy {k}") for k in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    got = C.training_rows(docs, labels, 10, 10)
+    assert 0 < len(got) <= 20
+    pages = spark.createDataFrame([("<p>same</p>",)] * 300 + [(f"<p>{k}</p>",) for k in range(20)], "html string")
+    sample = R.sample_pages(pages, most=15)
+    assert len(sample) == len(set(sample)) == 15 and sample == R.sample_pages(pages.repartition(5), most=15)
+    assert R.sample_pages(pages.limit(0)) == []
