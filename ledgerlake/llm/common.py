@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-__all__ = ["arrow_map", "broadcast_if_small", "key_and_text", "rewritten", "scratch_path", "table", "one_of_repeats"]
+__all__ = ["broadcast_if_small", "give_back", "key_and_text", "lean", "rewritten", "slices", "scratch_path", "table", "one_of_repeats"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +42,35 @@ def broadcast_if_small(written: DataFrame, most: int = MOST_BROADCAST) -> DataFr
     return F.broadcast(written) if written.count() <= most else written
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+ArrowMap = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def give_back() -> None:
+    """Return memory that is free, but held by Arrow's pool and the C library, to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(fn: ArrowMap) -> ArrowMap:
+    """A map after which its worker, which Spark keeps for later tasks, is as small as before."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows: what is made of a batch as Python objects stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
 def one_of_repeats(docs: DataFrame, repeated: Column, key: list[Column]) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import hashed_words
-from .common import key_and_text
+from .common import key_and_text, lean
 from .tokens import tokenizer_path
 
 MODEL_FILE = "piece_bpe_32k.model"
@@ -498,4 +498,4 @@ def segmentations(docs: DataFrame, samples: int = SAMPLES, key: str = "doc_id",
     """Per row and sample: doc_id, sample (0 is the best), n_pieces, ids_crc32, text_crc32 (of the
     decoded text), log_prob, log_inclusion; ``with_ids`` adds the ids."""
     run = _segmenter(path or tokenizer_path(MODEL_FILE), samples, alpha, seed, with_ids)
-    return key_and_text(docs, key, text).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+    return key_and_text(docs, key, text).mapInArrow(lean(run), SCHEMA + ", ids array<int>" * with_ids)

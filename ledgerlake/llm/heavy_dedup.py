@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_and_text, one_of_repeats, rewritten
+from .common import key_and_text, lean, one_of_repeats, rewritten
 
 #: Frequent digests looked for: bounds a task's summary and the broadcast (1024 x 48 bytes).
 COUNTERS = 1024
@@ -59,7 +59,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def frequent(table: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """Exact (digest, keep_id, n, n_same) of at most ``counters`` frequent digests."""
-    summary = table.select("digest").mapInArrow(_summaries(counters), "digest binary, low long")
+    summary = table.select("digest").mapInArrow(lean(_summaries(counters)), "digest binary, low long")
     ahead = (summary.groupBy("digest").agg(F.sum("low").alias("low")).where("low > 1")
              .orderBy(F.desc("low"), "digest").limit(counters).select("digest"))
     return _decided(table.join(F.broadcast(ahead), "digest", "left_semi"))

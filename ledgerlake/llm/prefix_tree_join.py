@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashed_words
-from .common import MOST_BROADCAST, broadcast_if_small, key_and_text, one_of_repeats, rewritten
+from .common import MOST_BROADCAST, broadcast_if_small, key_and_text, lean, one_of_repeats, rewritten
 from .components import components
 
 #: Frequent n-grams that the order knows (broadcast with the tasks: 4 MB).
@@ -451,7 +451,7 @@ def _meetings(percent: int, meet):
 def _meet(rows: DataFrame, percent: int, meet) -> DataFrame:
     """``rows``: bucket, block, class, grams, comp, size."""
     return (rows.select("bucket", "block", "class", "grams", "comp", F.col("size").cast("long")).repartition("bucket", "block")
-            .sortWithinPartitions("bucket", "block").mapInArrow(_meetings(percent, meet), "class long, root long"))
+            .sortWithinPartitions("bucket", "block").mapInArrow(lean(_meetings(percent, meet)), "class long, root long"))
 
 
 def _packed(batches):
@@ -480,7 +480,7 @@ def jaccard_classes(docs: DataFrame, n: int, percent: int, key: str = "doc_id",
                     most_broadcast: int = MOST_BROADCAST) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, text_key, size, class), (class, component class) of classes that met any other."""
     rows = key_and_text(docs, key, text).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.col("text").cast("binary").alias("text"))
-    table = rewritten(rows.mapInArrow(_summaries(n), "doc_id long, text_key long, size long, class long"), "sets")
+    table = rewritten(rows.mapInArrow(lean(_summaries(n)), "doc_id long, text_key long, size long, class long"), "sets")
     top = (table.where("class IS NULL").groupBy("text_key").agg(F.sum("size").alias("times"))
            .orderBy(F.desc("times"), "text_key").limit(heavy_grams).collect())
     order = sorted((r.times, r.text_key & ((1 << 64) - 1)) for r in top)
@@ -490,7 +490,7 @@ def jaccard_classes(docs: DataFrame, n: int, percent: int, key: str = "doc_id",
     documents = table.where("class IS NOT NULL")
 
     # Prefix n-grams that two classes or more share.
-    prefixes = rows.select("text").mapInArrow(_prefixes(n, percent, heavy, rank), "gram long, class long, size int, spread short")
+    prefixes = rows.select("text").mapInArrow(lean(_prefixes(n, percent, heavy, rank)), "gram long, class long, size int, spread short")
     alike = Window.partitionBy("gram", "spread")
     shared = rewritten(prefixes.select("*", F.min("class").over(alike).alias("low"), F.max("class").over(alike).alias("high"))
                        .where((F.col("low") != F.col("high")) | (F.col("spread") >= 0)).select("gram", "class", "size").distinct(), "shared")
@@ -513,7 +513,7 @@ def jaccard_classes(docs: DataFrame, n: int, percent: int, key: str = "doc_id",
     buckets = of_gram.groupBy("members", "low", "high", "sign").agg(F.min(flipped).alias("bucket")).select("bucket", "members")
     inside = shared.select(flipped, "class", "size").join(buckets.select("bucket", F.ceil(2 * F.col("members") / block_sets).alias("blocks")), "bucket")
     prefix = rewritten(shared.groupBy("class", "size").agg(F.collect_list("gram").alias("grams")).select("class", "grams", F.col("size").cast("long"))
-                       .mapInArrow(_packed, "class long, grams binary, size long"), "prefixes")
+                       .mapInArrow(lean(_packed), "class long, grams binary, size long"), "prefixes")
     met = _meet(_paired_blocks(inside).join(prefix.drop("size"), "class").withColumn("comp", F.lit(0).cast("long")), percent, _candidates)
     partners = rewritten(met.select("class", F.col("root").alias("bucket")).distinct().join(inside.select("class", "bucket", "size"), ["class", "bucket"]), "partners")
 
@@ -525,7 +525,7 @@ def jaccard_classes(docs: DataFrame, n: int, percent: int, key: str = "doc_id",
     wanted = rewritten(chosen.select("class").join(one, "class").select("class", F.col("of.text_key").alias("text_key"), F.col("of.doc_id").alias("d")), "wanted")
     wanted = broadcast_if_small(wanted, most_broadcast)
     of_text = rows.join(wanted, (rows["text_key"] == wanted["text_key"]) & rows["doc_id"].eqNullSafe(wanted["d"])).select("class", "text")
-    sets = rewritten(of_text.mapInArrow(_sets(n, heavy, rank), "class long, grams binary").dropDuplicates(["class"]), "grams")
+    sets = rewritten(of_text.mapInArrow(lean(_sets(n, heavy, rank)), "class long, grams binary").dropDuplicates(["class"]), "grams")
 
     component, left = None, chosen
     while True:

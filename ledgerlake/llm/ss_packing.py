@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import key_and_text
+from .common import key_and_text, lean
 from .tokens import encoder, tokenizer_path, with_end
 
 WINDOW = 1024
@@ -173,4 +173,4 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A sequence shorter than ``window`` has a power of two as its length."""
-    return key_and_text(docs, key, text).mapInArrow(_packer(path or tokenizer_path(), window), SCHEMA)
+    return key_and_text(docs, key, text).mapInArrow(lean(_packer(path or tokenizer_path(), window)), SCHEMA)

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import key_and_text, scratch_path
+from .common import key_and_text, lean, scratch_path
 from .tokens import encoder, tokenizer_path, with_end
 
 MAGIC = b"WMIDS001"
@@ -229,7 +229,7 @@ def write_ids(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "te
     shards = max(1, -(-size // shard_bytes))
     run = _writer(folder, path or tokenizer_path())
     done = (rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-            .mapInArrow(run, "shard int, tokens long"))
+            .mapInArrow(lean(run), "shard int, tokens long"))
     index = scratch_path(docs.sparkSession, "wavelet-index")
     done.write.parquet(index)
     return docs.sparkSession.read.schema("shard int, tokens long").parquet(index)
@@ -255,7 +255,7 @@ def read_documents(spark: SparkSession, folder: str, index: DataFrame) -> DataFr
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.wm").load(folder)
              .select("content", F.regexp_extract("path", r"shard-(\d+)\.wm$", 1).cast("int").alias("shard")))
     return (files.join(F.broadcast(base), "shard").select("content", "base")
-            .mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long"))
+            .mapInArrow(lean(_reader), "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def wavelet_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, folder: str | None = None) -> DataFrame:

@@ -201,3 +201,25 @@ def test_few_contexts_are_decided(docs_of):
     assert len(terms[3010]) == 1  # a copy changes nothing
     assert not any(terms[3020 + k] for k in range(40))  # chance, beside an entity of forty texts
     assert not any(v for k, v in terms.items() if k < 2500)
+
+
+def test_base_spans_are_the_patterns_matches():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(20000):
+        text = "".join(rng.choices("a1@.-+%_ é2550", k=rng.randint(0, 24)))
+        want = [(*m.span(), "email") for m in D.EMAIL.finditer(text)]
+        want += [(*m.span(), "ip") for m in D.IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert [s for s in D.base_spans(text) if s[2] in ("email", "ip")] == want
+
+
+def test_base_scan_of_long_runs_is_linear():
+    import time
+
+    began = time.process_time()
+    n = 2_000_000
+    for text, spans in (("@" + "a" * n, 0), ("1" * n + "...", 0), ("x 1.2.3." + "0" * 5000 + "1 y", 1), ("1.2.3." + "9" * 5000, 0), ("a@" * n, 0),
+                        ("+" + "1 " * n, 0), ("4" * n, 0), ("1." * n, n // 4)):
+        assert len(D.base_spans(text)) == spans
+    assert time.process_time() - began < 30
