@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-__all__ = ["broadcast_if_small", "give_back", "key_and_text", "lean", "rewritten", "slices", "scratch_path", "table", "one_of_repeats"]
+__all__ = ["broadcast_if_small", "drop_shuffles", "give_back", "key_and_text", "lean", "rewritten", "slices", "scratch_path", "table", "one_of_repeats"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +30,17 @@ def rewritten(df: DataFrame, name: str, *, partition: tuple = ()) -> DataFrame:
     cuts the lineage, and a lost executor costs only the tasks it ran."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    drop_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now: it does so when the driver collects the steps'
+    plans as garbage, which by itself may come long after the disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows of a table of a few numbers each that is broadcast (some 50 MB with its hash table).
 MOST_BROADCAST = 500_000
 
