@@ -1,9 +1,9 @@
 """Orders: totals, flattened order details, current status, transitions.
 
-Nested per-order arrays (``json_agg`` in the source view) are not built here:
-one order's items would have to meet in one task and one row, which does not
-hold when a single order may carry a large share of all lines.  The detail is
-returned flattened, one row per item with its ordering columns
+Nested per-order arrays (``json_agg`` in the source view) are built in bounded chunks
+(``nested_order_items``): a whole order's items would have to meet in one task and one
+row, which does not hold when a single order may carry a large share of all lines.  The
+detail is returned flattened, one row per item with its ordering columns
 (``item_created_at``, ``line_number``).
 """
 
@@ -44,6 +44,25 @@ def order_details(orders: DataFrame, customers: DataFrame, order_items: DataFram
         "created_at", "item_created_at", "line_number", "sku", "product_name", "qty", "line_total")
 
 
+#: Items of a nested chunk at most.
+CHUNK_ITEMS = 100
+
+
+def nested_order_items(order_items: DataFrame, per_chunk: int = CHUNK_ITEMS) -> DataFrame:
+    """An order's items as JSON arrays in order of their ``position`` (from 1), in chunks of ``per_chunk`` items.
+
+    Positions come from the skew-safe running count, so the items of an order of any size are cut
+    before anything is collected: a chunk bounds a row, and a hot order's chunks are spread."""
+    from ..functions.prefix import grouped_prefix_sums
+    order_cols = ["created_at", "line_number", "sku", "qty", "line_total"]
+    lines = order_items.select("order_id", *order_cols, F.lit(1).cast("long").alias("one"))
+    placed = grouped_prefix_sums(lines, ["order_id"], order_cols, ["one"])
+    item = F.struct((F.col("one_before") + 1).cast("int").alias("position"), "sku", "qty", "line_total")
+    chunks = (placed.groupBy("order_id", F.floor(F.col("one_before") / per_chunk).cast("int").alias("chunk"))
+              .agg(F.array_sort(F.collect_list(item)).alias("items")))
+    return chunks.select("order_id", "chunk", F.size("items").alias("n_items"), F.to_json("items").alias("items"))
+
+
 def order_by_id(orders: DataFrame, order_items: DataFrame, order_id) -> DataFrame:
     """Point lookup of one order with its items; the key filter is pushed into
     both scans (Parquet min/max statistics skip row groups)."""

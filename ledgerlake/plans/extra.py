@@ -8,6 +8,8 @@ under the shared checkpoint folder, run the ingest job with
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,11 @@ from ..functions.prefix import grouped_prefix_sums
 from ..operators import reservation as rsv
 from ..session import ensure_session_conf, scratch_path
 from ..sources import events as ev
+from ..sources.event_log import EventLog
 from ..sources.tables import Warehouse
 from ..operators import sales
 from ..sources.sinks import export_csv, read_csv
+from ..streaming.late import WindowedSales
 from ..streaming.reservations import ReservationConsumer
 from ..streaming.ingest import IngestJob, dedup_stream, read_event_stream, write_messages
 
@@ -153,6 +157,53 @@ def stream_reserved_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dropped_reservations(spark, sf_dir).stock.read().select("sku", (F.col("x0") - F.col("taken")).alias("available"), "taken")
 
 
+def _event_drops(w: Warehouse, root: str, drops: int = 4):
+    """The inbox after each drop of a share of the messages (by event id; each share has events of all days)."""
+    for k in range(drops):
+        write_messages(ev.emit_raw_events(w.raw("events").where(F.col("event_id") % drops == k)), f"{root}/inbox")
+        yield f"{root}/inbox"
+
+
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a watermark of two hours drops of a stream in four drops: a report row for each batch."""
+    ensure_session_conf(spark)
+    w = Warehouse(spark, sf_dir)
+    root = scratch_path(spark, "late")
+    job = WindowedSales(spark, f"{root}/store", f"{root}/checkpoint")
+    for inbox in _event_drops(w, root):
+        job.run_available(read_event_stream(spark, inbox))
+    return job.report()
+
+
+def _order_log(spark: SparkSession, sf_dir: str) -> EventLog:
+    """The order log in twelve batches, compacted along the way."""
+    w = _wh(spark, sf_dir)
+    rows = ev.order_log_rows(ev.decode_events(ev.emit_raw_events(w.raw("events")))).withColumn("k", F.pmod(F.xxhash64("event_key"), F.lit(12)))
+    path = scratch_path(spark, "log-rows")
+    rows.write.parquet(path)
+    rows = spark.read.parquet(path)
+    log = EventLog(spark, scratch_path(spark, "order-log"), rows.drop("k").schema)
+    for k in range(12):
+        log.append(rows.where(F.col("k") == k).drop("k"), "drops", k, dt.datetime(2024, 2, 1, k))
+        if k % 4 == 3:
+            log.compact(2)
+    return log
+
+
+def logged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the log with its ids checked: per date the rows, and over all the least and most id and how many there are."""
+    rows = _order_log(spark, sf_dir).read()
+    ids = rows.agg(F.min("id").alias("least_id"), F.max("id").alias("most_id"), F.countDistinct("id").alias("ids"))
+    return rows.groupBy("event_date").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("total_amount").cast("decimal(24,2)").alias("total"),
+                                          F.count("processed_at").alias("processed")).crossJoin(F.broadcast(ids))
+
+
+def stored_product_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One SKU of the stored snapshot by its key: one segment is opened."""
+    from .stored import _stock_store
+    return _stock_store(_wh(spark, sf_dir)).stock.lookup(sku="7")
+
+
 def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export the daily order volume as CSV with a header and read it back."""
     w = _wh(spark, sf_dir)
@@ -242,6 +293,9 @@ EXTRA_QUERIES = {
     "stream_events": stream_events,
     "explode_order_items": explode_order_items,
     "csv_export": csv_export,
+    "stream_late_rows": stream_late_rows,
+    "logged_orders": logged_orders,
+    "stored_product_lookup": stored_product_lookup,
     "reserve_orders": reserve_orders,
     "stream_reservations": stream_reservations,
     "reservation_failures": reservation_failures,
@@ -313,6 +367,19 @@ def _admission(select: str) -> str:
 
 
 EXTRA_SQL = {
+    "stream_late_rows": """
+        WITH e AS (SELECT event_id % 4 AS batch, ts FROM events WHERE event_type = 'purchase'),
+        newest AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch) AS newest FROM e GROUP BY batch),
+        marks AS (SELECT batch, lag(newest) OVER (ORDER BY batch) - INTERVAL 120 MINUTE AS watermark FROM newest)
+        SELECT CAST(batch AS INTEGER) AS batch_id, watermark,
+               count(*) FILTER (WHERE watermark IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > watermark) AS in_time,
+               count(*) FILTER (WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= watermark) AS dropped
+        FROM e JOIN marks USING (batch) GROUP BY batch, watermark""",
+    "logged_orders": """
+        SELECT CAST(event_timestamp AS DATE) AS event_date, count(*) AS n_rows, CAST(sum(total_amount) AS DECIMAL(24,2)) AS total, count(*) AS processed,
+               CAST(1 AS BIGINT) AS least_id, (SELECT count(*) FROM m_order_events) AS most_id, (SELECT count(*) FROM m_order_events) AS ids
+        FROM m_order_events GROUP BY 1""",
+    "stored_product_lookup": "SELECT * FROM d_snap WHERE sku = '7'",
     "reserve_orders": _admission("SELECT order_id, created_at, reserved, reason FROM decided"),
     "stream_reservations": _admission("SELECT CAST(order_id AS VARCHAR) AS order_id, created_at, reserved, reason FROM decided"),
     "stream_reservation_state": _admission("SELECT CAST(order_id AS VARCHAR) AS order_id, created_at, reserved, reason FROM decided"),

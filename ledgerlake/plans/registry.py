@@ -162,6 +162,7 @@ QUERIES: dict[str, Query] = {
     "order_totals": _q(lambda w: orders.order_totals(w.order_items)),
     "order_details": _q(lambda w: orders.order_details(w.orders, w.customers, w.order_items, w.products)),
     "order_by_id": _q(lambda w: orders.order_by_id(w.orders, w.order_items, LOOKUP_ORDER_ID)),
+    "nested_order_items": _q(lambda w: orders.nested_order_items(w.order_items, 3)),
     "orders_with_items": _q(lambda w: orders.orders_with_items(w.orders, w.order_items)),
     "price_order_items": _q(lambda w: orders.price_order_items(tables.with_unknown_keys(w.order_items), w.products)),
     "price_known_items": _q(lambda w: orders.price_known_items(tables.with_unknown_keys(w.order_items), w.products)),

@@ -144,6 +144,16 @@ class VersionedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*folders)
 
+    def lookup(self, **key) -> DataFrame:
+        """The rows of one key: only its segment is opened, and of that the row groups that admit the key
+        by their statistics (rows are sorted by key) and Bloom filters."""
+        one = self.spark.createDataFrame([tuple(key[k] for k in self.key)], StructType([self.schema[k] for k in self.key]))
+        rows = self.read(segments=self.touched(one))
+        for k in self.key:
+            rows = rows.where(F.col(f"`{k}`").eqNullSafe(F.lit(key[k]).cast(self.schema[k].dataType)) if key[k] is None
+                              else F.col(f"`{k}`") == F.lit(key[k]).cast(self.schema[k].dataType))
+        return rows
+
     # --- writing ---------------------------------------------------------------
 
     def _write(self, df: DataFrame) -> tuple[dict[str, str], dict[str, int]]:
@@ -151,7 +161,10 @@ class VersionedTable:
         commit = f"data/{uuid.uuid4().hex}"
         order = [F.col(_SEGMENT), *[F.col(f"`{k}`") for k in self.key]]
         rows = df.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema], self._segment.alias(_SEGMENT))
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(_SEGMENT).parquet(f"{self.path}/{commit}")
+        write = rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(_SEGMENT)
+        for k in self.key[:1]:  # a lookup skips the row groups whose Bloom filter has not the key
+            write = write.option(f"parquet.bloom.filter.enabled#{k}", "true")
+        write.parquet(f"{self.path}/{commit}")
         folders = {n.split("=", 1)[1]: f"{commit}/{n}" for n in self.files.names(f"{self.path}/{commit}") if n.startswith(f"{_SEGMENT}=")}
         if not folders:
             return {}, {}

@@ -75,6 +75,21 @@ def dedup_stream(decoded: DataFrame, watermark: str | None = None) -> DataFrame:
             .drop("_evt_ts"))
 
 
+#: Spark's state store on local disk, with changelogs under the checkpoint: keys don't take heap.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Streams started from here on keep their state (the set of seen keys, above all) in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def seen_keys(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The keys that a deduplicating stream remembers now, read back from its state (operator 0)."""
+    return spark.read.format("statestore").load(checkpoint).select("key.*")
+
+
 def touched_log(spark: SparkSession, log_path: str, touched: DataFrame) -> DataFrame:
     """The order log restricted to the touched dates: the range of dates (one
     row) prunes folders at planning, the semi-join drops the dates between."""
@@ -130,6 +145,8 @@ class IngestJob:
     # order id) is kept in the state store, so a consumer acting per order
     # (billing) needs no lookup of what earlier batches already produced.
     idempotency: str = "event"
+    # Seen keys in RocksDB instead of the executors' heap; with ``dedup_watermark`` they are bounded in time, too.
+    rocksdb: bool = False
 
     @property
     def paths(self) -> dict[str, str]:
@@ -263,6 +280,8 @@ class IngestJob:
 
     def start(self, raw_stream: DataFrame, available_now: bool = True,
               processing_time: str | None = None) -> StreamingQuery:
+        if self.rocksdb:
+            use_rocksdb(self.spark)
         decoded = ev.decode_events(raw_stream)
         if self.idempotency == "order":
             decoded = decoded.withColumn("event_key", F.coalesce(
