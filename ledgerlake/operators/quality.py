@@ -119,6 +119,14 @@ def orders_without_items(orders: DataFrame, order_items: DataFrame) -> DataFrame
     return orders.join(order_items.select(F.col("order_id").alias("id")).distinct(), "id", "left_anti")
 
 
+def valid_references(child: DataFrame, references: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """The rows of ``child`` all of whose references exist: column -> (parent, its key).  Semi-joins, so a
+    repeated parent key repeats no row; null references are not valid."""
+    for column, (parent, key) in references.items():
+        child = child.join(parent.select(F.col(key).alias(column)), column, "left_semi")
+    return child
+
+
 def orphans(customers: DataFrame, products: DataFrame, inventory_items: DataFrame,
             orders: DataFrame, order_items: DataFrame, invoices: DataFrame) -> DataFrame:
     """Foreign-key orphan counts (anti-joins) per relation."""

@@ -109,8 +109,8 @@ def explode_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """order_created messages with items -> stream -> stock reservation in
-    foreachBatch, in as many micro-batches as there are files (an order's parts may
-    come in different ones)."""
+    foreachBatch, all in one micro-batch, so that orders are decided in order of arrival over all
+    (``stream_reservation_state`` carries its state over several)."""
     ensure_session_conf(spark)
     w = Warehouse(spark, sf_dir)
     root = scratch_path(spark, "reserve-stream")

@@ -177,6 +177,12 @@ QUERIES: dict[str, Query] = {
     "quality_violations": _q(lambda w: quality.quality_violations(_faulty_tables(w))),
     "orphans": _q(lambda w: quality.orphans(w.customers, w.products, w.inventory_items, w.orders,
                                             tables.with_unknown_keys(w.order_items), w.invoices)),
+    "valid_order_items": _q(lambda w: quality.valid_references(
+        tables.with_unknown_keys(w.order_items), {"order_id": (w.orders, "id"), "sku": (w.products, "sku")})
+        .select("order_id", "line_number", "sku", "qty", "line_total")),
+    "orders_without_items": _q(lambda w: quality.orders_without_items(w.orders, tables.with_unknown_keys(w.order_items))),
+    "uuid_violations": _q(lambda w: quality.violations(tables.with_public_ids(w.customers), [quality.uuid_rule("public_id")], "id")
+                          .select("row_key")),
     "upsert_latest": _q(_sales_upsert),
     "insert_if_absent": _q(_seed_hours),
     "audit_events": _q(lambda w: audit.audit_events(w.events_log, AUDIT_EVENT_TYPE)),

@@ -201,6 +201,13 @@ def with_unknown_keys(order_items: DataFrame) -> DataFrame:
             .withColumn("order_id", F.when(F.col("order_id") % 100 == 1, -F.col("order_id")).otherwise(F.col("order_id"))))
 
 
+def with_public_ids(customers: DataFrame) -> DataFrame:
+    """Customers with a public id in UUID form, of which some are cut short."""
+    h = F.md5(F.col("id").cast("string").cast("binary"))
+    whole = F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return customers.withColumn("public_id", F.when(F.col("id") % 50 == 7, F.substring(whole, 1, 30)).otherwise(whole))
+
+
 def with_missing_postings(ledger_entries: DataFrame) -> DataFrame:
     return ledger_entries.filter((F.col("account") != "revenue") | (F.col("ref_id") % 1000 != 3))
 

@@ -283,3 +283,11 @@ def test_earliest_of_repeated_orders_is_invoiced(spark):
                               "id long, total_amount decimal(14,2), created_at timestamp_ntz")
     inv = spark.createDataFrame([(2,)], "order_id long")
     assert [(r.id, r.amount) for r in ledger.generate_invoices(o, inv, "2024-02-01").collect()] == [(1, D("9.00"))]
+
+
+def test_valid_references_repeat_no_row(spark):
+    from ledgerlake.operators.quality import valid_references
+    child = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (3, "x"), (None, "a")], "o long, s string")
+    parents = spark.createDataFrame([(1,), (1,), (3,)], "id long"), spark.createDataFrame([("a",)], "k string")
+    got = valid_references(child, {"o": (parents[0], "id"), "s": (parents[1], "k")})
+    assert [(r.o, r.s) for r in got.collect()] == [(1, "a"), (1, "a")]
