@@ -123,7 +123,7 @@ def stream_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Drops of the stream whose consumer carries its state.
-DROPS = 4
+DROPS = 3
 
 
 def _dropped_reservations(spark: SparkSession, sf_dir: str) -> ReservationConsumer:

@@ -20,6 +20,15 @@ ITEMS = "order_id long, line_number int, sku string, qty int, line_total decimal
 STOCK = "sku string, qty_on_hand int, reserved_qty int"
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """So little data: fewer tasks a round."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def greedy(orders, items, stock):
     """Orders one by one, line by line: (order, reserved, failing line or None), and the stock left."""
     left = {s: h - r for s, h, r in stock}
