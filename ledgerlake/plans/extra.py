@@ -383,6 +383,11 @@ EXTRA_SQL = {
     "reserve_orders": _admission("SELECT order_id, created_at, reserved, reason FROM decided"),
     "stream_reservations": _admission("SELECT CAST(order_id AS VARCHAR) AS order_id, created_at, reserved, reason FROM decided"),
     "stream_reservation_state": _admission("SELECT CAST(order_id AS VARCHAR) AS order_id, created_at, reserved, reason FROM decided"),
+    "reservation_failures": _admission("""
+        SELECT 'orders.reservation_failed' AS subject,
+               '{"event_type":"reservation_failed","event_id":"rf-' || order_id || '","order_id":' || order_id || ',"reason":"' || reason
+               || '","timestamp":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') || '"}' AS data
+        FROM decided WHERE NOT reserved"""),
     "reservation_failed_lines": _admission("""
         SELECT order_id, created_at, CAST(bad.position AS INTEGER) AS position, bad.sku AS sku, bad.qty AS qty, left_over AS available,
                CASE WHEN bad.i IS NULL THEN 'unknown_sku' ELSE 'insufficient_stock' END AS reason,
