@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.prefix import grouped_prefix_sums
+from ..functions.prefix import grouped_prefix_sums, partitions_for
 from ..operators import reservation as rsv
 from ..session import ensure_session_conf, scratch_path
 from ..sources import events as ev
@@ -245,7 +245,7 @@ def _line_requests(w: Warehouse) -> DataFrame:
     neither file splits nor partitions."""
     place = ["l_shipdate", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"]
     li = w.raw("lineitem").select("l_orderkey", *place, F.lit(1).cast("long").alias("one"))
-    li = grouped_prefix_sums(li, ["l_orderkey"], place, ["one"])
+    li = grouped_prefix_sums(li, ["l_orderkey"], place, ["one"], num_partitions=partitions_for(li))
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     o = w.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
     return li.withColumn("line_id", F.concat_ws("-", pad(F.col("l_orderkey"), 12), pad(F.col("one_before") + 1, 6))).join(o, "l_orderkey")

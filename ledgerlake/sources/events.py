@@ -177,10 +177,10 @@ def emit_orders_with_items(orders: DataFrame, order_items: DataFrame,
     ``per_message`` items, so neither a message nor a grouping task grows
     with the size of one order.  Orders without lines send one empty part."""
     from ..functions.joins import left_join_hot_right
-    from ..functions.prefix import grouped_prefix_sums
+    from ..functions.prefix import grouped_prefix_sums, partitions_for
     order_cols = ["created_at", "line_number", "sku", "qty", "line_total"]
     lines = order_items.select("order_id", *order_cols, F.lit(1).cast("long").alias("one"))
-    numbered = grouped_prefix_sums(lines, ["order_id"], order_cols, ["one"])
+    numbered = grouped_prefix_sums(lines, ["order_id"], order_cols, ["one"], num_partitions=partitions_for(lines))
     item = F.struct(
         F.concat_ws("-", F.col("order_id").cast("string"), (F.col("one_before") + 1).cast("string")).alias("id"),
         (F.col("one_before") + 1).cast("int").alias("position"), "sku", "qty", "line_total",
