@@ -206,3 +206,20 @@ def test_no_private_folder_on_a_cluster(spark):
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             session.checkpoint_root(Session(**{"spark.master": master}))
     assert session.checkpoint_root(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///x/"})) == "hdfs:///x"
+
+
+def test_orders_of_one_time_are_decided_by_number(spark):
+    """Ids come as text in messages; 9 is before 10 all the same, in decisions and in failing lines."""
+    raw = ([(9, T0), (10, T0)], [(9, 1, "A", 7, Decimal("1.00"), T0), (10, 1, "A", 7, Decimal("1.00"), T0)], [("A", 10, 0)])
+    orders, items, stock = frames(spark, *raw)
+    root = scratch_path(spark, "t-number")
+    messages = ev.emit_orders_with_items(orders, items)
+    _drop(messages, root, "b0")
+    consumer = _consumer(spark, root, stock)
+    consumer.run_available(read_event_stream(spark, f"{root}/in/*"))
+    assert {r.order_id: r.reserved for r in spark.read.parquet(consumer.paths["reservations"]).collect()} == {"9": True, "10": False}
+    assert [(r.order_id, r.available) for r in spark.read.parquet(consumer.paths["failures"]).collect()] == [("10", 3)]
+    from ledgerlake.streaming.ingest import IngestJob
+    job = IngestJob(spark, store=f"{root}/job", checkpoint=f"{root}/job-ckpt", analytics=False, inventory=stock)
+    job.run_available(read_event_stream(spark, f"{root}/in/*"))
+    assert {r.order_id: r.reserved for r in spark.read.parquet(job.paths["reservations"]).collect()} == {"9": True, "10": False}
