@@ -103,5 +103,5 @@ def minimax_shards(docs: DataFrame, shards: int = 40, key: str = "doc_id", text:
     shard = sum((F.when(F.col("cell") >= c, 1).otherwise(0) for c in firsts), F.lit(0))
     ready = rows.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), F.lit(1).cast("long").alias("one"))
     return (grouped_prefix_sums(ready, ["shard"], ["doc_id", "text_crc32", "size"], ["one"], suffix="_before",
-                                scratch=scratch_path(docs.sparkSession, "slots"))
+                                scratch=scratch_path(docs.sparkSession, "slots"), native=True)
             .select("doc_id", "size", "text_crc32", "shard", F.col("one_before").cast("long").alias("slot")))

@@ -105,3 +105,18 @@ def test_misra_gries_keeps_frequent(batches, room):
     total = sum(true.values())
     assert all(v in counts for v, n in true.items() if n > total / (room + 1))
     assert all(n <= true[v] for v, n in counts.items())
+
+
+def test_shards_need_no_python_on_the_executors(spark, docs_of, monkeypatch):
+    """No step, written ones included, maps rows in Python; the slots stay gapless where few partitions hold a shard."""
+    docs = docs_of([(k, f"text {k % 70}") for k in range(400)])
+
+    def refused(*_, **__):
+        raise AssertionError("a map in Python")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, refused)
+    slots = defaultdict(list)
+    for r in M.minimax_shards(docs, 5).collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == 400
