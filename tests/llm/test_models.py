@@ -192,3 +192,39 @@ def test_training_samples_are_bounded(spark):
     sample = R.sample_pages(pages, most=15)
     assert len(sample) == len(set(sample)) == 15 and sample == R.sample_pages(pages.repartition(5), most=15)
     assert R.sample_pages(pages.limit(0)) == []
+
+
+@pytest.fixture(scope="module")
+def many_labelled(spark):
+    """9,000 labelled rows; the toxic ones beyond the first 3,000 by hash have a word of their own, all but one time."""
+    from pyspark.sql import functions as F
+    ids = spark.range(9000).select(F.col("id").alias("doc_id"), (F.col("id") % 9 < 4).cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
+    first = ids.where((F.col("toxic") == 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).orderBy("h").limit(3000).agg(F.max("h")).first()[0]
+    word = F.when(F.col("toxic") == 0, "pleasant").when(F.col("h") <= first, "nastyword").otherwise("zorblaxian")
+    rows = ids.select("doc_id", F.concat_ws(" ", F.lit("the talk was"), word, F.concat(F.lit("w"), F.col("doc_id") % 97)).alias("text"), "toxic")
+    rows = C.rewritten(rows, "many-labelled")
+    return rows.select("doc_id", "text"), rows.select("doc_id", "toxic")
+
+
+def test_every_labelled_row_is_learnt(spark, many_labelled):
+    docs, labels = many_labelled
+    net = C.learned(docs, labels)
+    a, b = C.Scorer(net).scores(["the talk was zorblaxian w5", "the talk was pleasant w5"])
+    assert a >= 0.5 > b
+    again = C.learned(docs.repartition(7), labels.repartition(2))
+    assert all((net.w[k] == again.w[k]).all() for k in net.w) and (net.thresholds == again.thresholds).all()
+
+
+def test_thresholds_over_all_rows_are_the_best(spark, many_labelled):
+    docs, labels = many_labelled
+    rows = docs.join(labels, "doc_id").where("doc_id < 700").withColumn("toxic", (C.F.xxhash64("text") % 3 == 0).cast("int"))
+    net = C.ConvNet()
+    C._calibrate(net, rows)
+    got = rows.collect()
+    parts = C.Scorer(net).parts([r.text for r in got])
+    x, y = np.array([x for x, _ in parts]), np.array([r.toxic for r in got], np.float32)
+
+    def f1(t):
+        return 2 * y[x >= t].sum() / ((x >= t).sum() + y.sum())
+
+    assert f1(net.thresholds[-1]) >= f1(C.best_threshold(x, y)) - 0.01
