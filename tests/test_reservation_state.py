@@ -223,3 +223,18 @@ def test_orders_of_one_time_are_decided_by_number(spark):
     job = IngestJob(spark, store=f"{root}/job", checkpoint=f"{root}/job-ckpt", analytics=False, inventory=stock)
     job.run_available(read_event_stream(spark, f"{root}/in/*"))
     assert {r.order_id: r.reserved for r in spark.read.parquet(job.paths["reservations"]).collect()} == {"9": True, "10": False}
+
+
+def test_messages_name_their_parts_and_carry_columns_beside(spark):
+    """Parts are counted from the lines' numbers; columns beside the messages say what their text says."""
+    import datetime as dt
+    import json
+
+    orders = spark.createDataFrame([(k, 1, "placed", 1.0, dt.datetime(2024, 1, 1, k)) for k in range(6)],
+                                   "id long, customer_id long, status string, total_amount double, created_at timestamp")
+    items = spark.createDataFrame([(k, dt.datetime(2024, 1, 2), j, f"s{j}", 1, 1.0) for k in range(5) for j in range(k)],
+                                  "order_id long, created_at timestamp, line_number int, sku string, qty int, line_total double")
+    got = ev.emit_orders_with_items(orders, items, per_message=2, beside={"last": F.col("part") == F.col("parts") - 1, "at": F.hour("created_at")}).collect()
+    found = sorted((m["order_id"], m["part"], m["parts"], len(m["items"]), r.last, r.at) for r in got for m in [json.loads(r.data)])
+    assert [f[:4] for f in found] == [(0, 0, 1, 0), (1, 0, 1, 1), (2, 0, 1, 2), (3, 0, 2, 2), (3, 1, 2, 1), (4, 0, 2, 2), (4, 1, 2, 2), (5, 0, 1, 0)]
+    assert all(last == (part == parts - 1) and at == order for order, part, parts, _, last, at in found)
