@@ -18,7 +18,7 @@ threshold t, a segmentation with log probability q was included with chance
 
 Speed: no piece spans the change from another character to ``▁``, so words are
 lattices of their own; backward sums and steps run in numpy over all words of
-a batch at once, equal words share a lattice.  Random numbers are hashes of (seed,
+a batch at once, equal words share a lattice, which is kept for later batches.  Random numbers are hashes of (seed,
 row key, place), so a row's result depends on neither its batch nor its task.
 One narrow map, no shuffle.
 
@@ -50,10 +50,12 @@ SEED = 17
 #: Bytes of text that a worker handles at once (a longer text is a batch of its own).
 BATCH_BYTES = 3_000_000
 BLANK = "▁"
+#: Edges of the lattices that a worker keeps from batch to batch.
+MOST_EDGES = 4_000_000
 #: No perturbation of a chance in (0, 1) with 53 bits exceeds this.
 HIGHEST = 38.0
-#: Steps of a path whose branches are looked at together.
-STEPS = 384
+#: Steps of a path, and texts, whose branches are looked at together.
+STEPS, TEXTS = 384, 128
 SCHEMA = "doc_id long, sample int, n_pieces long, ids_crc32 long, text_crc32 long, log_prob double, log_inclusion double"
 _M = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 #: A word's counters are this far from the next word's: 2^20 steps.
@@ -263,8 +265,9 @@ class Lattices:
             v -= np.repeat(top, many)
             np.exp(v, out=chance[x:y])
             z = np.add.reduceat(chance[x:y], seg)
-            total[order[a:b]] = top + np.log(z)
-            v -= np.repeat(np.log(z), many)
+            log_z = np.log(z)
+            total[order[a:b]] = top + log_z
+            v -= np.repeat(log_z, many)
             chance[x:y] /= np.repeat(z, many)
         self.log = value
         # Running sums of the chances, from each run's begin.
@@ -272,6 +275,17 @@ class Lattices:
         sums -= np.repeat(sums[self.begins] - chance[self.begins], self.many)
         self.sums = sums
 
+    def more(self, new: Lattices) -> None:
+        """Adds the lattices of further words behind these."""
+        positions, edges = len(self.is_end), len(self.log)
+        for name, by in (("first", positions), ("is_end", None), ("many", None), ("begins", edges), ("single", None), ("edge", edges), ("last", edges),
+                         ("stop", positions), ("piece", None), ("log", None), ("sums", None)):
+            part = getattr(new, name)
+            if by:
+                part += by
+            setattr(self, name, np.concatenate([getattr(self, name), part]))
+            delattr(new, name)
+
     def run_of(self, edge: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.begins, edge, "right") - 1
 
@@ -293,23 +307,24 @@ class Lattices:
     def walk(self, positions: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each position on to its word's end: the edges in order, and how many of each."""
         n = len(positions)
+        if not n:
+            return np.empty(0, np.int64), np.zeros(0, np.int64)
         taken, who = [], []
         here, at, step = positions, np.arange(n), 0
         while len(at):
-            edge = self.choose(here, _uniform(seeds[at] + np.uint64(step) * _M[2]))
+            edge = self.choose(here, _uniform(seeds + np.uint64(step) * _M[2]))
             taken.append(edge)
             who.append(at)
             to = self.stop[edge]
-            go = ~self.is_end[to]
-            at, here = at[go], to[go]
+            go = np.flatnonzero(~self.is_end[to])
+            at, here, seeds = at[go], to[go], seeds[go]
             step += 1
-        counts = np.zeros(n, np.int64)
-        for w in who:
-            counts[w] += 1
+        counts = np.bincount(np.concatenate(who), minlength=n)
         first = np.cumsum(counts) - counts
         out = np.empty(int(counts.sum()), np.int64)
-        for step, (w, edge) in enumerate(zip(who, taken, strict=True)):
-            out[first[w] + step] = edge
+        out[first] = taken[0]
+        for step in range(1, len(who)):
+            out[first[who[step]] + step] = taken[step]
         return out, counts
 
 
@@ -319,15 +334,9 @@ class Draw:
     def __init__(self, seed: np.uint64):
         self.seed, self.paths, self.open = seed, [], []
 
-    def add(self, lattices: Lattices, k: int, edges: np.ndarray, words, top: float, kept: int, most: int) -> None:
-        """A drawn path (``words(n)``: the words of its first n steps); its steps from ``kept`` on leave open branches, of which the ``most`` best can matter.
-
-        A perturbation raises a branch by ``HIGHEST`` at most, as chances have 53
-        bits; steps so unlikely that this cannot reach the best are not looked at."""
-        log = lattices.log[edges]
-        n, least, before, at = len(self.paths), -np.inf, float(log[:kept].sum()), kept
-        self.paths.append((edges, words, float(log.sum()), top))
-        mine: list[tuple] = []
+    def further(self, lattices: Lattices, k: int, edges: np.ndarray, log: np.ndarray, top: float, mine: list[tuple], before: float, at: int, most: int) -> list[tuple]:
+        """The ``most`` best open branches of a path, of those in ``mine`` and of the steps from ``at`` on."""
+        n, least = len(self.paths) - 1, mine[-1][0] if len(mine) == most else -np.inf
         while at < len(edges) and before + HIGHEST >= least:
             some = slice(at, at + STEPS)
             ahead = before + np.cumsum(log[some]) - log[some]
@@ -338,7 +347,49 @@ class Draw:
             mine = sorted(mine, reverse=True)[:most]
             least = mine[-1][0] if len(mine) == most else -np.inf
             before, at = float(ahead[-1] + log[some][-1]), at + STEPS
-        self.open += mine
+        return mine
+
+
+def add(lattices: Lattices, k: int, drawn: list[tuple], most: int) -> None:
+    """Drawn paths, one of each text: (draw, edges, words, top, kept), where ``words(n)`` gives the words of the first n steps.
+    A path's steps from ``kept`` on leave open branches, of which the ``most`` best can matter.
+
+    A perturbation raises a branch by ``HIGHEST`` at most, as chances have 53
+    bits; steps so unlikely that this cannot reach the best are not looked at.  The first ``STEPS`` steps of ``TEXTS`` texts are looked at together."""
+    for x in range(0, len(drawn), TEXTS):
+        some = drawn[x:x + TEXTS]
+        size = np.array([len(edges) for _, edges, *_ in some])
+        end = np.cumsum(size)
+        kept = np.array([kept for *_, kept in some])
+        every = np.concatenate([edges for _, edges, *_ in some])
+        log = lattices.log[every]
+        logs = [log[b - n:b] for n, b in zip(size.tolist(), end.tolist(), strict=True)]
+        before = np.array([float(own[:m].sum()) for own, m in zip(logs, kept.tolist(), strict=True)])
+        for (draw, edges, words, top, _), own in zip(some, logs, strict=True):
+            draw.paths.append((edges, words, float(own.sum()), top))
+        # A row for each text.
+        looked = np.minimum(size - kept, STEPS)
+        wide = int(looked.max())
+        if not wide:
+            continue
+        step = np.arange(wide)
+        there = step < looked[:, None]
+        place = np.where(there, (end - size + kept)[:, None] + step, 0)
+        here = np.where(there, log[place], 0.0)
+        ahead = before[:, None] + np.cumsum(here, axis=1) - here
+        seeds = np.array([draw.seed for draw, *_ in some]) + np.uint64(2 * k + 2) * _M[2] + kept.astype(np.uint64) * _M[3]
+        u = _uniform(seeds[:, None] + step.astype(np.uint64) * _M[3])
+        peak = truncated(ahead + lattices.other(every[place]), np.array([top for *_, top, _ in some])[:, None], u)
+        peak[~there] = -np.inf
+        best = np.argpartition(peak, wide - most, axis=1)[:, -most:] if wide > most else np.broadcast_to(step, peak.shape)
+        peaks = np.take_along_axis(peak, best, 1).tolist()
+        taken = every[np.take_along_axis(place, best, 1)].tolist()
+        for r, (draw, edges, _, top, m) in enumerate(some):
+            n = len(draw.paths) - 1
+            mine = sorted([(p, n, m + t, (e,)) for p, t, e in zip(peaks[r], best[r].tolist(), taken[r], strict=True) if p > -np.inf], reverse=True)[:most]
+            if m + STEPS < len(edges):
+                mine = draw.further(lattices, k, edges, logs[r], top, mine, float(ahead[r, -1] + here[r, -1]), m + STEPS, most)
+            draw.open += mine
 
 
 def truncated(location, top, u):
@@ -347,12 +398,14 @@ def truncated(location, top, u):
 
 
 @np.errstate(over="ignore")
-def draws(pieces: Pieces, keys: list[int | None], texts: pa.Array, samples: int, seed: int = SEED) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
-    """Of each text: (ids, log chance, perturbed log chance) of its segmentations, best first; and the threshold."""
-    distinct, of = numbered(texts)
-    if not distinct:
+def draws(pieces: Pieces, keys: list[int | None], texts: pa.Array, samples: int, seed: int = SEED, words: Words | None = None) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
+    """Of each text: (ids, log chance, perturbed log chance) of its segmentations, best first; and the threshold.  ``words``
+    keeps lattices from one call to the next."""
+    words = words or Words()
+    of = words.numbered(texts)
+    if not any(map(len, of)):
         return [([(np.empty(0, np.int64), 0.0, 0.0)], -np.inf) for _ in keys]
-    lat = Lattices(pieces, [BLANK + w for w in distinct])
+    lat = words.with_lattices(pieces)
     seeds = _mixed(np.array([(k or 0) & ((1 << 64) - 1) for k in keys], np.uint64) + np.uint64(seed) * _M[2])
     state = [Draw(s) for s in seeds]
 
@@ -374,8 +427,7 @@ def draws(pieces: Pieces, keys: list[int | None], texts: pa.Array, samples: int,
 
     jobs = [(d, lat.first[words], 0) for d, words in enumerate(of) if len(words)]
     tops = -np.log(-np.log(_uniform(seeds + _M[3])))
-    for (d, *_), (edges, words) in zip(jobs, walk(jobs, 0), strict=True):
-        state[d].add(lat, 0, edges, words, float(tops[d]), 0, samples)
+    add(lat, 0, [(state[d], edges, words, float(tops[d]), 0) for (d, *_), (edges, words) in zip(jobs, walk(jobs, 0), strict=True)], samples)
     for k in range(1, samples):
         jobs, heads = [], []
         for d, s in enumerate(state):
@@ -393,7 +445,7 @@ def draws(pieces: Pieces, keys: list[int | None], texts: pa.Array, samples: int,
             pick = min(int(np.searchsorted(chance, u[0] * chance[-1], "right")), len(choice) - 1)
             e = int(choice[pick])
             if len(choice) > 1:
-                place = float(lat.log[edges[:at]].sum() + np.logaddexp.reduce(np.delete(log, pick)))
+                place = float(lat.log[edges[:at]].sum() + np.logaddexp.reduce(log[np.arange(len(log)) != pick]))
                 s.open.append((float(truncated(place, peak, u[1])), path, at, (*gone, e)))
             head_words = words(at + 1)
             w = int(head_words[at])
@@ -404,38 +456,86 @@ def draws(pieces: Pieces, keys: list[int | None], texts: pa.Array, samples: int,
                 positions = np.append(stop, positions)
             heads.append((d, np.append(edges[:at], e), head_words, peak, at))
             jobs.append((d, positions, w if inside else w + 1))
+        drawn = []
         for (d, head, head_words, peak, at), (edges, words) in zip(heads, walk(jobs, k), strict=True):
             both = lambda n, a=head_words, b=words: a[:n] if n <= len(a) else np.append(a, b(n - len(a)))
-            state[d].add(lat, k, np.concatenate([head, edges]), both, peak, at + 1, samples)
+            drawn.append((state[d], np.concatenate([head, edges]), both, peak, at + 1))
+        add(lat, k, drawn, samples)
     paths = [[(np.empty(0, np.int64), None, 0.0, 0.0)] if not len(words) else s.paths for words, s in zip(of, state, strict=True)]
     flat = iter(ids_of(pieces, [lat.piece[e] for own in paths for e, *_ in own]))
     return [([(next(flat), q, top) for *_, q, top in own], max((b[0] for b in s.open), default=-np.inf)) for own, s in zip(paths, state, strict=True)]
 
 
+class Words:
+    """Numbers of distinct words, with their lattices, over several batches: common words are built once.
+    Beyond ``MOST_EDGES`` edges it begins anew."""
+
+    def __init__(self):
+        self.lattices: Lattices | None = None
+        self.clear()
+
+    def clear(self) -> None:
+        self.table, self.lattices = hashed_words.Table(), None
+        self.number = np.empty(0, np.int64)  # of the table's words
+        self.odd: dict[str, int] = {}
+        self.size, self.new = 0, []
+
+    def numbered(self, texts: pa.Array) -> list[np.ndarray]:
+        """The numbers of each text's words; ``new`` are those without a lattice yet."""
+        if self.lattices is not None and len(self.lattices.log) > MOST_EDGES:
+            self.clear()
+        of: list[np.ndarray] = []
+        for _, n, data, offsets in hashed_words.chunks(texts, 1 << 62):
+            blanks = np.flatnonzero(data == 0x20)
+            starts, ends, words = hashed_words.cut(data, offsets, blanks)
+            row = np.repeat(np.arange(n), words)
+            # Texts with runs of blanks, or the blank's own sign, are cut one by one.
+            odd = np.bincount(row, starts == ends, n) > 0
+            sign = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))
+            odd[np.searchsorted(offsets, sign, "right") - 1] = True
+            hashes = hashed_words.hashes(data, starts, ends)
+            found = self.table.find(hashes)
+            raw = data.tobytes()
+            lack = np.flatnonzero(found < 0)
+            if len(lack):
+                key, which, back = np.unique(hashes[lack], return_index=True, return_inverse=True)
+                found[lack] = self.table.add(key)[back]
+                which = lack[which]
+                self.number = np.append(self.number, np.arange(self.size, self.size + len(key)))
+                self.new += [raw[a:b].decode() for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+                self.size += len(key)
+            numbers = self.number[found]
+            begin = np.append(0, np.cumsum(words))
+            for k in range(n):
+                if odd[k]:
+                    of.append(np.array([self._odd(w) for w in words_of(raw[offsets[k]:offsets[k + 1]].decode())], np.int64))
+                else:
+                    of.append(numbers[begin[k]:begin[k + 1]])
+        return of
+
+    def _odd(self, word: str) -> int:
+        if word not in self.odd:
+            self.odd[word] = self.size
+            self.new.append(word)
+            self.size += 1
+        return self.odd[word]
+
+    def with_lattices(self, pieces: Pieces) -> Lattices:
+        if self.new:
+            built = Lattices(pieces, [BLANK + w for w in self.new])
+            if self.lattices is None:
+                self.lattices = built
+            else:
+                self.lattices.more(built)
+            self.new = []
+        return self.lattices
+
+
 def numbered(texts: pa.Array) -> tuple[list[str], list[np.ndarray]]:
     """The distinct words of some texts, and the numbers of each text's words."""
-    distinct: dict[str, int] = {}
-    of: list[np.ndarray] = []
-    for _, n, data, offsets in hashed_words.chunks(texts, 1 << 62):
-        blanks = np.flatnonzero(data == 0x20)
-        starts, ends, words = hashed_words.cut(data, offsets, blanks)
-        row = np.repeat(np.arange(n), words)
-        # Texts with runs of blanks, or the blank's own sign, are cut one by one.
-        odd = np.bincount(row, starts == ends, n) > 0
-        sign = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))
-        odd[np.searchsorted(offsets, sign, "right") - 1] = True
-        key, which, back = np.unique(hashed_words.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        numbers = back  # one chunk: all its words are new
-        distinct.update(zip([raw[a:b].decode() for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)], range(len(key)), strict=True))
-        begin = np.append(0, np.cumsum(words))
-        for k in range(n):
-            if odd[k]:
-                own = words_of(raw[offsets[k]:offsets[k + 1]].decode())
-                of.append(np.array([distinct.setdefault(w, len(distinct)) for w in own], np.int64))
-            else:
-                of.append(numbers[begin[k]:begin[k + 1]])
-    return list(distinct), of
+    words = Words()
+    of = words.numbered(texts)
+    return words.new, of
 
 
 def ids_of(pieces: Pieces, parts: list[np.ndarray]) -> list[np.ndarray]:
@@ -474,14 +574,14 @@ def _segmenter(path: str, samples: int, alpha: float, seed: int, with_ids: bool)
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()] + [pa.list_(pa.int32())] * with_ids
 
     def run(batches):
-        pieces = _pieces(path, alpha)
+        pieces, words = _pieces(path, alpha), Words()
         for b in batches:
             size = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)))
             at = 0
             while at < b.num_rows:
                 to = max(at + 1, int(np.searchsorted(size, size[at] + BATCH_BYTES, "right")) - 1)
                 keys, rows = b.column(0).slice(at, to - at).to_pylist(), []
-                drawn = draws(pieces, keys, b.column(1).slice(at, to - at), samples, seed)
+                drawn = draws(pieces, keys, b.column(1).slice(at, to - at), samples, seed, words)
                 texts = iter(pieces.decoded_all([ids for paths, _ in drawn for ids, _, _ in paths]))
                 for key, (paths, threshold) in zip(keys, drawn, strict=True):
                     for k, (ids, q, _) in enumerate(paths):

@@ -124,3 +124,31 @@ def test_rows(spark, docs_of, clashing, pieces):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     a = {tuple(r) for r in G.segmentations(docs.repartition(7)).collect()}
     assert a == {tuple(r) for r in G.segmentations(docs.orderBy("text").coalesce(1)).collect()}
+
+
+@pytest.mark.parametrize("most_edges", [4_000_000, 0])
+def test_lattices_are_kept_from_batch_to_batch(pieces, monkeypatch, most_edges):
+    """A later batch builds the lattices of new words only, until there are too many; draws are those of a batch of its own."""
+    monkeypatch.setattr(G, "MOST_EDGES", most_edges)
+    built = []
+    real = G.Lattices
+    monkeypatch.setattr(G, "Lattices", lambda p, words: built.append(len(words)) or real(p, words))
+    batches = [["the cat sat", "  a  b", None], ["the cat ran", "  a  b", "▁a é"], ["sat the cat"], ["", None]]
+    words = G.Words()
+    keys = [5, 6, 7]
+    got = [G.draws(pieces, keys[:len(b)], pa.array(b, pa.string()), 3, words=words) for b in batches]
+    total = sum(built)
+    alone = [G.draws(pieces, keys[:len(b)], pa.array(b, pa.string()), 3) for b in batches]
+    assert total < sum(built) - total if most_edges else total == sum(built) - total
+    plain = lambda found: [([(ids.tolist(), q, top) for ids, q, top in paths], t) for paths, t in found]
+    assert [plain(g) for g in got] == [plain(a) for a in alone]
+
+
+def test_branches_of_many_texts_together(pieces):
+    """Texts of any length side by side, beyond the steps and texts looked at together, draw as alone."""
+    texts = ["x", "", "the cat " * 300, "of", None, *[f"word {k} " * (k % 40) for k in range(2 * G.TEXTS)]]
+    keys = list(range(len(texts)))
+    together = G.draws(pieces, keys, pa.array(texts), 4)
+    for k in [0, 1, 2, 3, 4, 44, 45, 46, G.TEXTS, len(texts) - 1]:
+        (paths, threshold), = G.draws(pieces, [k], pa.array([texts[k]], pa.string()), 4)
+        assert [(i.tolist(), q, t) for i, q, t in paths] == [(i.tolist(), q, t) for i, q, t in together[k][0]] and threshold == together[k][1]
