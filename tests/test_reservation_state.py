@@ -238,3 +238,30 @@ def test_messages_name_their_parts_and_carry_columns_beside(spark):
     found = sorted((m["order_id"], m["part"], m["parts"], len(m["items"]), r.last, r.at) for r in got for m in [json.loads(r.data)])
     assert [f[:4] for f in found] == [(0, 0, 1, 0), (1, 0, 1, 1), (2, 0, 1, 2), (3, 0, 2, 2), (3, 1, 2, 1), (4, 0, 2, 2), (4, 1, 2, 2), (5, 0, 1, 0)]
     assert all(last == (part == parts - 1) and at == order for order, part, parts, _, last, at in found)
+
+
+def test_reservations_keep_neither_keys_nor_messages_in_the_heap(spark, monkeypatch):
+    """The seen keys of ``stream_reservations`` are in RocksDB, and its only micro-batch isn't cached."""
+    import glob
+    import os
+
+    from ledgerlake.plans import extra
+    from ledgerlake.streaming.ingest import ROCKSDB_CONF
+
+    roots = []
+    monkeypatch.setattr(extra, "scratch_path", lambda s, name: roots.append(scratch_path(s, name)) or roots[-1])
+
+    def cached(*_):
+        raise AssertionError("a batch is cached")
+
+    monkeypatch.setattr(type(spark.range(1)), "persist", cached)
+    before = {k: spark.conf.get(k, None) for k in ROCKSDB_CONF}
+    got = extra.stream_reservations(spark, "/root/testdata/sf0.001")
+    monkeypatch.undo()
+    want = rsv.reserve_orders(*(getattr(extra.Warehouse(spark, "/root/testdata/sf0.001"), n) for n in ("orders", "order_items", "inventory_items")))
+    rows = lambda df: sorted((int(r.order_id), r.created_at, r.reserved, r.reason) for r in df.collect())
+    assert rows(got) == rows(want)
+    kept = [os.path.splitext(p)[1] for p in glob.glob(f"{roots[0]}/checkpoint/state/0/*/*")]
+    assert ".changelog" in kept and ".delta" not in kept
+    assert {k: spark.conf.get(k, None) for k in ROCKSDB_CONF} == before  # other streams keep their kind of store
+    assert not os.path.exists(f"{roots[0]}/numbered")
