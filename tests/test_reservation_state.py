@@ -265,3 +265,24 @@ def test_reservations_keep_neither_keys_nor_messages_in_the_heap(spark, monkeypa
     assert ".changelog" in kept and ".delta" not in kept
     assert {k: spark.conf.get(k, None) for k in ROCKSDB_CONF} == before  # other streams keep their kind of store
     assert not os.path.exists(f"{roots[0]}/numbered")
+
+
+def test_drops_are_written_once_and_compressed(spark, monkeypatch):
+    """Messages are on disk once, gzipped, in the inbox; nothing stays of how they were made."""
+    import glob
+    import os
+
+    from ledgerlake.plans import extra
+
+    roots = []
+    monkeypatch.setattr(extra, "scratch_path", lambda s, name: roots.append(scratch_path(s, name)) or roots[-1])
+    consumer = extra._dropped_reservations(spark, "/root/testdata/sf0.001")
+    w = extra.Warehouse(spark, "/root/testdata/sf0.001")
+    files = [p for p in glob.glob(f"{roots[0]}/**/*", recursive=True) if os.path.isfile(p) and "/store/" not in p and "/checkpoint/" not in p and not p.endswith("_SUCCESS")]
+    assert files and all(p.startswith(f"{roots[0]}/inbox/") and p.endswith(".json.gz") for p in files)
+    drops = {int(r.f.split("/")[-2]): r["count"] for r in spark.read.json(f"{roots[0]}/inbox/*").groupBy(F.input_file_name().alias("f")).count().collect()}
+    assert set(drops) == set(range(extra.DROPS))
+    sent = spark.read.json(f"{roots[0]}/inbox/*").select("subject", "data")
+    want = ev.emit_orders_with_items(w.orders, w.order_items, per_message=2)
+    assert Counter(sent.collect()) == Counter(want.collect())
+    assert spark.read.parquet(consumer.paths["reservations"]).count() == w.orders.count()
