@@ -286,3 +286,24 @@ def test_drops_are_written_once_and_compressed(spark, monkeypatch):
     want = ev.emit_orders_with_items(w.orders, w.order_items, per_message=2)
     assert Counter(sent.collect()) == Counter(want.collect())
     assert spark.read.parquet(consumer.paths["reservations"]).count() == w.orders.count()
+
+
+def test_a_batch_leaves_its_tables_only(spark):
+    """What the steps of a batch write for each other goes with the batch; the parts that were seen are in RocksDB."""
+    import glob
+    import os
+
+    from ledgerlake.session import checkpoint_root
+
+    raw = case(5, n=20)
+    orders, items, stock = frames(spark, *raw)
+    _, left = greedy(*raw)
+    root = scratch_path(spark, "t-leaves")
+    _drop(ev.emit_orders_with_items(orders, items, per_message=2), root, "b0")
+    before = set(os.listdir(checkpoint_root(spark)))
+    consumer = _consumer(spark, root, stock)
+    consumer.run_available(read_event_stream(spark, f"{root}/in/*"))
+    assert {r.sku: r.x0 - r.taken for r in consumer.stock.read().collect()} == left
+    assert set(os.listdir(checkpoint_root(spark))) == before
+    kept = [os.path.splitext(p)[1] for p in glob.glob(f"{root}/ckpt/state/0/*/*")]
+    assert ".changelog" in kept and ".delta" not in kept
